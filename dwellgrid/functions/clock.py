@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 
 def whole(value, name: str, minimum: int = 0) -> int:
-    """Validate an integer argument; strings, fractions and negatives are refused."""
+    """Validate an integer argument; strings, fractions and too small values are refused."""
     if isinstance(value, bool) or not isinstance(value, int):
         raise TypeError(f"{name} must be an int, got {value!r}")
     if value < minimum:
@@ -27,7 +27,8 @@ def whole(value, name: str, minimum: int = 0) -> int:
 class Window:
     """A trailing window ending at the anchor.
 
-    ``days``/``hours`` give its length.  ``open_start`` makes the start exclusive; the end is always inclusive.
+    Its length is calendar days plus absolute hours, which differ across a clock change.  ``open_start`` makes the
+    start exclusive; the end is always inclusive.
     """
 
     days: int = 0
@@ -38,10 +39,18 @@ class Window:
         whole(self.days, "days")
         whole(self.hours, "hours")
 
-    @property
-    def interval(self) -> Column:
-        """Calendar days plus absolute hours, which differ across a clock change."""
-        return F.make_interval(days=F.lit(self.days), hours=F.lit(self.hours))
+    def before(self, moment: str) -> str:
+        """SQL for the start of the window that ends at ``moment``."""
+        return f"({moment} - make_interval(0, 0, 0, {self.days}, {self.hours}))"
+
+
+def _kind(events: DataFrame) -> str:
+    return events.schema["ts"].dataType.simpleString()
+
+
+def literal(events: DataFrame, at: dt.datetime) -> str:
+    """A given moment as SQL, in the type of the log's ``ts``."""
+    return f"CAST('{at.isoformat(sep=' ')}' AS {_kind(events)})"
 
 
 def _newest_partition(events: DataFrame) -> DataFrame:
@@ -52,21 +61,19 @@ def _newest_partition(events: DataFrame) -> DataFrame:
     return events
 
 
-def anchor(events: DataFrame, at: dt.datetime | None = None) -> Column:
-    """Newest timestamp of the log, or the given moment."""
+def from_anchor(events: DataFrame, at: dt.datetime | None, value) -> Column:
+    """A value computed from the anchor; ``value`` maps the anchor's SQL to the SQL of the result."""
     if at is not None:
-        return F.lit(at).cast(events.schema["ts"].dataType)
-    return _newest_partition(events).agg(F.max("ts").alias("anchor")).scalar()
+        return F.expr(value(literal(events, at)))
+    return _newest_partition(events).agg(F.expr(value("max(ts)")).alias("anchored")).scalar()
 
 
-def window_start(events: DataFrame, window: Window, at: dt.datetime | None = None, then=lambda start: start) -> Column:
+def window_start(events: DataFrame, window: Window, at: dt.datetime | None = None, then="{}") -> Column:
     """Start of a trailing window.  Day steps are calendar days of the session time zone.
 
-    ``then`` derives another value from the start inside the same subquery.
+    ``then`` is a SQL template that derives another value from the start inside the same subquery.
     """
-    if at is not None:
-        return then(F.lit(at).cast(events.schema["ts"].dataType) - window.interval)
-    return _newest_partition(events).agg(then(F.max("ts") - window.interval).alias("window_start")).scalar()
+    return from_anchor(events, at, lambda moment: then.replace("{}", window.before(moment)))
 
 
 def within(events: DataFrame, window: Window, at: dt.datetime | None = None) -> DataFrame:
@@ -74,25 +81,21 @@ def within(events: DataFrame, window: Window, at: dt.datetime | None = None) ->
 
     Without ``at`` the upper bound is the maximum itself and needs no test.  A date-partitioned log is pruned as well.
     """
-    start = window_start(events, window, at)
-    ts = F.col("ts")
-    kept = events.where(ts > start if window.open_start else ts >= start)
+    start, ts = window_start(events, window, at), F.col("ts")
+    inside = ts > start if window.open_start else ts >= start
     if at is not None:
-        kept = kept.where(ts <= F.lit(at).cast(events.schema["ts"].dataType))
+        inside &= F.expr(f"ts <= {literal(events, at)}")
     if "event_date" in events.columns:
         # event_date is the UTC date of ts; one day of slack covers any session time zone
-        kept = kept.where(
-            F.col("event_date") >= window_start(events, window, at, then=lambda t: F.date_sub(t.cast("date"), 1))
-        )
-    return kept
+        inside &= F.col("event_date") >= window_start(events, window, at, "date_sub(CAST({} AS DATE), 1)")
+    return events.where(inside)
 
 
-def bucket(events: DataFrame, unit: str = "hour", column: str = "ts") -> Column:
-    """Calendar bucket of a timestamp column, in the column's own type (``date_trunc`` alone would widen NTZ)."""
-    kind = events.schema[column].dataType
-    return F.date_trunc(unit, F.col(column)).cast(kind)
+def bucket(events: DataFrame, unit: str = "hour") -> str:
+    """SQL for the calendar bucket of ``ts``, in its own type (``date_trunc`` alone would widen a time without zone)."""
+    return f"CAST(date_trunc('{unit}', ts) AS {_kind(events)})"
 
 
 def wall_clock(events: DataFrame) -> DataFrame:
     """Log with ``ts`` as local wall-clock time (no zone); dense grids count wall-clock hours."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return events if _kind(events) == "timestamp_ntz" else events.withColumn("ts", F.expr("CAST(ts AS timestamp_ntz)"))

@@ -1,9 +1,7 @@
-"""Room labels, room codes and the keys derived from them (column expressions)."""
+"""Room labels, room codes and the keys derived from them (column expressions over a named column)."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,71 +11,76 @@ from dwellgrid.schema import JUNK_WORDS
 CODE_PATTERN = r"^([+-]?\d+\.[A-Za-z0-9]+)"
 
 
-def label(room_name: Column) -> Column:
+def quoted(text: str) -> str:
+    """A Python string as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def label(room_name: str = "room_name") -> Column:
     """Room name without surrounding blanks; NULL stays NULL."""
-    return F.trim(room_name)
+    return F.expr(f"trim({room_name})")
 
 
-def room_code(room_name: Column) -> Column:
+def room_code(room_name: str = "room_name") -> Column:
     """Leading room code of a label (``3.325 - Office`` gives ``3.325``); NULL where there is none."""
-    return F.nullif(F.regexp_extract(F.trim(room_name), CODE_PATTERN, 1), F.lit(""))
+    return F.expr(f"nullif(regexp_extract(trim({room_name}), {quoted(CODE_PATTERN)}, 1), '')")
 
 
-def room_id(code: Column) -> Column:
+def room_id(code: str = "code") -> Column:
     """Code without the dot; the sign stays."""
-    return F.replace(code, F.lit("."), F.lit(""))
+    return F.expr(f"replace({code}, '.', '')")
+
+
+def _kept(text: str, unwanted: str) -> str:
+    body = f"upper(regexp_replace({text}, {quoted(unwanted)}, ''))"
+    return f"concat(if(startswith(trim({text}), '-') AND {body} <> '', '-', ''), {body})"
 
 
-def room_key(text: Column) -> Column:
+def room_key(text: str = "code") -> Column:
     """Upper-case alphanumerics with a leading minus kept, so that -1.200 and 1.200 stay two rooms.
 
     Stored codes and search text go through this one expression, which is what makes lookups by key exact.
     """
-    body = F.upper(F.regexp_replace(text, "[^A-Za-z0-9]", ""))
-    return F.when((body != "") & F.startswith(F.trim(text), F.lit("-")), F.concat(F.lit("-"), body)).otherwise(body)
+    return F.expr(_kept(text, "[^A-Za-z0-9]"))
 
 
-def typed_room_id(text: Column) -> Column:
-    """Digits of a typed room reference, leading minus kept; comparable with :func:`room_id`."""
-    body = F.regexp_replace(text, "[^0-9]", "")
-    return F.when((body != "") & F.startswith(F.trim(text), F.lit("-")), F.concat(F.lit("-"), body)).otherwise(body)
-
-
-def floor_number(code: Column) -> Column:
+def floor_number(code: str = "code") -> Column:
     """Integer before the dot of a room code; NULL when it does not fit an integer."""
-    return F.split_part(code, F.lit("."), F.lit(1)).try_cast("int")
+    return F.expr(f"try_cast(split_part({code}, '.', 1) AS INT)")
 
 
-def zone(code: Column) -> Column:
+def zone(code: str = "code") -> Column:
     """First two characters after the dot, upper case (``3.201`` gives ``20``, ``9.T32`` gives ``T3``)."""
-    return F.upper(F.substring(F.split_part(code, F.lit("."), F.lit(2)), 1, 2))
+    return F.expr(f"upper(substring(split_part({code}, '.', 2), 1, 2))")
 
 
-def contains_any(column: Column, words) -> Column:
+def contains_any(column: str, words) -> Column:
     """True when the lower-cased text (NULL counts as empty) contains one of the words."""
-    text = F.lower(F.coalesce(column, F.lit("")))
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w.lower())) for w in words], F.lit(False))
+    text = f"lower(coalesce({column}, ''))"
+    return F.expr(" OR ".join(f"contains({text}, {quoted(w.lower())})" for w in words) or "false")
 
 
-def is_junk(label_column: Column) -> Column:
+def is_junk(label_column: str = "label") -> Column:
     """Device labels that are not rooms."""
     return contains_any(label_column, JUNK_WORDS)
 
 
 def matches_room(room: str) -> Column:
-    """Cleaned spaces whose key or id equals the typed room; punctuation alone matches nothing."""
-    typed = F.lit(room or "")
-    key, rid = room_key(typed), typed_room_id(typed)
-    by_key = (key != "") & (F.col("room_key") == key)
-    by_id = (rid != "") & F.col("room_id").isNotNull() & (F.col("room_id") == rid)
-    return by_key | by_id
+    """Cleaned spaces whose key or id equals the typed room; punctuation alone matches nothing.
+
+    The id side compares the digits of the typed text, leading minus kept.
+    """
+    typed = quoted(room or "")
+    key, digits = _kept(typed, "[^A-Za-z0-9]"), _kept(typed, "[^0-9]")
+    return F.expr(f"({key} <> '' AND room_key = {key}) OR ({digits} <> '' AND room_id = {digits})")
 
 
 def resembles_room(text: str) -> Column:
     """Cleaned spaces whose key or name contains the typed text; blank or punctuation-only keys are ignored."""
-    typed = F.lit(text or "")
-    key = F.upper(F.regexp_replace(typed, "[^A-Za-z0-9]", ""))
-    plain = F.upper(F.regexp_replace(F.col("display_name"), "[^A-Za-z0-9]", ""))
-    by_key = (key != "") & (F.contains(plain, key) | F.contains(F.col("room_key"), key))
-    by_name = (F.trim(typed) != "") & F.contains(F.lower("room_name"), F.lower(typed))
-    return by_key | by_name
+    typed = quoted(text or "")
+    key = f"upper(regexp_replace({typed}, '[^A-Za-z0-9]', ''))"
+    plain = "upper(regexp_replace(display_name, '[^A-Za-z0-9]', ''))"
+    return F.expr(
+        f"({key} <> '' AND (contains({plain}, {key}) OR contains(room_key, {key})))"
+        f" OR (trim({typed}) <> '' AND contains(lower(room_name), lower({typed})))"
+    )

@@ -7,6 +7,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dwellgrid.functions.codes import quoted
+
+# Floor of a space: the storey's own id where it is an integer, else the number in the room code.
+FLOOR_KEY = "coalesce(try_cast(storey_floorId AS INT), floor_n)"
+
 
 def floor_token(floor: int | str | None) -> int | None:
     """The integer a floor argument stands for, or None when it is a storey name."""
@@ -15,19 +20,16 @@ def floor_token(floor: int | str | None) -> int | None:
 
 
 def floor_key() -> Column:
-    """Floor of a space: the storey's own id where it is an integer, else the number in the room code."""
-    return F.coalesce(F.col("storey_floorId").try_cast("int"), F.col("floor_n"))
+    return F.expr(FLOOR_KEY)
 
 
 def on_floor(floor: int | str, source: str = "storey") -> Column:
     """Predicate on cleaned spaces.
 
-    Numeric arguments compare with :func:`floor_key` (``source="storey"``) or with the code's floor only
+    Numeric arguments compare with the floor key (``source="storey"``) or with the code's floor only
     (``source="code"``); any other text compares with the storey name, ignoring case.
     """
     number = floor_token(floor)
     if number is None:
-        return F.lower("storey_name") == F.lower(F.lit(str(floor).strip()))
-    if source == "code":
-        return F.col("floor_n") == F.lit(number)
-    return floor_key() == F.lit(number)
+        return F.expr(f"lower(storey_name) = lower({quoted(str(floor).strip())})")
+    return F.expr(f"floor_n = {number}" if source == "code" else f"{FLOOR_KEY} = {number}")

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# 1 for the state ``occupied`` in any case; 0 for every other value and for NULL.
+OCCUPIED = "CASE WHEN lower(occupancy) = 'occupied' THEN 1 ELSE 0 END"
 
-def occupied(state: Column | str = "occupancy") -> Column:
-    """1 for the state ``occupied`` in any case; 0 for every other value and for NULL."""
-    column = F.col(state) if isinstance(state, str) else state
-    return F.when(F.lower(column) == "occupied", 1).otherwise(0)
+
+def occupied() -> Column:
+    return F.expr(OCCUPIED)
 
 
 def is_state(value: str, state: str = "occupancy") -> Column:
     """Case-insensitive state test; NULL is not a match."""
-    return F.coalesce(F.lower(F.col(state)) == value, F.lit(False))
+    return F.expr(f"coalesce(lower({state}) = '{value}', false)")
 
 
-def percent(rate: Column) -> Column:
-    """A share as a percentage with one decimal; NULL stays NULL."""
-    return F.round(rate * 100, 1)
+def percent(rate: str) -> Column:
+    """A share (SQL text) as a percentage with one decimal; NULL stays NULL."""
+    return F.expr(f"round(({rate}) * 100, 1)")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.functions import clock
 from dwellgrid.functions.clock import Window, whole
-from dwellgrid.functions.measures import occupied, percent
+from dwellgrid.functions.measures import OCCUPIED, percent
 from dwellgrid.operators.rates import on_floor_only
 from dwellgrid.usage import Usage
 
@@ -25,9 +25,8 @@ def hours_in_window(days: int) -> int:
 
 def _window_hours(usage: Usage, days: int, scoped: bool) -> DataFrame:
     """Events of the window as ``space_id, hour, state`` on the wall clock, limited to the model's spaces if asked."""
-    local = clock.wall_clock(usage.events)
-    rows = clock.within(local, Window(days=days), usage.at)
-    rows = rows.select("space_id", clock.bucket(rows).alias("hour"), occupied().alias("state"))
+    rows = clock.within(clock.wall_clock(usage.events), Window(days=days), usage.at)
+    rows = rows.selectExpr("space_id", f"{clock.bucket(rows)} AS hour", f"{OCCUPIED} AS state")
     if scoped and usage.broadcast_spaces:
         rows = rows.join(usage.dimension(), "space_id", "left_semi")
     return rows
@@ -40,18 +39,17 @@ def dense_rates(usage: Usage, floor: int | str | None = None, days: int = 30) ->
     then meet in one aggregate per room, without a grid and without an outer join.
     """
     scoped = on_floor_only(usage, floor)
-    hours = _window_hours(scoped, days, floor is not None).where(F.col("state") == 1)
-    found = hours.groupBy("space_id", "hour").agg(F.lit(1).alias("occupied_hours"))
-    if not usage.broadcast_spaces:
-        found = found.groupBy("space_id").agg(F.sum("occupied_hours").alias("occupied_hours"))
-    found = found.join(scoped.dimension("code", "room_name"), "space_id").select(
-        "code", "room_name", F.lit(0).alias("spaces"), "occupied_hours"
-    )
-    listed = scoped.spaces.select("code", "room_name", F.lit(1).alias("spaces"), F.lit(0).alias("occupied_hours"))
+    found = _window_hours(scoped, days, floor is not None).where("state = 1").select("space_id", "hour").distinct()
+    if usage.broadcast_spaces:
+        found = found.selectExpr("space_id", "1L AS occupied_hours")
+    else:
+        found = found.groupBy("space_id").agg(F.expr("count(*) AS occupied_hours"))
+    found = found.join(scoped.dimension("code", "room_name"), "space_id")
+    listed = scoped.spaces.selectExpr("code", "room_name", "1 AS spaces", "0L AS occupied_hours")
     return (
-        listed.unionByName(found)
+        listed.unionByName(found.selectExpr("code", "room_name", "0 AS spaces", "occupied_hours"))
         .groupBy("code", "room_name")
-        .agg((F.sum("occupied_hours") / (F.sum("spaces") * F.lit(hours_in_window(days)))).alias("occ_rate"))
+        .agg(F.expr(f"sum(occupied_hours) / (sum(spaces) * {hours_in_window(days)}) AS occ_rate"))
     )
 
 
@@ -64,7 +62,7 @@ def underused_rooms(usage: Usage, floor: int | str | None = None, days: int = 30
     rates = dense_rates(usage, floor, days)
     if threshold is not None:
         rates = rates.where(F.col("occ_rate") < F.lit(float(threshold)))
-    listed = rates.select("code", "room_name", percent(F.col("occ_rate")).alias("occ_rate_percent")).orderBy(
+    listed = rates.select("code", "room_name", percent("occ_rate").alias("occ_rate_percent")).orderBy(
         F.asc_nulls_last("occ_rate_percent"), "code", "room_name"
     )
     return listed if threshold is not None or limit is None else listed.limit(whole(limit, "limit"))
@@ -74,7 +72,7 @@ def all_rooms_with_occ_rate(usage: Usage, floor: int | str | None = None, days:
     """Every room with its dense rate in percent, busiest first, then by code and name."""
     return (
         dense_rates(usage, floor, days)
-        .select("code", "room_name", percent(F.col("occ_rate")).alias("occ_rate_percent"))
+        .select("code", "room_name", percent("occ_rate").alias("occ_rate_percent"))
         .orderBy(F.desc_nulls_last("occ_rate_percent"), "code", "room_name")
     )
 
@@ -87,27 +85,26 @@ def dense_hourly_series(usage: Usage, floor: int | str | None = None, days: int
     """
     scoped = on_floor_only(usage, floor)
     n = hours_in_window(days)
-    local = clock.wall_clock(usage.events)
-    first = F.date_trunc("hour", clock.window_start(local, Window(days=days), usage.at))
-    observed = _window_hours(scoped, days, floor is not None).groupBy("space_id", "hour").agg(
-        F.max("state").alias("occ")
+    first = clock.window_start(
+        clock.wall_clock(usage.events), Window(days=days), usage.at, "CAST(date_trunc('hour', {}) AS timestamp_ntz)"
     )
     identity = ["space_id", "code", "room_name"]
-    listed = scoped.spaces.select(F.col("uuid").alias("space_id"), "code", "room_name").distinct()
-    position = F.timestamp_diff("HOUR", first, F.col("hour")).cast("int")
-    marks = listed.withColumns({"i": F.lit(-1), "occ": F.lit(0)}).unionByName(
-        observed.join(scoped.dimension("code", "room_name"), "space_id").select(
-            *identity, position.alias("i"), "occ"
-        ).distinct()
+    observed = (
+        _window_hours(scoped, days, floor is not None)
+        .groupBy("space_id", "hour")
+        .agg(F.expr("max(state) AS occ"))
+        .join(scoped.dimension("code", "room_name"), "space_id")
+        .select(*identity, F.timestamp_diff("HOUR", first, F.col("hour")).cast("int").alias("i"), "occ")
+        .distinct()
     )
+    markers = scoped.spaces.selectExpr("uuid AS space_id", "code", "room_name", "-1 AS i", "0 AS occ").distinct()
     upcoming = F.lead("i", 1, n).over(W.partitionBy(*identity).orderBy("i"))
-    gaps = marks.withColumn("until", upcoming).where(F.greatest(F.col("i"), F.lit(0)) < F.col("until"))
-    return gaps.select(
-        *identity, "i", "occ", F.explode(F.sequence(F.greatest(F.col("i"), F.lit(0)), F.col("until") - 1)).alias("j")
-    ).select(
+    gaps = markers.unionByName(observed).withColumn("until", upcoming).where("greatest(i, 0) < until")
+    filled = gaps.selectExpr(*identity, "i", "occ", "explode(sequence(greatest(i, 0), until - 1)) AS j")
+    return filled.select(
         *identity,
         F.timestamp_add("HOUR", "j", first).cast("timestamp_ntz").alias("hour"),
-        F.when(F.col("i") == F.col("j"), F.col("occ")).otherwise(0).alias("occ"),
+        F.expr("if(i = j, occ, 0) AS occ"),
     )
 
 
@@ -117,9 +114,9 @@ def unaligned_rates(usage: Usage, floor: int | str | None = None, days: int = 30
     Ticks then carry the anchor's minutes and meet an observed (truncated) hour only if the anchor is exactly on the
     hour; otherwise every room has 0.
     """
-    scoped = on_floor_only(usage, floor)
-    start = clock.window_start(clock.wall_clock(usage.events), Window(days=days), usage.at)
-    on_the_hour = F.date_trunc("hour", start) == start
-    return dense_rates(scoped, None, days).withColumn(
+    on_the_hour = clock.window_start(
+        clock.wall_clock(usage.events), Window(days=days), usage.at, "date_trunc('hour', {}) = {}"
+    )
+    return dense_rates(usage, floor, days).withColumn(
         "occ_rate", F.when(on_the_hour, F.col("occ_rate")).otherwise(F.lit(0.0))
     )

@@ -1,7 +1,7 @@
 """Hourly roll-up of the event log: the table every observed rate derives from.
 
 One event per row is the only large input.  It is reduced to counts per key and calendar hour, so a space that
-produces a third of all events still contributes at most one row per hour after the map-side half of the aggregate.
+produces a third of all events still contributes at most one row per hour and task to a shuffle.
 """
 
 from __future__ import annotations
@@ -10,49 +10,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.functions import clock
-from dwellgrid.functions.measures import occupied
+from dwellgrid.functions.measures import OCCUPIED
 from dwellgrid.usage import Usage
 
+# Counts per bucket as SQL over one event: all events, and events in the state ``occupied``.
+COUNTS = {"n_events": "1", "n_occupied": OCCUPIED}
 
+# SQL over buckets: 1 when a bucket holds an occupied event; share of occupied events over grouped buckets.
+ANY_OCCUPIED = "CAST(n_occupied > 0 AS INT)"
+EVENT_SHARE = "sum(n_occupied) / sum(n_events)"
 
-def default_counts() -> dict[str, Column]:
-    """Number of events and number of events in the state ``occupied``."""
-    return {"n_events": F.lit(1), "n_occupied": occupied()}
 
-
-def _from_log(events: DataFrame, counts: dict[str, Column]) -> DataFrame:
-    return events.select("space_id", clock.bucket(events).alias("hour"), *[c.alias(n) for n, c in counts.items()])
+def _from_log(events: DataFrame, counts: dict[str, str | Column]) -> DataFrame:
+    values = [(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in counts.items()]
+    return events.select("space_id", F.expr(clock.bucket(events)).alias("hour"), *values)
 
 
 def _from_rollup(usage: Usage, window: clock.Window | None) -> DataFrame:
     """Whole hours from the roll-up, plus log rows of the hours a window cuts (at its start, and at a given end)."""
-    columns = ["space_id", "hour", *default_counts()]
+    columns = ["space_id", "hour", *COUNTS]
     if window is None:
         return usage.rollup.select(*columns)
-    kind = usage.events.schema["ts"].dataType
-
-    def whole_hour(moment: Column) -> Column:
-        cut = F.date_trunc("hour", moment).cast(kind)
-        following = (cut + F.make_interval(hours=F.lit(1))).cast(kind)
-        # an exclusive start always cuts its hour, an inclusive one only when it is not on the hour
-        return following if window.open_start else F.when(cut == moment, cut).otherwise(following)
-
-    first_whole = clock.window_start(usage.events, window, usage.at, then=whole_hour)
+    kind = usage.events.schema["ts"].dataType.simpleString()
+    cut = "date_trunc('hour', {})"
+    following = f"{cut} + INTERVAL '1' HOUR"
+    # an exclusive start always cuts its hour, an inclusive one only when it is not on the hour
+    whole_hour = following if window.open_start else f"if({cut} = {{}}, {cut}, {following})"
+    first_whole = clock.window_start(usage.events, window, usage.at, f"CAST({whole_hour} AS {kind})")
     kept = usage.rollup.where(F.col("hour") >= first_whole)
     cut_hours = F.col("ts") < first_whole
     if usage.at is not None:
-        last = F.date_trunc("hour", F.lit(usage.at).cast(kind)).cast(kind)
+        last = F.expr(f"CAST(date_trunc('hour', {clock.literal(usage.events, usage.at)}) AS {kind})")
         kept = kept.where(F.col("hour") < last)
         cut_hours = cut_hours | (F.col("ts") >= last)
     if "event_date" in kept.columns:
-        first_day = clock.window_start(usage.events, window, usage.at, then=lambda t: F.date_sub(t.cast("date"), 1))
+        first_day = clock.window_start(usage.events, window, usage.at, "date_sub(CAST({} AS DATE), 1)")
         kept = kept.where(F.col("event_date") >= first_day)
     edges = clock.within(usage.events, window, usage.at).where(cut_hours)
-    return kept.select(*columns).unionByName(_from_log(edges, default_counts()))
+    return kept.select(*columns).unionByName(_from_log(edges, COUNTS))
 
 
 def hourly_counts(usage: Usage, keys: list[str], window: clock.Window | None = None,
-                  counts: dict[str, Column] | None = None) -> DataFrame:
+                  counts: dict[str, str | Column] | None = None) -> DataFrame:
     """Sums of ``counts`` per ``keys`` and ``hour``, over events that belong to a space of the model.
 
     ``keys`` are dimension columns; ``space_id`` stands for the space itself.  A space listed twice counts its events
@@ -60,22 +59,12 @@ def hourly_counts(usage: Usage, keys: list[str], window: clock.Window | None = N
     result; otherwise the log is reduced per space and hour before it meets the dimension.
     """
     if usage.rollup is not None and counts is None:
-        rows, names = _from_rollup(usage, window), list(default_counts())
+        rows, names = _from_rollup(usage, window), list(COUNTS)
     else:
-        counts = counts or default_counts()
+        counts = counts or COUNTS
         events = usage.events if window is None else clock.within(usage.events, window, usage.at)
         rows, names = _from_log(events, counts), list(counts)
-    sums = [F.sum(n).alias(n) for n in names]
+    sums = [F.expr(f"sum({n}) AS {n}") for n in names]
     if not usage.broadcast_spaces:
         rows = rows.groupBy("space_id", "hour").agg(*sums)
     return rows.join(usage.dimension(*keys), "space_id").groupBy(*keys, "hour").agg(*sums)
-
-
-def any_occupied() -> Column:
-    """1 when the bucket holds at least one occupied event."""
-    return (F.col("n_occupied") > 0).cast("int")
-
-
-def event_share() -> Column:
-    """Share of occupied events over the grouped buckets."""
-    return F.sum("n_occupied") / F.sum("n_events")

@@ -16,27 +16,23 @@ from dwellgrid.usage import Usage
 
 
 def latest_states(usage: Usage, max_age: clock.Window | None = None) -> DataFrame:
-    """``space_id, room_name, spaceType, occupancy, event_time`` of the newest event of every space in the model.
+    """``space_id, room_name, occupancy, event_time`` of the newest event of every space in the model.
 
     ``max_by`` keeps one row per space on the map side, so the shuffle carries one row per space and task however
     many events a space has.  Equal timestamps are decided by ``event_order``, then by the larger room name where a
     space is listed twice.
     """
-    events = usage.events if max_age is None else clock.within(usage.events, max_age, usage.at)
-    rows = events.select("space_id", "ts", "event_order", F.struct("occupancy", "event_time").alias("state"))
-    order = ["ts", "event_order"]
+    rows = usage.events if max_age is None else clock.within(usage.events, max_age, usage.at)
+    payload, order = "occupancy, event_time", "ts, event_order"
 
-    def newest(frame: DataFrame, extra: list[str]) -> DataFrame:
-        return frame.groupBy("space_id").agg(
-            F.max_by(F.struct("state", *order, *extra), F.struct(*order, *extra)).alias("newest")
-        )
+    def newest(frame: DataFrame, extra: str = "") -> DataFrame:
+        best = f"max_by(struct({payload}, {order}{extra}), struct({order}{extra})) AS newest"
+        return frame.groupBy("space_id").agg(F.expr(best)).select("space_id", "newest.*")
 
     if not usage.broadcast_spaces:
-        rows = newest(rows, []).select("space_id", "newest.*")
-    joined = rows.join(usage.dimension("room_name", "spaceType"), "space_id")
-    return newest(joined, ["room_name", "spaceType"]).select(
-        "space_id", "newest.room_name", "newest.spaceType", "newest.state.occupancy", "newest.state.event_time"
-    )
+        rows = newest(rows)
+    joined = rows.join(usage.dimension("room_name"), "space_id")
+    return newest(joined, ", room_name").select("space_id", "room_name", "occupancy", "event_time")
 
 
 def status_floor_now(usage: Usage, floor: int | str, max_age: clock.Window | None = None) -> DataFrame:
@@ -48,7 +44,7 @@ def free_rooms_now(usage: Usage, floor: int | str, words=MEETING_WORDS,
                    max_age: clock.Window | None = None) -> DataFrame:
     """Spaces of a category whose newest event says unoccupied; an older unoccupied event does not count."""
     scoped = on_floor_only(usage, floor)
-    scoped = scoped.with_spaces(scoped.spaces.where(codes.contains_any(F.col("spaceType"), words)))
+    scoped = scoped.with_spaces(scoped.spaces.where(codes.contains_any("spaceType", words)))
     return latest_states(scoped, max_age).where(is_state("unoccupied")).select("room_name", "event_time")
 
 
@@ -59,5 +55,5 @@ def latest_room_status(usage: Usage, room: str) -> DataFrame:
         scoped.events.join(scoped.dimension("room_name"), "space_id")
         .orderBy(F.desc_nulls_last("ts"), F.desc_nulls_last("event_order"), F.desc_nulls_last("room_name"))
         .limit(1)
-        .select(F.col("occupancy").alias("occupancy_raw"), "event_time", "room_name")
+        .selectExpr("occupancy AS occupancy_raw", "event_time", "room_name")
     )

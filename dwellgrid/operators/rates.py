@@ -17,17 +17,30 @@ from pyspark.sql import functions as F
 from dwellgrid.functions.clock import Window, whole, window_start
 from dwellgrid.functions.floors import floor_token, on_floor
 from dwellgrid.functions.measures import occupied, percent
-from dwellgrid.operators.hourly import any_occupied, event_share, hourly_counts
+from dwellgrid.operators.hourly import ANY_OCCUPIED, EVENT_SHARE, hourly_counts
 from dwellgrid.usage import Usage
 
+# Mean of "any occupied event" over grouped buckets, as SQL.
+RATE = f"avg({ANY_OCCUPIED})"
+
 
 def on_floor_only(usage: Usage, floor: int | str | None, source: str = "storey") -> Usage:
     """Model restricted to the spaces of one floor; None keeps all."""
     return usage if floor is None else usage.with_spaces(usage.spaces.where(on_floor(floor, source)))
 
 
-def _floors(usage: Usage) -> DataFrame:
-    return usage.spaces.select(F.col("floor_n").alias("floor")).distinct()
+def with_every_floor(usage: Usage, hours: DataFrame) -> DataFrame:
+    """Floor-hour counts plus a row without counts per space, so that a later aggregate sees silent floors too.
+
+    Aggregates skip the NULLs; this replaces an outer join with the list of floors.
+    """
+    blank = [F.expr(f"CAST(NULL AS BIGINT) AS {c}") for c in hours.columns if c not in ("floor", "hour")]
+    return hours.drop("hour").unionByName(usage.spaces.select(F.expr("floor_n AS floor"), *blank))
+
+
+def in_floor_order(rates: DataFrame) -> DataFrame:
+    """One row per floor is a short report: it is sorted in a single task instead of by a range exchange."""
+    return rates.repartition(1).sortWithinPartitions(F.asc_nulls_last("floor"))
 
 
 def _floor_hours(usage: Usage, days: int) -> DataFrame:
@@ -39,11 +52,9 @@ def utilization_by_floor(usage: Usage, days: int = 7, fill_missing_with_zero: bo
 
     A floor without events in the window has NULL, or 0 with ``fill_missing_with_zero``.
     """
-    rates = _floor_hours(usage, days).groupBy("floor").agg(percent(F.avg(any_occupied())).alias("occ_rate_percent"))
-    listed = _floors(usage).join(rates, "floor", "left")
-    if fill_missing_with_zero:
-        listed = listed.withColumn("occ_rate_percent", F.coalesce("occ_rate_percent", F.lit(0.0)))
-    return listed.select("floor", "occ_rate_percent").orderBy(F.asc_nulls_last("floor"))
+    rate = f"coalesce({RATE}, 0.0D)" if fill_missing_with_zero else RATE
+    rated = with_every_floor(usage, _floor_hours(usage, days)).groupBy("floor")
+    return in_floor_order(rated.agg(percent(rate).alias("occ_rate_percent")))
 
 
 def utilization_by_floor_windows(usage: Usage, days: tuple[int, ...] = (7, 30)) -> DataFrame:
@@ -55,81 +66,69 @@ def utilization_by_floor_windows(usage: Usage, days: tuple[int, ...] = (7, 30))
     spans = sorted({whole(d, "days") for d in days})
     counts = {}
     for span in spans:
-        start = window_start(usage.events, Window(days=span), usage.at)
-        inside = F.col("ts") >= start
+        inside = F.col("ts") >= window_start(usage.events, Window(days=span), usage.at)
         counts[f"events_{span}"] = inside.cast("int")
         counts[f"occupied_{span}"] = F.when(inside, occupied()).otherwise(0)
-    hours = hourly_counts(usage, ["floor_n"], Window(days=spans[-1]), counts)
-    rates = hours.groupBy(F.col("floor_n").alias("floor")).agg(
-        *[
-            percent(F.avg(F.when(F.col(f"events_{s}") > 0, (F.col(f"occupied_{s}") > 0).cast("int"))))
-            .alias(f"occ_rate_percent_{s}d")
-            for s in spans
-        ]
+    hours = hourly_counts(usage, ["floor_n"], Window(days=spans[-1]), counts).withColumnRenamed("floor_n", "floor")
+    return in_floor_order(
+        with_every_floor(usage, hours)
+        .groupBy("floor")
+        .agg(
+            *[
+                percent(f"avg(CASE WHEN events_{s} > 0 THEN CAST(occupied_{s} > 0 AS INT) END)")
+                .alias(f"occ_rate_percent_{s}d")
+                for s in spans
+            ]
+        )
     )
-    return _floors(usage).join(rates, "floor", "left").orderBy(F.asc_nulls_last("floor"))
 
 
 def utilization_floor(usage: Usage, floor: int | str, days: int = 7) -> DataFrame:
     """One row: spaces with events in the window and their room rate in percent (0 when there are none)."""
-    scoped = on_floor_only(usage, floor)
     per_space = (
-        hourly_counts(scoped, ["space_id"], Window(days=whole(days, "days")))
+        hourly_counts(on_floor_only(usage, floor), ["space_id"], Window(days=whole(days, "days")))
         .groupBy("space_id")
-        .agg(F.sum(any_occupied()).alias("occupied_hours"), F.count("*").alias("hours"))
+        .agg(F.expr(f"sum({ANY_OCCUPIED}) AS occupied_hours"), F.expr("count(*) AS hours"))
     )
-    rate = F.sum("occupied_hours") / F.sum("hours")
     return per_space.agg(
-        F.count("*").alias("total_rooms"),
-        F.coalesce(percent(rate), F.lit(0.0)).alias("avg_utilization_percent"),
+        F.expr("count(*) AS total_rooms"),
+        percent("coalesce(sum(occupied_hours) / sum(hours), 0.0D)").alias("avg_utilization_percent"),
     )
 
 
 def compare_floors(usage: Usage, floor_a: int | str, floor_b: int | str, days: int = 7) -> DataFrame:
-    """Floor rates of two floors, as given and in the given order; a floor without events has 0."""
+    """Floor rates of two floors, as given and in the given order; a floor without events has 0.
+
+    Both arguments may name the same floor.
+    """
     asked = [str(floor_a), str(floor_b)]
-    sides = [F.when(on_floor(f), F.lit(i)) for i, f in enumerate(asked)]
-    tagged = usage.with_spaces(
-        usage.spaces.withColumn("side", F.explode(F.array_compact(F.array(*sides))))
-    )
-    rates = (
-        hourly_counts(tagged, ["side"], Window(days=whole(days, "days")))
-        .groupBy("side")
-        .agg(percent(F.avg(any_occupied())).alias("rate"))
-    )
-    # one conditional aggregate yields a row for both floors even when nothing matched
-    pairs = [
-        F.struct(
-            F.lit(i).alias("side"),
-            F.lit(f).alias("floor"),
-            F.coalesce(F.max(F.when(F.col("side") == i, F.col("rate"))), F.lit(0.0)).alias("occ_rate_percent"),
-        )
-        for i, f in enumerate(asked)
-    ]
-    return rates.agg(F.array(*pairs).alias("pairs")).select(F.inline("pairs")).orderBy("side").select(
-        "floor", "occ_rate_percent"
+    sides = F.array_compact(F.array(*[F.when(on_floor(f), F.lit(i)) for i, f in enumerate(asked)]))
+    tagged = usage.with_spaces(usage.spaces.withColumn("side", F.explode(sides)))
+    hours = hourly_counts(tagged, ["side"], Window(days=whole(days, "days")))
+    # a global aggregate has a row even when nothing matched, and with it both floors
+    rates = hours.agg(
+        *[percent(f"coalesce(avg(CASE WHEN side = {i} THEN {ANY_OCCUPIED} END), 0.0D)").alias(f"r{i}") for i in (0, 1)]
     )
+    pairs = F.array(*[F.struct(F.lit(f).alias("floor"), F.col(f"r{i}").alias("rate")) for i, f in enumerate(asked)])
+    return rates.select(F.inline(pairs)).withColumnRenamed("rate", "occ_rate_percent")
 
 
 def compare_floors_strict(usage: Usage, floors: list[int], days: int = 7) -> DataFrame:
     """Floor rates of the listed floors by the code's floor number; floors without events are absent."""
     wanted = [whole(int(f), "floor", minimum=-10_000) for f in floors]
     scoped = usage.with_spaces(usage.spaces.where(F.col("floor_n").isin(*wanted)))
-    return (
-        _floor_hours(scoped, days)
-        .groupBy("floor")
-        .agg(percent(F.avg(any_occupied())).alias("occ_rate_percent"))
-        .orderBy("floor")
-    )
+    rated = _floor_hours(scoped, days).groupBy("floor").agg(percent(RATE).alias("occ_rate_percent"))
+    return in_floor_order(rated)
 
 
 def busiest_rooms(usage: Usage, floor: int | str | None = None, days: int = 7, limit: int = 5) -> DataFrame:
     """Spaces with the highest room rate; equal rounded rates are ordered by room name, then by space."""
-    scoped = on_floor_only(usage, floor)
-    hours = hourly_counts(scoped, ["space_id", "room_name"], Window(days=whole(days, "days")))
+    hours = hourly_counts(
+        on_floor_only(usage, floor), ["space_id", "room_name"], Window(days=whole(days, "days"))
+    )
     return (
         hours.groupBy("space_id", "room_name")
-        .agg(percent(F.avg(any_occupied())).alias("occ_rate_percent"))
+        .agg(percent(RATE).alias("occ_rate_percent"))
         .orderBy(F.desc_nulls_last("occ_rate_percent"), "room_name", "space_id")
         .limit(whole(limit, "limit"))
         .select("room_name", "occ_rate_percent")
@@ -146,16 +145,11 @@ def peak_hours(usage: Usage, floor: int | str, top: int = 5, rounded: bool = Fal
         number = floor_token(floor)
         if number is None:
             raise ValueError(f"floor must be an integer, got {floor!r}")
-        scoped, name, value = on_floor_only(usage, number, "code"), "occ_rate_percent", percent(event_share())
+        scoped, value = on_floor_only(usage, number, "code"), percent(EVENT_SHARE).alias("occ_rate_percent")
     else:
-        scoped, name, value = on_floor_only(usage, floor), "occ_rate", event_share()
-    return (
-        hourly_counts(scoped, ["floor_n"])
-        .groupBy("hour")
-        .agg(value.alias(name))
-        .orderBy(F.desc_nulls_last(name), "hour")
-        .limit(whole(top, "top"))
-    )
+        scoped, value = on_floor_only(usage, floor), F.expr(EVENT_SHARE).alias("occ_rate")
+    rated = hourly_counts(scoped, []).groupBy("hour").agg(value)
+    return rated.orderBy(F.desc_nulls_last(rated.columns[-1]), "hour").limit(whole(top, "top"))
 
 
 def kpis(usage: Usage, window_hours: int = 24) -> DataFrame:
@@ -164,25 +158,15 @@ def kpis(usage: Usage, window_hours: int = 24) -> DataFrame:
     A rate without events is NULL.
     """
     window = Window(hours=whole(window_hours, "window_hours"), open_start=True)
-    hour_of_day = F.hour("hour")
-    per_space = (
-        hourly_counts(usage, ["space_id"], window)
-        .withColumns({"am": hour_of_day.between(9, 12), "pm": hour_of_day.between(13, 16)})
-        .groupBy("space_id")
-        .agg(
-            F.sum("n_events").alias("n_events"),
-            F.sum("n_occupied").alias("n_occupied"),
-            *[
-                F.sum(F.when(F.col(part), F.col(count))).alias(f"{part}_{count}")
-                for part in ("am", "pm")
-                for count in ("n_events", "n_occupied")
-            ],
-        )
-    )
+    parts = {"": "", "am_": " FILTER (WHERE hour(hour) BETWEEN 9 AND 12)",
+             "pm_": " FILTER (WHERE hour(hour) BETWEEN 13 AND 16)"}
+    sums = [F.expr(f"sum({c}){of} AS {p}{c}") for p, of in parts.items() for c in ("n_events", "n_occupied")]
+    per_space = hourly_counts(usage, ["space_id"], window).groupBy("space_id").agg(*sums)
     return per_space.agg(
-        F.count("*").alias("rooms_covered"),
-        event_share().alias("avg_occ"),
-        (F.sum("am_n_occupied") / F.sum("am_n_events")).alias("am_peak"),
-        (F.sum("pm_n_occupied") / F.sum("pm_n_events")).alias("pm_peak"),
+        F.expr("count(*) AS rooms_covered"),
+        *[
+            F.expr(f"sum({p}n_occupied) / sum({p}n_events) AS {name}")
+            for p, name in (("", "avg_occ"), ("am_", "am_peak"), ("pm_", "pm_peak"))
+        ],
         F.lit(window_hours).alias("window_hours"),
     )

@@ -7,28 +7,35 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.functions import codes
 from dwellgrid.functions.clock import Window, whole
-from dwellgrid.operators.hourly import any_occupied, hourly_counts
+from dwellgrid.operators.hourly import ANY_OCCUPIED, hourly_counts
 from dwellgrid.operators.rates import on_floor_only
 from dwellgrid.schema import QUIET_WORDS, REFRESH_WORDS
 from dwellgrid.usage import Usage
 
 COUNT_MODES = ("rooms", "join_rows")
 
+ZONE = ["floor", "zone"]
 
-def _zoned_rooms(usage: Usage, quiet, refresh) -> DataFrame:
-    kind = F.col("spaceType")
-    return usage.spaces.where(F.col("code").isNotNull()).select(
-        F.col("uuid").alias("space_id"),
-        F.col("floor_n").alias("floor"),
-        codes.zone(F.col("code")).alias("zone"),
-        "room_name",
-        codes.contains_any(kind, quiet).cast("int").alias("quiet"),
-        codes.contains_any(kind, refresh).cast("int").alias("refresh"),
+# Ordered text of the names of a group, as SQL.
+NAME_LIST = "listagg(room_name, ', ') WITHIN GROUP (ORDER BY room_name) AS sample_rooms"
+
+
+def _zoned(usage: Usage, quiet, refresh) -> Usage:
+    """Model whose spaces carry ``floor, zone, quiet, refresh`` besides their name."""
+    return usage.with_spaces(
+        usage.spaces.where("code IS NOT NULL").select(
+            "uuid",
+            F.expr("floor_n AS floor"),
+            codes.zone().alias("zone"),
+            "room_name",
+            codes.contains_any("spaceType", quiet).cast("int").alias("quiet"),
+            codes.contains_any("spaceType", refresh).cast("int").alias("refresh"),
+        )
     )
 
 
@@ -36,60 +43,67 @@ def _window(hours: int | None, days: int) -> Window:
     return Window(hours=whole(hours, "hours")) if hours else Window(days=whole(days, "days"))
 
 
-def zone_measures(usage: Usage, floor: int | str | None = None, hours: int | None = None, days: int = 14,
-                  count_mode: str = "rooms", quiet=QUIET_WORDS, refresh=REFRESH_WORDS) -> DataFrame:
-    """Numeric features per floor and zone.
+def _facts(usage: Usage, floor: int | str | None, hours: int | None, days: int, count_mode: str, quiet,
+           refresh) -> DataFrame:
+    """Summable rows per zone and room name: ``people_hours, rooms, quiet, refresh``.
 
-    ``people_hours`` sums the occupied space-hours of the window, NULL for a zone without events.  The counts are
-    rooms of the zone; with ``count_mode="join_rows"`` a room counts once per hour in which it had events.  Hours are
-    reduced to one row per space before zones are formed, so no room fans out.
+    One row per room and one per active space-hour.  Both kinds only ever meet in sums, so no room fans out and no
+    outer join is needed; ``people_hours`` is NULL on room rows.
     """
     if count_mode not in COUNT_MODES:
         raise ValueError(f"count_mode must be one of {COUNT_MODES}")
-    scoped = on_floor_only(usage, floor)
-    rooms = _zoned_rooms(scoped, quiet, refresh)
-    active = (
-        hourly_counts(scoped, ["space_id"], _window(hours, days))
-        .groupBy("space_id")
-        .agg(F.sum(any_occupied()).alias("occupied_hours"), F.count("*").alias("hours"))
-    )
-    weight: Column = F.lit(1) if count_mode == "rooms" else F.coalesce("hours", F.lit(1))
-    return (
-        rooms.join(active, "space_id", "left")
-        .groupBy("floor", "zone")
-        .agg(
-            F.sum("occupied_hours").alias("people_hours"),
-            F.sum(weight).cast("bigint").alias("rooms_in_zone"),
-            F.sum(F.col("quiet") * weight).cast("bigint").alias("quiet_cnt"),
-            F.sum(F.col("refresh") * weight).cast("bigint").alias("refresh_cnt"),
+    zoned = _zoned(on_floor_only(usage, floor), quiet, refresh)
+    names = [*ZONE, "room_name"]
+    active = hourly_counts(zoned, ["space_id", *names, "quiet", "refresh"], _window(hours, days))
+    listed = zoned.spaces.withColumnRenamed("uuid", "space_id")
+    if count_mode == "rooms":
+        return listed.selectExpr(*names, "CAST(NULL AS BIGINT) AS people_hours", "1L AS rooms", "CAST(quiet AS BIGINT) AS quiet",
+                                 "CAST(refresh AS BIGINT) AS refresh").unionByName(
+            active.selectExpr(*names, f"CAST({ANY_OCCUPIED} AS BIGINT) AS people_hours", "0L AS rooms", "0L AS quiet",
+                              "0L AS refresh")
         )
+    room = ["space_id", *names, "quiet", "refresh"]
+    per_room = (
+        listed.selectExpr(*room, "CAST(NULL AS INT) AS occ", "0 AS hours")
+        .unionByName(active.selectExpr(*room, f"{ANY_OCCUPIED} AS occ", "1 AS hours"))
+        .groupBy(*room)
+        .agg(F.expr("sum(occ) AS people_hours"), F.expr("greatest(sum(hours), 1) AS rooms"))
     )
+    return per_room.selectExpr(*names, "people_hours", "rooms", "quiet * rooms AS quiet", "refresh * rooms AS refresh")
 
 
-def zone_names(usage: Usage, floor: int | str | None = None, only: DataFrame | None = None) -> DataFrame:
-    """Distinct room names per floor and zone as one ordered text.
+_SUMS = [("people_hours", "people_hours"), ("rooms", "rooms_in_zone"), ("quiet", "quiet_cnt"), ("refresh", "refresh_cnt")]
 
-    Names are deduplicated before they are gathered.  ``only`` restricts the work to listed (floor, zone) pairs.
+
+def zone_measures(usage: Usage, floor: int | str | None = None, hours: int | None = None, days: int = 14,
+                  count_mode: str = "rooms", quiet=QUIET_WORDS, refresh=REFRESH_WORDS) -> DataFrame:
+    """Numeric features per floor and zone.
+
+    ``people_hours`` sums the occupied space-hours of the window, NULL for a zone without events.  The counts are
+    rooms of the zone; with ``count_mode="join_rows"`` a room counts once per hour in which it had events.
     """
-    scoped = on_floor_only(usage, floor)
-    rooms = _zoned_rooms(scoped, (), ()).select("floor", "zone", "room_name")
-    if only is not None:
-        rooms = rooms.join(only.select("floor", "zone"), ["floor", "zone"], "left_semi")
-    return (
-        rooms.distinct()
-        .groupBy("floor", "zone")
-        .agg(F.expr("listagg(room_name, ', ') WITHIN GROUP (ORDER BY room_name)").alias("sample_rooms"))
-    )
+    facts = _facts(usage, floor, hours, days, count_mode, quiet, refresh)
+    return facts.groupBy(*ZONE).agg(*[F.expr(f"sum({c}) AS {n}") for c, n in _SUMS])
+
+
+def zone_names(usage: Usage, only: DataFrame, floor: int | str | None = None) -> DataFrame:
+    """Distinct room names of the listed (floor, zone) pairs as one ordered text each."""
+    rooms = _zoned(on_floor_only(usage, floor), (), ()).spaces.select(*ZONE, "room_name")
+    return rooms.join(only.select(*ZONE), ZONE, "left_semi").distinct().groupBy(*ZONE).agg(F.expr(NAME_LIST))
 
 
 def facility_features(usage: Usage, floor: int | str | None = None, hours: int | None = None, days: int = 14,
                       count_mode: str = "rooms", quiet=QUIET_WORDS, refresh=REFRESH_WORDS) -> DataFrame:
-    """Zone measures plus the names of the zone's rooms, sorted by floor and zone."""
-    measures = zone_measures(usage, floor, hours, days, count_mode, quiet, refresh)
+    """Zone measures plus the distinct names of the zone's rooms, sorted by floor and zone.
+
+    Rows are summed per zone and name first, so the text is built from names that are already distinct.
+    """
+    facts = _facts(usage, floor, hours, days, count_mode, quiet, refresh)
+    by_name = facts.groupBy(*ZONE, "room_name").agg(*[F.expr(f"sum({c}) AS {c}") for c, _ in _SUMS])
     return (
-        measures.join(zone_names(usage, floor), ["floor", "zone"])
-        .select("floor", "zone", "people_hours", "rooms_in_zone", "quiet_cnt", "refresh_cnt", "sample_rooms")
-        .orderBy(F.asc_nulls_last("floor"), F.asc_nulls_last("zone"))
+        by_name.groupBy(*ZONE)
+        .agg(*[F.expr(f"sum({c}) AS {n}") for c, n in _SUMS], F.expr(NAME_LIST))
+        .orderBy(*[F.asc_nulls_last(c) for c in ZONE])
     )
 
 
@@ -115,31 +129,27 @@ def rank_zones(usage: Usage, options: PlanOptions = PlanOptions(), count_mode: s
     people-hours, then to the smaller floor and zone.  Room names are gathered for the winners only.
     """
     measures = zone_measures(usage, options.floor, options.hours, options.days, count_mode, quiet, refresh)
-    quiet_share = F.col("quiet_cnt") / F.col("rooms_in_zone")
-    score = F.col("people_hours").cast("double")
+    quiet_share = "quiet_cnt / rooms_in_zone"
+    score = "CAST(people_hours AS DOUBLE)"
     if options.avoid_quiet:
-        score = score * (1.0 - F.lit(float(options.quiet_weight)) * quiet_share)
-    score = score * F.when(F.col("refresh_cnt") > 0, F.lit(float(options.downweight_refreshment))).otherwise(1.0)
+        score += f" * (1D - {float(options.quiet_weight)!r}D * {quiet_share})"
+    score += f" * if(refresh_cnt > 0, {float(options.downweight_refreshment)!r}D, 1D)"
     best_first = [
-        F.desc_nulls_last("score"),
-        F.desc_nulls_last("people_hours"),
-        F.asc_nulls_last("floor"),
-        F.asc_nulls_last("zone"),
+        F.desc_nulls_last("score"), F.desc_nulls_last("people_hours"), *[F.asc_nulls_last(c) for c in ZONE],
     ]
     best = (
-        measures.withColumns(
-            {
-                "quiet_pct": F.bround(quiet_share * 100, 1),
-                "score": F.when(score.isNotNull(), F.greatest(score, F.lit(0.0))),
-            }
+        measures.selectExpr(
+            "*",
+            f"bround({quiet_share} * 100, 1) AS quiet_pct",
+            f"if(people_hours IS NOT NULL, greatest({score}, 0D), NULL) AS score",
         )
         .orderBy(*best_first)
         .limit(whole(options.k, "k"))
     )
     # the winners are k rows, whatever the data
-    names = zone_names(usage, options.floor, F.broadcast(best))
+    names = zone_names(usage, F.broadcast(best), options.floor)
     return (
-        best.join(F.broadcast(names), ["floor", "zone"])
+        best.join(F.broadcast(names), ZONE)
         .orderBy(*best_first)
-        .select("floor", "zone", "people_hours", "rooms_in_zone", "quiet_pct", "score", "sample_rooms")
+        .select(*ZONE, "people_hours", "rooms_in_zone", "quiet_pct", "score", "sample_rooms")
     )

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dwellgrid.functions.clock import Window, whole, window_start
-from dwellgrid.functions.measures import occupied, percent
-from dwellgrid.operators.hourly import default_counts, hourly_counts
+from dwellgrid.functions.measures import occupied
+from dwellgrid.operators.hourly import COUNTS, hourly_counts
 from dwellgrid.operators.rates import utilization_by_floor_windows
 from dwellgrid.usage import Usage
 
@@ -27,31 +26,34 @@ def overview(usage: Usage, days: int = 14, peaks: int = 3) -> DataFrame:
     """
     inside = F.col("ts") >= window_start(usage.events, Window(days=whole(days, "days")), usage.at)
     counts = {
-        **default_counts(),
+        **COUNTS,
         "window_events": inside.cast("int"),
         "window_occupied": F.when(inside, occupied()).otherwise(0),
     }
     hours = hourly_counts(usage, ["floor_n"], None, counts)
-    of_floor = W.partitionBy("floor_n")
-    observed = F.when(F.col("window_events") > 0, (F.col("window_occupied") > 0).cast("int"))
-    rated = hours.select(
+    observed = "CASE WHEN window_events > 0 THEN CAST(window_occupied > 0 AS INT) END"
+    rated = hours.selectExpr(
         "floor_n",
         "hour",
-        percent(F.avg(observed).over(of_floor)).alias("rate"),
-        percent(F.col("n_occupied") / F.col("n_events")).alias("hour_rate"),
-    ).withColumn("place", F.row_number().over(of_floor.orderBy(F.desc("hour_rate"), "hour")))
-    label = F.concat(F.date_format("hour", "HH:mm"), F.lit(" ("), F.col("hour_rate").cast("string"), F.lit("%)"))
+        f"round(avg({observed}) OVER (PARTITION BY floor_n) * 100, 1) AS rate",
+        "round(n_occupied / n_events * 100, 1) AS hour_rate",
+    ).selectExpr("*", "row_number() OVER (PARTITION BY floor_n ORDER BY hour_rate DESC, hour) AS place")
     floors = (
-        rated.where((F.col("place") <= peaks) & F.col("rate").isNotNull())
+        rated.where(f"place <= {whole(peaks, 'peaks')} AND rate IS NOT NULL")
         .groupBy("floor_n")
-        .agg(F.max("rate").alias("rate"), F.sort_array(F.collect_list(F.struct("place", label.alias("label")))).alias("p"))
+        .agg(
+            F.max("rate").alias("rate"),
+            F.expr("listagg(concat(date_format(hour, 'HH:mm'), ' (', hour_rate, '%)'), ', ') "
+                   "WITHIN GROUP (ORDER BY place) AS peaks"),
+        )
     )
-    best = F.max_by(F.struct("floor_n", "rate", "p"), F.struct("rate", -F.col("floor_n")))
-    worst = F.min_by(F.struct("floor_n", "rate"), F.struct("rate", "floor_n"))
-    return floors.agg(best.alias("best"), worst.alias("worst")).select(
-        F.col("best.floor_n").alias("best_floor"),
-        F.col("best.rate").alias("best_rate_percent"),
-        F.col("worst.floor_n").alias("worst_floor"),
-        F.col("worst.rate").alias("worst_rate_percent"),
-        F.array_join(F.transform("best.p", lambda x: x["label"]), ", ").alias("peak_hours"),
+    return floors.agg(
+        F.expr("max_by(struct(floor_n, rate, peaks), struct(rate, -floor_n)) AS best"),
+        F.expr("min_by(struct(floor_n, rate), struct(rate, floor_n)) AS worst"),
+    ).selectExpr(
+        "best.floor_n AS best_floor",
+        "best.rate AS best_rate_percent",
+        "worst.floor_n AS worst_floor",
+        "worst.rate AS worst_rate_percent",
+        "best.peaks AS peak_hours",
     )

@@ -19,4 +19,4 @@ def enrich_events(events: DataFrame) -> DataFrame:
     Buckets follow the session time zone, so a building's local days need that zone in the session.
     """
     timed = events if "ts" in events.columns else events.withColumn("ts", F.timestamp_millis("event_timestamp"))
-    return timed.withColumns({"hour": clock.bucket(timed, "hour"), "day": clock.bucket(timed, "day")})
+    return timed.withColumns({unit: F.expr(clock.bucket(timed, unit)) for unit in ("hour", "day")})

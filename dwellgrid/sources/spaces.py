@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from dwellgrid.functions import codes
 
@@ -11,16 +10,16 @@ from dwellgrid.functions import codes
 def clean_spaces(raw: DataFrame) -> DataFrame:
     """Raw columns plus ``label, code, room_id, room_key, display_name, floor_n``.
 
-    Rows without a room code, with a floor that is not an integer, or with a device label are dropped.
+    Rows without a room code, with a floor that is not an integer, or with a device label are dropped; a floor number
+    exists only where a code does.
     """
-    name = F.col("room_name")
-    parsed = raw.withColumns({"label": codes.label(name), "code": codes.room_code(name)})
+    parsed = raw.withColumns({"label": codes.label(), "code": codes.room_code()})
     derived = parsed.withColumns(
         {
-            "room_id": codes.room_id(F.col("code")),
-            "room_key": codes.room_key(F.col("code")),
-            "display_name": F.col("code"),
-            "floor_n": codes.floor_number(F.col("code")),
+            "room_id": codes.room_id(),
+            "room_key": codes.room_key(),
+            "display_name": parsed["code"],
+            "floor_n": codes.floor_number(),
         }
     )
-    return derived.where(F.col("code").isNotNull() & F.col("floor_n").isNotNull() & ~codes.is_junk(F.col("label")))
+    return derived.where(derived["floor_n"].isNotNull() & ~codes.is_junk())

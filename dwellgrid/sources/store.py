@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellgrid.functions import clock
-from dwellgrid.functions.measures import occupied
+from dwellgrid.functions.measures import OCCUPIED
 from dwellgrid.schema import COLLECTION
 
 
@@ -31,12 +31,11 @@ def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
 
 def hourly_rollup(events: DataFrame) -> DataFrame:
     """``space_id, hour, n_events, n_occupied, event_date``: counts per space and calendar hour of the session zone."""
-    day = F.to_date(F.col("hour"))
     return (
-        events.select("space_id", clock.bucket(events).alias("hour"), occupied().alias("flag"))
+        events.selectExpr("space_id", f"{clock.bucket(events)} AS hour", f"{OCCUPIED} AS flag")
         .groupBy("space_id", "hour")
-        .agg(F.count("*").alias("n_events"), F.sum("flag").alias("n_occupied"))
-        .withColumn("event_date", day)
+        .agg(F.expr("count(*) AS n_events"), F.expr("sum(flag) AS n_occupied"))
+        .withColumn("event_date", F.to_date("hour"))
     )
 
 
