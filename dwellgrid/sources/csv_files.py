@@ -12,11 +12,11 @@ from dwellgrid import schema
 def read_csv(spark: SparkSession, path: str, columns: T.StructType, corrupt_column: str | None = None) -> DataFrame:
     """Header CSV under an explicit schema.
 
-    The header must name the schema's columns.  Values that do not parse become NULL; with ``corrupt_column`` the
+    The header must name the schema's columns; quotes inside quoted values are doubled.  Values that do not parse become NULL; with ``corrupt_column`` the
     offending line is kept in that column.
     """
     wanted = columns.add(corrupt_column, T.StringType()) if corrupt_column else columns
-    reader = spark.read.schema(wanted).option("header", True).option("mode", "PERMISSIVE")
+    reader = spark.read.schema(wanted).option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
     if corrupt_column:
         return reader.option("columnNameOfCorruptRecord", corrupt_column).csv(path)
     return reader.option("enforceSchema", False).csv(path)

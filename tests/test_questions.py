@@ -1,0 +1,97 @@
+from __future__ import annotations
+
+import pytest
+from conftest import rows
+
+from dwellgrid.operators.dialogue import last_turns
+from dwellgrid.operators.profile import map_synonyms, synonym_table
+from dwellgrid.operators.questions import label_questions
+from dwellgrid.functions.text import normalise
+
+# question, specific (intent, parameters), legacy (mode or intent, parameters)
+GOLDEN = [
+    ("list floors", ("list_floors", {}), ("list_floors", {})),
+    ("rooms on floor 3", ("rooms_on_floor", {"floor": 3}), ("rooms_on_floor", {"floor": 3})),
+    ("free meeting rooms now on floor 2", ("free_meeting_rooms_now", {"floor": 2}), ("rooms_on_floor", {"floor": 2})),
+    ("utilization by floor last 30 days", ("utilization_by_floor", {"days": 30}), ("utilization_by_floor", {"days": 30})),
+    ("busiest rooms on floor 3 last 14 days", ("busiest_rooms", {"floor": 3, "days": 14, "k": 5}),
+     ("rooms_on_floor", {"floor": 3})),
+    ("busiest rooms last 14 days", ("busiest_rooms", {"floor": None, "days": 14, "k": 5}),
+     ("busiest_rooms", {"floor": 14, "days": 14, "k": 5})),
+    ("underused rooms last month", ("underused_rooms", {"days": 30, "threshold": 0.1}),
+     ("underused_rooms", {"days": 30, "threshold": 0.1})),
+    ("underused rooms last 30 days threshold 0.15", ("underused_rooms", {"floor": None, "days": 30, "threshold": 0.15}),
+     ("rooms_on_floor", {"floor": 0})),
+    ("underused space below 20%", ("underused_rooms", {"floor": None, "days": 30, "threshold": 0.2}),
+     ("underused_rooms", {"floor": 20, "days": 30, "threshold": 0.2})),
+    ("Best 2 coffee machine spots on floor 3 now (avoid quiet areas)",
+     ("plan_coffee_machines", {"floor": 3, "k": 2, "hours": 1, "avoid_quiet": True}),
+     ("plan_coffee_machines", {"floor": 3, "k": 2, "hours": 1, "days": 14, "avoid_quiet": True})),
+    ("coffee machine placement past 3 weeks, ignore quiet",
+     ("plan_coffee_machines", {"floor": None, "k": 2, "days": 21, "avoid_quiet": False}),
+     ("plan_coffee_machines", {"floor": 3, "k": 3, "days": 21, "avoid_quiet": False})),
+    ("utilization floor 3", ("utilization_floor", {"floor": 3, "days": 7}), ("utilization_floor", {"floor": 3, "days": 7})),
+    ("compare floors 2 and 3", ("compare_floors", {"floor": 2, "other_floor": 3, "days": 7}),
+     ("compare_floors", {"floor": 2, "other_floor": 3, "days": 7})),
+    ("compare floors -1 & 3 last 2 weeks", ("compare_floors", {"floor": -1, "other_floor": 3, "days": 14}),
+     ("compare_floors", {"floor": -1, "other_floor": 3, "days": 14})),
+    ("find room 3.201", ("find_rooms_like", {"room": "3.201"}), ("rooms_on_floor", {"floor": 3})),
+    ("sensors of room 3.201", ("sensors_for_room", {"room": "3.201"}), ("rooms_on_floor", {"floor": 3})),
+    ("is room 3.201 occupied now", ("latest_room_status", {"room": "3.201"}), ("rooms_on_floor", {"floor": 3})),
+    ("peak hours for Floor 2", ("peak_hours_floor", {"floor": 2}), ("model", {})),
+    ("suggest improvements for floor 1 this month", ("agent", {}), ("agent", {})),
+    ("show usage", ("model", {}), ("agent", {})),
+    ("what is the utilization by floor", ("utilization_by_floor", {"days": 7}), ("list_floors", {})),
+    ("status now for Floor 1", ("status_floor_now", {"floor": 1}), ("model", {})),
+    ("average occupancy per floor last 7 days", ("utilization_by_floor", {"days": 7}), ("model", {})),
+    ("top 10 rooms by occupancy past 24 hours", ("busiest_rooms", {"k": 10, "hours": 24, "days": None}), ("model", {})),
+    ("Wélke   VERDIEPINGEN", ("list_floors", {}), ("list_floors", {})),
+    ("drukste kamers verdieping 4", ("busiest_rooms", {"floor": 4, "days": 7}), ("rooms_on_floor", {"floor": 4})),
+    ("اعرض الطوابق", ("list_floors", {}), ("list_floors", {})),
+    ("غرف الدور ٣", ("rooms_on_floor", {"floor": 3}), ("rooms_on_floor", {"floor": 3})),
+    ("x" * 181, ("agent", {}), ("agent", {})),
+    ("", ("model", {}), ("model", {})),
+    (None, ("model", {}), ("model", {})),
+]
+
+
+@pytest.mark.parametrize("order, column", [("specific", 1), ("legacy", 2)])
+def test_golden_questions(spark, order, column):
+    log = spark.createDataFrame([(i, g[0]) for i, g in enumerate(GOLDEN)], "i int, text string")
+    labelled = {r["i"]: r for r in label_questions(log, order=order).collect()}
+    for i, golden in enumerate(GOLDEN):
+        wanted, parameters = golden[column]
+        row = labelled[i]
+        assert (row["intent"] or row["mode"]) == wanted, (golden[0], row)
+        for name, value in parameters.items():
+            assert row[name] == value, (golden[0], name, row)
+
+
+def test_unknown_order(spark):
+    with pytest.raises(ValueError):
+        label_questions(spark.createDataFrame([("a",)], "text string"), order="other")
+
+
+def test_normalise(spark):
+    texts = ["  Crème\tBRÛLÉE \n x ", "plain", None, "أدوار ٢", "ﬁn ½"]
+    log = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = dict(rows(log.select("i", normalise(log["t"]))))
+    assert found == {0: "creme brulee x", 1: "plain", 2: None, 3: "ادوار 2", 4: "fin 1⁄2"}
+
+
+def test_synonyms(spark):
+    log = spark.createDataFrame([("Is the conference room vacant?",), ("busybody",), ("a TAKEN level",)], "text string")
+    assert [r[1] for r in rows(map_synonyms(log))] == [["free", "meeting room"], [], ["floor", "occupied"]]
+    assert ("free", "vacant") in rows(synonym_table(spark))
+
+
+def test_last_turns(spark):
+    """Ten turns with a system turn among the last eight leave seven."""
+    roles = ["user", "assistant"] * 5
+    roles[5] = "system"
+    turns = [(1, i, role, f"t{i}") for i, role in enumerate(roles)] + [(2, 0, "assistant", "hello")]
+    log = spark.createDataFrame(turns, "conv_id int, turn int, role string, text string")
+    found = rows(last_turns(log).orderBy("conv_id", "turn"))
+    assert [r[1] for r in found] == [2, 3, 4, 6, 7, 8, 9, 0]
+    assert found[0][2:] == ("human", "t2") and found[-1][2:] == ("ai", "hello")
+    assert len(rows(last_turns(log, 1))) == 2
