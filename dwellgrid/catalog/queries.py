@@ -94,17 +94,16 @@ def _params(spark: SparkSession, folder: str) -> DataFrame:
     """Parameters read from every question, whatever its intent."""
     log = question_log(spark, folder)
     text = questions.normalise(F.btrim("text", F.lit(questions.BLANKS)))
-    return log.withColumn("q", text).select(
-        "conv_id",
-        "turn",
-        questions.trailing_days(F.col("q")).alias("days"),
-        questions.trailing_hours(F.col("q")).alias("hours"),
-        questions.threshold_share(F.col("q")).alias("threshold"),
-        questions.captured_int(F.col("q"), questions.FIRST_INT).alias("first_number"),
-        questions.captured_int(F.col("q"), questions.FLOOR_OF_ROOMS).alias("floor"),
-        questions.captured_int(F.col("q"), questions.SHORT_ROOM_CODE).alias("room_floor"),
-        questions.is_open_ended(F.col("q")).alias("open_ended"),
-    )
+    values = {
+        "days": questions.trailing_days("q"),
+        "hours": questions.trailing_hours("q"),
+        "threshold": questions.threshold_share("q"),
+        "first_number": questions.captured_int("q", questions.FIRST_INT),
+        "floor": questions.captured_int("q", questions.FLOOR_OF_ROOMS),
+        "room_floor": questions.captured_int("q", questions.SHORT_ROOM_CODE),
+        "open_ended": questions.is_open_ended("q"),
+    }
+    return log.withColumn("q", text).selectExpr("conv_id", "turn", *[f"{v} AS {n}" for n, v in values.items()])
 
 
 def queries() -> dict[str, Query]:

@@ -33,9 +33,7 @@ def _number(column: str, pattern: str, group: int = 1) -> str:
 
 
 def _without(column: str, *patterns: str) -> str:
-    for pattern in patterns:
-        column = f"regexp_replace({column}, {_text(pattern)}, ' ', 'g')"
-    return column
+    return f"regexp_replace({column}, {_text('|'.join(patterns))}, ' ', 'g')"
 
 
 def _days(column: str) -> str:
@@ -156,7 +154,7 @@ def _specific() -> str:
     bared AS (SELECT *,
       COALESCE({_number('q', q.FLOOR_OF_ROOMS)}, {_number('q', q.ORDINAL_FLOOR)},
                TRY_CAST(split_part(room_code, '.', 1) AS INTEGER)) AS said_floor,
-      {_without('cut', q.SPAN, q.SPAN_HOURS, q.FLOOR_OF_ROOMS, q.ORDINAL_FLOOR, '[+-]?[0-9]+[.][0-9a-z]+')} AS bare,
+      {_without('cut', q.SPAN, q.SPAN_HOURS, q.FLOOR_OF_ROOMS, q.ORDINAL_FLOOR, q.ANY_CODE)} AS bare,
       COALESCE({_number('q', q.SPAN_HOURS)},
                CASE WHEN {_word('q', (*q.NOW_WORDS, 'this moment'))} THEN 1 END) AS said_hours,
       {_days('q')} AS said_days FROM roomed),

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dwellgrid.functions.codes import quoted
+
 BLANKS = " \t\r\n\f\v"
 ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩"
 
@@ -43,25 +45,45 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
-def contains_any(text: Column, words) -> Column:
-    """True when the normalised text contains one of the words anywhere, inside longer words too."""
-    return text.rlike("|".join(plain_word(w) for w in words))
+# The helpers below return SQL text over a named column of normalised text; rules are composed from them.
+
+
+def contains_any(column: str, words) -> str:
+    """One of the words occurs anywhere, inside longer words too."""
+    return "(" + " OR ".join(f"contains({column}, {quoted(plain_word(w))})" for w in words) + ")"
 
 
-def has_word(text: Column, words) -> Column:
-    """True when one of the words or phrases stands alone in the normalised text.
+def has_word(column: str, words) -> str:
+    """One of the words or phrases stands alone.
 
     Boundaries are any character that is not an ASCII letter, digit or underscore, so phrases in other scripts match
-    as substrings.
+    as substrings.  The cheap substring test comes first and spares most texts the regular expression.
     """
     choice = "|".join(plain_word(w) for w in words)
-    return text.rlike(f"(^|[^a-z0-9_])({choice})([^a-z0-9_]|$)")
+    return matches(column, f"(^|[^a-z0-9_])({choice})([^a-z0-9_]|$)", words)
+
+
+def matches(column: str, pattern: str, needs) -> str:
+    """Regular expression test; ``needs`` are substrings without any of which the pattern cannot match."""
+    return f"({contains_any(column, needs)} AND {column} RLIKE {quoted(pattern)})"
 
 
-def captured(text: Column, pattern: str, group: int = 1) -> Column:
+def _group(column: str, pattern: str, group: int, needs) -> str:
+    value = f"regexp_extract({column}, {quoted(pattern)}, {group})"
+    return value if needs is None else f"CASE WHEN {contains_any(column, needs)} THEN {value} END"
+
+
+def captured(column: str, pattern: str, group: int = 1, needs=None) -> str:
     """A regular expression group; NULL when the pattern does not match or the group is empty."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return f"nullif({_group(column, pattern, group, needs)}, '')"
+
+
+def captured_int(column: str, pattern: str, group: int = 1, needs=None) -> str:
+    """A regular expression group as an integer; NULL when there is none."""
+    return f"try_cast({_group(column, pattern, group, needs)} AS INT)"
 
 
-def captured_int(text: Column, pattern: str, group: int = 1) -> Column:
-    return captured(text, pattern, group).try_cast("int")
+def without(column: str, patterns, needs) -> str:
+    """The text with every match of one of the patterns, all of which hold a digit, replaced by a blank."""
+    replaced = f"regexp_replace({column}, {quoted('|'.join(patterns))}, ' ')"
+    return f"if({contains_any(column, needs)} AND {column} RLIKE '[0-9]', {replaced}, {column})"

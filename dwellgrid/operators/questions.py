@@ -11,10 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellgrid.functions.text import BLANKS, captured, captured_int, contains_any, has_word, normalise, plain_word
+from dwellgrid.functions.codes import quoted
+from dwellgrid.functions.text import (
+    BLANKS, captured, captured_int, contains_any, has_word, matches, normalise, plain_word, without,
+)
 
 # Word lists in English, Dutch and Arabic.
 LIST_VERBS = (
@@ -69,10 +72,25 @@ SPAN_HOURS = r"(?:last|past)\s+(\d+)\s*hours?"
 BELOW = r"(?:<|below|under)\s*(\d+)\s*%?"
 THRESHOLD = r"threshold\s*(?:of\s*)?(\d*\.\d+|\d+)"
 COMPARE = rf"compare\s+floors?\s+{NUMBER}\s+(?:and|&)\s+{NUMBER}"
+COMPARED_FLOORS = r"compare\s+floors"
 FIRST_INT = r"(-?\d+)"
+ANY_CODE = r"[+-]?\d+\.[0-9a-z]+"
+TOP_ROOMS = r"top \d+ rooms"
 USAGE_OF_FLOOR = r"\b(utilization|bezetting|benutting)\b.*\b(floor|level|storey|verdiep|etage)\b"
 NOW = r"\b(now|right now|currently|this moment)\b"
 
+# Substrings one of which every match of a pattern contains.
+FLOOR_NEEDS = ("floor", "level", "storey", "verdiep")
+FLOOR_OF_ROOMS_NEEDS = (*FLOOR_NEEDS, "etage", "الدور", "طابق", "دور")
+SPAN_NEEDS = ("last", "past")
+BELOW_NEEDS = ("<", "below", "under")
+THRESHOLD_NEEDS = ("threshold",)
+COMPARE_NEEDS = ("compare",)
+CODE_NEEDS = (".",)
+NOW_NEEDS = ("now", "currently", "this moment")
+RANK_NEEDS = ("best", "top", "first")
+RANK = r"(?:best|top|first)\s+(\d+)"
+
 RULE_ORDERS = ("specific", "legacy")
 
 # Parameters a rule may fill, with their types; NULL where an intent has no use for one.
@@ -84,180 +102,193 @@ PARAMETERS = {
 
 @dataclass(frozen=True)
 class Rule:
-    """One labelling rule: how the question is answered, when it applies and the parameters it fills."""
+    """One labelling rule: how the question is answered, when it applies and the parameters it fills (SQL text)."""
 
     mode: str
     intent: str | None
-    when: Column
-    parameters: dict[str, Column]
+    when: str
+    parameters: dict[str, str]
     name: str
 
 
-def trailing_days(text: Column) -> Column:
+def says_now(text: str) -> str:
+    return matches(text, NOW, NOW_NEEDS)
+
+
+def trailing_days(text: str) -> str:
     """Days of "last 3 weeks", "past month" and the like; NULL where none is said or where it says "now"."""
-    n = captured_int(text, SPAN, 2)
-    unit = captured(text, SPAN, 3)
-    counted = F.when(F.startswith(unit, F.lit("week")), n * 7).when(F.startswith(unit, F.lit("month")), n * 30)
-    named = F.when(contains_any(text, ("last week", "past week")), F.lit(7)).when(
-        contains_any(text, ("last month", "past month")), F.lit(30)
-    )
-    return F.when(~text.rlike(NOW), F.when(unit.isNotNull(), F.coalesce(counted, n)).otherwise(named))
+    n, unit = captured_int(text, SPAN, 2), f"regexp_extract({text}, {quoted(SPAN)}, 3)"
+    return f"""CASE WHEN {says_now(text)} THEN NULL
+        WHEN {matches(text, SPAN, SPAN_NEEDS)}
+            THEN {n} * CASE left({unit}, 1) WHEN 'w' THEN 7 WHEN 'm' THEN 30 ELSE 1 END
+        WHEN {contains_any(text, ("last week", "past week"))} THEN 7
+        WHEN {contains_any(text, ("last month", "past month"))} THEN 30 END"""
 
 
-def trailing_hours(text: Column) -> Column:
+def trailing_hours(text: str) -> str:
     """1 for "now" and its synonyms, else NULL."""
-    return F.when(text.rlike(NOW), F.lit(1))
+    return f"if({says_now(text)}, 1, NULL)"
 
 
-def threshold_share(text: Column) -> Column:
+def threshold_share(text: str) -> str:
     """"below 15 %" as 0.15; NULL where none is said."""
-    return captured_int(text, BELOW) / F.lit(100.0)
+    return f"{captured_int(text, BELOW, 1, BELOW_NEEDS)} / 100D"
 
 
-def is_open_ended(text: Column) -> Column:
+def is_open_ended(text: str) -> str:
     """Questions that need more than one operator; words are words here ("show" is not "how")."""
-    several = has_word(text, ("and",)) & ~text.rlike(r"compare\s+floors")
-    return has_word(text, OPEN_WORDS) | has_word(text, VAGUE_WORDS) | several | (F.length(text) > LONG_QUESTION)
+    several = f"({has_word(text, ('and',))} AND NOT {matches(text, COMPARED_FLOORS, COMPARE_NEEDS)})"
+    return (
+        f"({has_word(text, OPEN_WORDS)} OR {has_word(text, VAGUE_WORDS)} OR {several} "
+        f"OR length({text}) > {LONG_QUESTION})"
+    )
+
+
+def _compared(text: str, place: int) -> str:
+    return captured_int(text, COMPARE, place, COMPARE_NEEDS)
+
+
+def _floor_ask(text: str) -> str:
+    return f"{text} IN ({', '.join(quoted(plain_word(a)) for a in FLOOR_ASKS)})"
 
 
 # A labelling scheme: stages of helper columns (later stages may use earlier ones) and the rules over them.
 # Helpers are real columns, so that the optimizer computes each once instead of copying it into every rule.
-Stages = list[dict[str, Column]]
+Stages = list[dict[str, str]]
 
 
-def _legacy_scheme(text: Column, lowered: Column) -> tuple[Stages, list[Rule]]:
-    room_floor = F.coalesce(captured_int(text, FLOOR_OF_ROOMS), captured_int(text, SHORT_ROOM_CODE))
-    least_used = F.contains(text, F.lit("least")) & F.contains(text, F.lit("used"))
-    several = F.contains(lowered, F.lit(" and ")) & ~lowered.rlike(r"compare\s+floors")
+def _legacy_scheme() -> tuple[Stages, list[Rule]]:
+    q, lowered = "q_text", "q_lowered"
+    floor_after_word = captured(q, FLOOR_AFTER_WORD, 1, FLOOR_NEEDS)
+    floor_of_rooms = captured_int(q, FLOOR_OF_ROOMS, 1, FLOOR_OF_ROOMS_NEEDS)
     stages = [
         {
-            "q_floor": F.coalesce(captured(text, FLOOR_AFTER_WORD), captured(text, LONE_NUMBER)).try_cast("int"),
-            "q_room_floor": F.when(contains_any(text, ROOM_WORDS), room_floor),
+            "q_floor": f"try_cast(coalesce({floor_after_word}, {captured(q, LONE_NUMBER)}) AS INT)",
+            "q_room_floor": f"CASE WHEN {contains_any(q, ROOM_WORDS)} THEN "
+                            f"coalesce({floor_of_rooms}, {captured_int(q, SHORT_ROOM_CODE, 1, CODE_NEEDS)}) END",
             # a said zero counts as not said
-            "q_days": F.nullif(trailing_days(text), F.lit(0)),
-            "q_free": contains_any(text, FREE_WORDS) & contains_any(text, MEETING_ROOM_WORDS)
-            & contains_any(text, NOW_WORDS),
-            "q_open": contains_any(lowered, OPEN_WORDS) | contains_any(lowered, VAGUE_WORDS) | several
-            | (F.length(lowered) > LONG_QUESTION),
+            "q_days": f"nullif({trailing_days(q)}, 0)",
         }
     ]
-    floor, room_floor, days = F.col("q_floor"), F.col("q_room_floor"), F.col("q_days")
 
-    def or_default(value: Column, default) -> Column:
-        return F.coalesce(value, F.lit(default))
+    def days(default: int) -> str:
+        return f"coalesce(q_days, {default})"
 
+    free = " AND ".join(contains_any(q, words) for words in (FREE_WORDS, MEETING_ROOM_WORDS, NOW_WORDS))
+    open_ended = (
+        f"{contains_any(lowered, OPEN_WORDS)} OR {contains_any(lowered, VAGUE_WORDS)} "
+        f"OR (contains({lowered}, ' and ') AND NOT {matches(lowered, COMPARED_FLOORS, COMPARE_NEEDS)}) "
+        f"OR length({lowered}) > {LONG_QUESTION}"
+    )
     return stages, [
         Rule("tool", "list_floors",
-             text.isin(*[plain_word(a) for a in FLOOR_ASKS])
-             | (contains_any(text, LIST_VERBS) & contains_any(text, FLOOR_WORDS)),
-             {}, "floors are listed"),
-        Rule("tool", "rooms_on_floor", room_floor.isNotNull(), {"floor": room_floor}, "rooms of a floor"),
-        Rule("tool", "free_meeting_rooms_now", F.col("q_free") & floor.isNotNull(), {"floor": floor},
+             f"{_floor_ask(q)} OR ({contains_any(q, LIST_VERBS)} AND {contains_any(q, FLOOR_WORDS)})", {},
+             "floors are listed"),
+        Rule("tool", "rooms_on_floor", "q_room_floor IS NOT NULL", {"floor": "q_room_floor"}, "rooms of a floor"),
+        Rule("tool", "free_meeting_rooms_now", f"{free} AND q_floor IS NOT NULL", {"floor": "q_floor"},
              "free meeting rooms"),
         Rule("tool", "utilization_by_floor",
-             F.contains(text, F.lit("utilization")) & contains_any(text, PER_FLOOR_WORDS),
-             {"days": or_default(days, DEFAULT_DAYS["usage"])}, "usage of every floor"),
-        Rule("tool", "utilization_floor", text.rlike(USAGE_OF_FLOOR) & floor.isNotNull(),
-             {"floor": floor, "days": or_default(days, DEFAULT_DAYS["usage"])}, "usage of a floor"),
-        Rule("tool", "busiest_rooms", contains_any(text, BUSY_WORDS),
-             {"floor": floor, "days": or_default(days, DEFAULT_DAYS["busiest"]), "k": F.lit(DEFAULT_ROOMS)},
-             "busiest rooms"),
-        Rule("tool", "underused_rooms", contains_any(text, UNDERUSED_WORDS) | least_used,
-             {"floor": floor, "days": or_default(days, DEFAULT_DAYS["underused"]),
-              "threshold": or_default(F.nullif(threshold_share(text), F.lit(0.0)), DEFAULT_THRESHOLD)},
-             "underused rooms"),
-        Rule("tool", "plan_coffee_machines", contains_any(text, COFFEE_WORDS) & contains_any(text, PLACE_WORDS),
-             {"floor": floor, "days": or_default(days, DEFAULT_DAYS["plan"]), "hours": trailing_hours(text),
-              "k": or_default(F.nullif(captured_int(text, FIRST_INT), F.lit(0)), DEFAULT_SPOTS),
-              "avoid_quiet": ~contains_any(text, KEEP_QUIET_WORDS)}, "places for a facility"),
-        Rule("sql", "compare_floors", lowered.rlike(COMPARE),
-             {"floor": captured_int(lowered, COMPARE, 1), "other_floor": captured_int(lowered, COMPARE, 2),
-              "days": or_default(F.nullif(trailing_days(lowered), F.lit(0)), DEFAULT_DAYS["compare"])},
+             f"contains({q}, 'utilization') AND {contains_any(q, PER_FLOOR_WORDS)}",
+             {"days": days(DEFAULT_DAYS["usage"])}, "usage of every floor"),
+        Rule("tool", "utilization_floor", f"{matches(q, USAGE_OF_FLOOR, USAGE_WORDS)} AND q_floor IS NOT NULL",
+             {"floor": "q_floor", "days": days(DEFAULT_DAYS["usage"])}, "usage of a floor"),
+        Rule("tool", "busiest_rooms", contains_any(q, BUSY_WORDS),
+             {"floor": "q_floor", "days": days(DEFAULT_DAYS["busiest"]), "k": str(DEFAULT_ROOMS)}, "busiest rooms"),
+        Rule("tool", "underused_rooms",
+             f"{contains_any(q, UNDERUSED_WORDS)} OR (contains({q}, 'least') AND contains({q}, 'used'))",
+             {"floor": "q_floor", "days": days(DEFAULT_DAYS["underused"]),
+              "threshold": f"coalesce(nullif({threshold_share(q)}, 0D), {DEFAULT_THRESHOLD}D)"}, "underused rooms"),
+        Rule("tool", "plan_coffee_machines",
+             f"{contains_any(q, COFFEE_WORDS)} AND {contains_any(q, PLACE_WORDS)}",
+             {"floor": "q_floor", "days": days(DEFAULT_DAYS["plan"]), "hours": trailing_hours(q),
+              "k": f"coalesce(nullif({captured_int(q, FIRST_INT)}, 0), {DEFAULT_SPOTS})",
+              "avoid_quiet": f"NOT {contains_any(q, KEEP_QUIET_WORDS)}"}, "places for a facility"),
+        Rule("sql", "compare_floors", matches(lowered, COMPARE, COMPARE_NEEDS),
+             {"floor": _compared(lowered, 1), "other_floor": _compared(lowered, 2),
+              "days": f"coalesce(nullif({trailing_days(lowered)}, 0), {DEFAULT_DAYS['compare']})"},
              "two floors compared"),
-        Rule("agent", None, F.col("q_open"), {}, "open-ended"),
-        Rule("model", None, F.lit(True), {}, "no rule"),
+        Rule("agent", None, open_ended, {}, "open-ended"),
+        Rule("model", None, "true", {}, "no rule"),
     ]
 
 
-def _specific_scheme(text: Column) -> tuple[Stages, list[Rule]]:
-    # numbers that belong to a threshold, a span, a room code or a floor are not free for other readings
-    without_threshold = F.regexp_replace(F.regexp_replace(text, THRESHOLD, " "), BELOW, " ")
-    bare = F.col("q_bare")
-    for pattern in (SPAN, SPAN_HOURS, FLOOR_OF_ROOMS, ORDINAL_FLOOR, r"[+-]?\d+\.[0-9a-z]+"):
-        bare = F.regexp_replace(bare, pattern, " ")
-    room, said_floor = F.col("q_room"), F.col("q_said_floor")
-    hours = F.coalesce(captured_int(text, SPAN_HOURS), F.when(has_word(text, (*NOW_WORDS, "this moment")), F.lit(1)))
-    said_threshold = captured(text, THRESHOLD).try_cast("double")
-    threshold = F.coalesce(
-        threshold_share(text), F.when(said_threshold > 1, said_threshold / 100.0).otherwise(said_threshold),
-        F.lit(DEFAULT_THRESHOLD),
-    )
-    ranked = r"(?:best|top|first)\s+\d+"
+def _specific_scheme() -> tuple[Stages, list[Rule]]:
+    q = "q_text"
+    floor_of_rooms = captured_int(q, FLOOR_OF_ROOMS, 1, FLOOR_OF_ROOMS_NEEDS)
+    ordinal = captured_int(q, ORDINAL_FLOOR, 1, FLOOR_OF_ROOMS_NEEDS)
+    now = has_word(q, (*NOW_WORDS, "this moment"))
     stages = [
-        {"q_bare": without_threshold},
-        {"q_room": captured(F.col("q_bare"), ROOM_CODE)},
+        # numbers that belong to a threshold, a span, a room code or a floor are not free for other readings
+        {"q_cut": without(q, (THRESHOLD, BELOW), (*THRESHOLD_NEEDS, *BELOW_NEEDS))},
+        {"q_room": captured("q_cut", ROOM_CODE, 1, CODE_NEEDS)},
         {
-            "q_said_floor": F.coalesce(
-                captured_int(text, FLOOR_OF_ROOMS), captured_int(text, ORDINAL_FLOOR),
-                captured_int(room, r"^([+-]?\d+)\."),
+            "q_said_floor": f"coalesce({floor_of_rooms}, {ordinal}, try_cast(split_part(q_room, '.', 1) AS INT))",
+            "q_bare": without(
+                "q_cut", (SPAN, SPAN_HOURS, FLOOR_OF_ROOMS, ORDINAL_FLOOR, ANY_CODE),
+                (*SPAN_NEEDS, *FLOOR_OF_ROOMS_NEEDS, *CODE_NEEDS),
             ),
-            "q_bare": bare,
-            "q_hours": hours,
-            "q_span": trailing_days(text),
-            "q_about_floor": has_word(text, FLOOR_WORDS),
+            "q_hours": f"coalesce({captured_int(q, SPAN_HOURS, 1, SPAN_NEEDS)}, if({now}, 1, NULL))",
+            "q_span": trailing_days(q),
+            "q_about_floor": has_word(q, FLOOR_WORDS),
         },
+        {"q_unranked": without("q_bare", (RANK,), RANK_NEEDS)},
         {
-            "q_floor": F.coalesce(said_floor, captured_int(F.regexp_replace("q_bare", ranked, " "), LONE_NUMBER)),
-            "q_ranked": captured_int(F.col("q_bare"), r"(?:best|top|first)\s+(\d+)"),
-            "q_number": captured_int(F.col("q_bare"), FIRST_INT),
+            "q_floor": f"coalesce(q_said_floor, {captured_int('q_unranked', LONE_NUMBER)})",
+            "q_ranked": captured_int("q_bare", RANK, 1, RANK_NEEDS),
+            "q_number": captured_int("q_bare", FIRST_INT),
         },
     ]
-    floor, hours = F.col("q_floor"), F.col("q_hours")
+    said_threshold = f"try_cast({captured(q, THRESHOLD, 1, THRESHOLD_NEEDS)} AS DOUBLE)"
+    threshold = (
+        f"coalesce({threshold_share(q)}, if({said_threshold} > 1D, {said_threshold} / 100D, {said_threshold}), "
+        f"{DEFAULT_THRESHOLD}D)"
+    )
+    least_used = f"({has_word(q, ('least',))} AND {has_word(q, ('used',))})"
 
-    def span(default: int) -> dict[str, Column]:
-        return {"days": F.when(hours.isNull(), F.coalesce("q_span", F.lit(default))), "hours": hours}
+    def span(default: int) -> dict[str, str]:
+        return {"days": f"if(q_hours IS NULL, coalesce(q_span, {default}), NULL)", "hours": "q_hours"}
 
-    about_floor = F.col("q_about_floor")
-    least_used = has_word(text, ("least",)) & has_word(text, ("used",))
     return stages, [
-        Rule("tool", "compare_floors", text.rlike(COMPARE),
-             {"floor": captured_int(text, COMPARE, 1), "other_floor": captured_int(text, COMPARE, 2),
-              **span(DEFAULT_DAYS["compare"])}, "two floors compared"),
-        Rule("tool", "plan_coffee_machines", has_word(text, COFFEE_WORDS) & has_word(text, PLACE_WORDS),
-             {"floor": said_floor, **span(DEFAULT_DAYS["plan"]),
-              "k": F.coalesce("q_ranked", "q_number", F.lit(DEFAULT_SPOTS)),
-              "avoid_quiet": ~has_word(text, KEEP_QUIET_WORDS)}, "places for a facility"),
+        Rule("tool", "compare_floors", matches(q, COMPARE, COMPARE_NEEDS),
+             {"floor": _compared(q, 1), "other_floor": _compared(q, 2), **span(DEFAULT_DAYS["compare"])},
+             "two floors compared"),
+        Rule("tool", "plan_coffee_machines", f"{has_word(q, COFFEE_WORDS)} AND {has_word(q, PLACE_WORDS)}",
+             {"floor": "q_said_floor", **span(DEFAULT_DAYS["plan"]),
+              "k": f"coalesce(q_ranked, q_number, {DEFAULT_SPOTS})",
+              "avoid_quiet": f"NOT {has_word(q, KEEP_QUIET_WORDS)}"}, "places for a facility"),
         Rule("tool", "free_meeting_rooms_now",
-             has_word(text, FREE_WORDS) & has_word(text, MEETING_ROOM_WORDS) & floor.isNotNull(),
-             {"floor": floor}, "free meeting rooms"),
-        Rule("tool", "underused_rooms", has_word(text, UNDERUSED_WORDS) | least_used,
-             {"floor": said_floor, **span(DEFAULT_DAYS["underused"]), "threshold": threshold}, "underused rooms"),
-        Rule("tool", "busiest_rooms", has_word(text, BUSY_WORDS) | text.rlike(r"top \d+ rooms"),
-             {"floor": said_floor, **span(DEFAULT_DAYS["busiest"]),
-              "k": F.coalesce("q_ranked", F.lit(DEFAULT_ROOMS))}, "busiest rooms"),
-        Rule("tool", "peak_hours_floor", has_word(text, ("peak hour", "peak hours")) & floor.isNotNull(),
-             {"floor": floor}, "peak hours"),
-        Rule("tool", "utilization_by_floor", has_word(text, (*USAGE_WORDS, "occupancy"))
-             & has_word(text, PER_FLOOR_WORDS), span(DEFAULT_DAYS["usage"]), "usage of every floor"),
-        Rule("tool", "utilization_floor", has_word(text, USAGE_WORDS) & about_floor & floor.isNotNull(),
-             {"floor": floor, **span(DEFAULT_DAYS["usage"])}, "usage of a floor"),
-        Rule("tool", "sensors_for_room", has_word(text, ("sensor", "sensors")) & room.isNotNull(), {"room": room},
-             "sensors of a room"),
-        Rule("tool", "find_rooms_like", has_word(text, ("find", "search", "where is", "zoek")) & room.isNotNull(),
-             {"room": room}, "room search"),
+             f"{has_word(q, FREE_WORDS)} AND {has_word(q, MEETING_ROOM_WORDS)} AND q_floor IS NOT NULL",
+             {"floor": "q_floor"}, "free meeting rooms"),
+        Rule("tool", "underused_rooms", f"{has_word(q, UNDERUSED_WORDS)} OR {least_used}",
+             {"floor": "q_said_floor", **span(DEFAULT_DAYS["underused"]), "threshold": threshold}, "underused rooms"),
+        Rule("tool", "busiest_rooms", f"{has_word(q, BUSY_WORDS)} OR {matches(q, TOP_ROOMS, ('top ',))}",
+             {"floor": "q_said_floor", **span(DEFAULT_DAYS["busiest"]), "k": f"coalesce(q_ranked, {DEFAULT_ROOMS})"},
+             "busiest rooms"),
+        Rule("tool", "peak_hours_floor", f"{has_word(q, ('peak hour', 'peak hours'))} AND q_floor IS NOT NULL",
+             {"floor": "q_floor"}, "peak hours"),
+        Rule("tool", "utilization_by_floor",
+             f"{has_word(q, (*USAGE_WORDS, 'occupancy'))} AND {has_word(q, PER_FLOOR_WORDS)}",
+             span(DEFAULT_DAYS["usage"]), "usage of every floor"),
+        Rule("tool", "utilization_floor",
+             f"{has_word(q, USAGE_WORDS)} AND q_about_floor AND q_floor IS NOT NULL",
+             {"floor": "q_floor", **span(DEFAULT_DAYS["usage"])}, "usage of a floor"),
+        Rule("tool", "sensors_for_room", f"{has_word(q, ('sensor', 'sensors'))} AND q_room IS NOT NULL",
+             {"room": "q_room"}, "sensors of a room"),
+        Rule("tool", "find_rooms_like",
+             f"{has_word(q, ('find', 'search', 'where is', 'zoek'))} AND q_room IS NOT NULL", {"room": "q_room"},
+             "room search"),
         Rule("tool", "latest_room_status",
-             room.isNotNull() & has_word(text, ("occupied", "unoccupied", "free", "status", *NOW_WORDS)),
-             {"room": room}, "state of a room"),
-        Rule("tool", "status_floor_now", has_word(text, ("status",)) & floor.isNotNull(), {"floor": floor},
+             f"q_room IS NOT NULL AND {has_word(q, ('occupied', 'unoccupied', 'free', 'status', *NOW_WORDS))}",
+             {"room": "q_room"}, "state of a room"),
+        Rule("tool", "status_floor_now", f"{has_word(q, ('status',))} AND q_floor IS NOT NULL", {"floor": "q_floor"},
              "state of a floor"),
-        Rule("tool", "rooms_on_floor", has_word(text, ROOM_WORDS) & said_floor.isNotNull(), {"floor": said_floor},
-             "rooms of a floor"),
+        Rule("tool", "rooms_on_floor", f"{has_word(q, ROOM_WORDS)} AND q_said_floor IS NOT NULL",
+             {"floor": "q_said_floor"}, "rooms of a floor"),
         Rule("tool", "list_floors",
-             text.isin(*[plain_word(a) for a in FLOOR_ASKS])
-             | (has_word(text, LIST_VERBS) & about_floor & said_floor.isNull()),
-             {}, "floors are listed"),
-        Rule("agent", None, is_open_ended(text), {}, "open-ended"),
-        Rule("model", None, F.lit(True), {}, "no rule"),
+             f"{_floor_ask(q)} OR ({has_word(q, LIST_VERBS)} AND q_about_floor AND q_said_floor IS NULL)", {},
+             "floors are listed"),
+        Rule("agent", None, is_open_ended(q), {}, "open-ended"),
+        Rule("model", None, "true", {}, "no rule"),
     ]
 
 
@@ -269,32 +300,24 @@ def label_questions(log: DataFrame, text: str = "text", order: str = "specific")
     if order not in RULE_ORDERS:
         raise ValueError(f"order must be one of {RULE_ORDERS}")
     asked = F.btrim(F.col(text), F.lit(BLANKS))
-    prepared = log.withColumn("q_text", normalise(asked)).withColumn("q_lowered", F.lower(asked))
-    normalised, lowered = F.col("q_text"), F.col("q_lowered")
-    stages, rules = (
-        _specific_scheme(normalised) if order == "specific" else _legacy_scheme(normalised, lowered)
-    )
-    for stage in stages:
-        prepared = prepared.withColumns(stage)
-    matched = prepared.withColumn(
-        "q_rule", F.coalesce(*[F.when(rule.when, F.lit(i)) for i, rule in enumerate(rules)])
-    )
+    prepared = log.withColumns({"q_text": normalise(asked), "q_lowered": F.lower(asked)})
+    stages, rules = _specific_scheme() if order == "specific" else _legacy_scheme()
+    first = " ".join(f"WHEN {rule.when} THEN {i}" for i, rule in enumerate(rules))
+    for stage in [*stages, {"q_rule": f"CASE {first} END"}]:
+        prepared = prepared.withColumns({name: F.expr(value) for name, value in stage.items()})
 
-    def pick(values: list[Column | None], kind: str) -> Column:
-        """Value of the deciding rule; rules that give none are left out."""
-        chosen = F.lit(None).cast(kind)
-        for i, value in reversed(list(enumerate(values))):
-            if value is not None:
-                chosen = F.when(F.col("q_rule") == i, value.cast(kind)).otherwise(chosen)
-        return chosen
+    def pick(name: str, kind: str) -> str:
+        """Value the deciding rule gives to a parameter."""
+        given = " ".join(f"WHEN {i} THEN {r.parameters[name]}" for i, r in enumerate(rules) if name in r.parameters)
+        return f"CAST({f'CASE q_rule {given} END' if given else 'NULL'} AS {kind}) AS {name}"
 
-    def name_of(values: list[str | None]) -> Column:
-        return F.get(F.array(*[F.lit(v) for v in values]), F.col("q_rule"))
+    def named(values: list[str | None], name: str) -> str:
+        return f"get(array({', '.join('NULL' if v is None else quoted(v) for v in values)}), q_rule) AS {name}"
 
-    return matched.select(
+    return prepared.selectExpr(
         *log.columns,
-        name_of([r.mode for r in rules]).alias("mode"),
-        name_of([r.intent for r in rules]).alias("intent"),
-        name_of([r.name for r in rules]).alias("rule"),
-        *[pick([r.parameters.get(n) for r in rules], kind).alias(n) for n, kind in PARAMETERS.items()],
+        named([r.mode for r in rules], "mode"),
+        named([r.intent for r in rules], "intent"),
+        named([r.name for r in rules], "rule"),
+        *[pick(name, kind) for name, kind in PARAMETERS.items()],
     )
