@@ -1,7 +1,7 @@
 """Times the headline queries and prints one JSON line.
 
-``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the local cores, ``BENCH_RUNS`` the timed runs per query after one
-untimed run; the reported time of a query is the median.
+``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the local cores, ``BENCH_RUNS`` the timed rounds over all queries
+after one untimed round; the reported time of a query is its median.  Plans are built anew in every round.
 """
 
 from __future__ import annotations
@@ -51,14 +51,14 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     chosen = sys.argv[1:] or HEADLINE
     spark = local_session(cores)
-    catalogue, seconds = queries(), {}
-    for name in chosen:
-        times = []
-        for _ in range(runs + 1):
+    catalogue = queries()
+    times = {name: [] for name in chosen}
+    for _ in range(runs + 1):
+        for name in chosen:
             began = time.perf_counter()
             catalogue[name](spark, folder).write.format("noop").mode("overwrite").save()
-            times.append(time.perf_counter() - began)
-        seconds[name] = round(statistics.median(times[1:]), 4)
+            times[name].append(time.perf_counter() - began)
+    seconds = {name: round(statistics.median(t[1:]), 4) for name, t in times.items()}
     label = os.path.basename(folder.rstrip("/")).removeprefix("sf")
     print(
         json.dumps(

@@ -89,15 +89,15 @@ def dense_hourly_series(usage: Usage, floor: int | str | None = None, days: int
         clock.wall_clock(usage.events), Window(days=days), usage.at, "CAST(date_trunc('hour', {}) AS timestamp_ntz)"
     )
     identity = ["space_id", "code", "room_name"]
+    listed = scoped.spaces.selectExpr("uuid AS space_id", "code", "room_name").distinct()
     observed = (
         _window_hours(scoped, days, floor is not None)
         .groupBy("space_id", "hour")
         .agg(F.expr("max(state) AS occ"))
-        .join(scoped.dimension("code", "room_name"), "space_id")
+        .join(F.broadcast(listed) if usage.broadcast_spaces else listed, "space_id")
         .select(*identity, F.timestamp_diff("HOUR", first, F.col("hour")).cast("int").alias("i"), "occ")
-        .distinct()
     )
-    markers = scoped.spaces.selectExpr("uuid AS space_id", "code", "room_name", "-1 AS i", "0 AS occ").distinct()
+    markers = listed.selectExpr("*", "-1 AS i", "0 AS occ")
     upcoming = F.lead("i", 1, n).over(W.partitionBy(*identity).orderBy("i"))
     gaps = markers.unionByName(observed).withColumn("until", upcoming).where("greatest(i, 0) < until")
     filled = gaps.selectExpr(*identity, "i", "occ", "explode(sequence(greatest(i, 0), until - 1)) AS j")

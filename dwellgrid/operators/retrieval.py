@@ -234,23 +234,26 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = RETRIEVAL_K, gate: f
     ``corpus`` has ``vec_id`` (bigint) and ``vec``; ``queries`` has ``query_id`` and ``vec``.  Equal scores are ordered
     by ``vec_id``; zero and missing vectors match nothing.  Queries are fetched up to one block; when there are more,
     the same scoring runs block by block inside the cluster.  Each task emits at most ``k`` rows per query, and the
-    final rank keeps ``k`` of those.
+    final rank keeps ``k`` of those.  For one block of queries the result has a known bound and is marked for
+    broadcast, so that joining texts to it does not shuffle the texts.
     """
     whole(k, "k", 1)
     corpus, queries = corpus.select(F.col("vec_id").cast("bigint"), "vec"), queries.select("query_id", "vec")
     query_type = queries.schema["query_id"].dataType
     first = queries.where(F.col("vec").isNotNull()).limit(queries_per_block + 1).collect()
-    if len(first) <= queries_per_block:
+    bounded = len(first) <= queries_per_block
+    if bounded:
         found = _candidates(corpus, first, query_type, k, gate)
     else:
         blocks = math.ceil(2 * queries.count() / queries_per_block)
         found = _candidates_in_blocks(corpus, queries.where(F.col("vec").isNotNull()), blocks, query_type, k, gate)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
+    ranked = (
         found.withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= k)
         .select("query_id", "place", "vec_id", "score", "unit_vec")
     )
+    return F.broadcast(ranked) if bounded else ranked
 
 
 def diversify(hits: DataFrame, k: int = RETRIEVAL_K, trade_off: float = MMR_LAMBDA) -> DataFrame:

@@ -151,5 +151,6 @@ def rank_zones(usage: Usage, options: PlanOptions = PlanOptions(), count_mode: s
     return (
         best.join(F.broadcast(names), ZONE)
         .orderBy(*best_first)
+        .limit(options.k)
         .select(*ZONE, "people_hours", "rooms_in_zone", "quiet_pct", "score", "sample_rooms")
     )

@@ -29,15 +29,24 @@ GROUNDING_TABLES = ("events_all", "events_office", "events_meeting", "events_enr
 
 
 def row_documents(usage: Usage) -> DataFrame:
-    """``source, text`` for all spaces, floor rates of 7 and 30 days, and the 20 busiest and least used rooms."""
+    """``source, text`` for all spaces, floor rates of 7 and 30 days, and the 20 busiest and least used rooms.
+
+    Both floor rates come from one pass over the log.
+    """
+    by_window = ", ".join(f"'utilization_{d}d', occ_rate_percent_{d}d" for d in (7, 30))
+    floors = rates.utilization_by_floor_windows(usage, (7, 30)).selectExpr(
+        "floor", f"stack(2, {by_window}) AS (source, occ_rate_percent)"
+    )
     sources = {
         "spaces": usage.spaces.select("display_name", "room_name", "storey_name", "spaceType"),
-        "utilization_7d": rates.utilization_by_floor(usage, 7),
-        "utilization_30d": rates.utilization_by_floor(usage, 30),
         "busiest_7d": rates.busiest_rooms(usage, days=7, limit=20),
         "least_used_30d": dense.underused_rooms(usage, days=30, threshold=None, limit=20),
     }
-    return reduce(DataFrame.unionByName, [retrieval.documents_of(df, name) for name, df in sources.items()])
+    return reduce(
+        DataFrame.unionByName,
+        [retrieval.documents_of(df, name) for name, df in sources.items()],
+        floors.select("source", retrieval.row_text(floors, ["floor", "occ_rate_percent"]).alias("text")),
+    )
 
 
 def grounding_document(spark: SparkSession, usage: Usage) -> DataFrame:
