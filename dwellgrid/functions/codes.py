@@ -22,8 +22,11 @@ def label(room_name: str = "room_name") -> Column:
 
 
 def room_code(room_name: str = "room_name") -> Column:
-    """Leading room code of a label (``3.325 - Office`` gives ``3.325``); NULL where there is none."""
-    return F.expr(f"nullif(regexp_extract(trim({room_name}), {quoted(CODE_PATTERN)}, 1), '')")
+    """Leading room code of a label (``3.325 - Office`` gives ``3.325``); empty where there is none.
+
+    Cleaning drops rows without a code, so the usual empty-to-NULL step would only evaluate the pattern twice.
+    """
+    return F.expr(f"regexp_extract(trim({room_name}), {quoted(CODE_PATTERN)}, 1)")
 
 
 def room_id(code: str = "code") -> Column:
@@ -45,7 +48,7 @@ def room_key(text: str = "code") -> Column:
 
 
 def floor_number(code: str = "code") -> Column:
-    """Integer before the dot of a room code; NULL when it does not fit an integer."""
+    """Integer before the dot of a room code; NULL when the code is empty or the number does not fit."""
     return F.expr(f"try_cast(split_part({code}, '.', 1) AS INT)")
 
 

@@ -28,7 +28,7 @@ NAME_LIST = "listagg(room_name, ', ') WITHIN GROUP (ORDER BY room_name) AS sampl
 def _zoned(usage: Usage, quiet, refresh) -> Usage:
     """Model whose spaces carry ``floor, zone, quiet, refresh`` besides their name."""
     return usage.with_spaces(
-        usage.spaces.where("code IS NOT NULL").select(
+        usage.spaces.select(
             "uuid",
             F.expr("floor_n AS floor"),
             codes.zone().alias("zone"),

@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.codegen.cache.maxEntries": "2000",  # a catalogue of queries outgrows the default of 100 classes
     "spark.sql.codegen.hugeMethodLimit": "8000",  # HotSpot leaves larger methods uncompiled
     "spark.python.sql.dataFrameDebugging.enabled": "false",  # no call-site capture per expression
     "spark.ui.enabled": "false",
