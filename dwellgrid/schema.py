@@ -40,9 +40,9 @@ SPACE_SCHEMA = T.StructType(
     ]
 )
 
-# Input file names of a building data folder.
-OFFICE_FILE = "Atlas_occupancy_sensors_offices.csv"
-MEETING_FILE = "Atlas_occupancy_sensors_meeting_rooms.csv"
+# Input files of a building data folder; the logs may carry a prefix such as the building's name.
+OFFICE_FILE = "*occupancy_sensors_offices.csv"
+MEETING_FILE = "*occupancy_sensors_meeting_rooms.csv"
 SPACE_FILE = "sensor_space_data_occupancy.csv"
 
 # Words that put a space type into a category.

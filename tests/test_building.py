@@ -40,8 +40,8 @@ def folder(tmp_path_factory):
             csv.writer(f).writerows([header, *lines])
 
     t = 1741471053000  # 2025-03-08 21:57:33 UTC
-    put(schema.OFFICE_FILE, EVENT_HEADER, [event("u1", t, "unoccupied"), event("u1", t + 3600_500, "occupied")])
-    put(schema.MEETING_FILE, EVENT_HEADER, [
+    put("north_occupancy_sensors_offices.csv", EVENT_HEADER, [event("u1", t, "unoccupied"), event("u1", t + 3600_500, "occupied")])
+    put("north_occupancy_sensors_meeting_rooms.csv", EVENT_HEADER, [
         event("u2", t, "occupied"), event("u2", t, "unoccupied", "2025-03-08 22:15:00"), event("u2", "bad", "occupied"),
     ])
     put(schema.SPACE_FILE, SPACE_HEADER, [
