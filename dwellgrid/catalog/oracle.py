@@ -212,7 +212,7 @@ def oracle_sql() -> dict[str, str]:
             avg(CASE WHEN extract(hour FROM ts) BETWEEN 13 AND 16 THEN flag END) AS pm_peak, 24 AS window_hours
             FROM joined WHERE ts > (SELECT t FROM last) - INTERVAL 24 HOUR""",
         "status_floor_now": f"{_latest('floor_key = 3')} SELECT room_name, occupancy, event_time FROM newest",
-        "free_rooms_now": _latest("floor_key = 3 AND \"spaceType\" ILIKE '%building%'")
+        "free_rooms_now": _latest("floor_key = 8 AND \"spaceType\" ILIKE '%building%'")
         + " SELECT room_name, event_time FROM newest WHERE occupancy = 'unoccupied'",
         "latest_room_status": f"""{BASE} SELECT occupancy AS occupancy_raw, event_time, room_name FROM joined
             WHERE room_key = '{ROOM_CODE.replace('.', '')}' OR room_id = '{ROOM_CODE.replace('.', '')}'

@@ -133,7 +133,7 @@ def queries() -> dict[str, Query]:
         "kpis_24h": of_usage(rates.kpis, 24),
         # latest state
         "status_floor_now": of_usage(latest.status_floor_now, 3),
-        "free_rooms_now": of_usage(latest.free_rooms_now, 3, MEETING_SEGMENTS),
+        "free_rooms_now": of_usage(latest.free_rooms_now, 8, MEETING_SEGMENTS),
         "latest_room_status": of_usage(latest.latest_room_status, ROOM_CODE),
         # dense rates
         "underused_rooms": of_usage(dense.underused_rooms, days=30, threshold=0.10),
