@@ -26,7 +26,7 @@ def hours_in_window(days: int) -> int:
 def _window_hours(usage: Usage, days: int, scoped: bool) -> DataFrame:
     """Events of the window as ``space_id, hour, state`` on the wall clock, limited to the model's spaces if asked."""
     rows = clock.within(clock.wall_clock(usage.events), Window(days=days), usage.at)
-    rows = rows.selectExpr("space_id", f"{clock.bucket(rows)} AS hour", f"{OCCUPIED} AS state")
+    rows = rows.selectExpr("space_id", f"{clock.hour(rows)} AS hour", f"{OCCUPIED} AS state")
     if scoped and usage.broadcast_spaces:
         rows = rows.join(usage.dimension(), "space_id", "left_semi")
     return rows

@@ -23,7 +23,7 @@ EVENT_SHARE = "sum(n_occupied) / sum(n_events)"
 
 def _from_log(events: DataFrame, counts: dict[str, str | Column]) -> DataFrame:
     values = [(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in counts.items()]
-    return events.select("space_id", F.expr(clock.bucket(events)).alias("hour"), *values)
+    return events.select("space_id", F.expr(clock.hour(events)).alias("hour"), *values)
 
 
 def _from_rollup(usage: Usage, window: clock.Window | None) -> DataFrame:
@@ -68,3 +68,12 @@ def hourly_counts(usage: Usage, keys: list[str], window: clock.Window | None = N
     if not usage.broadcast_spaces:
         rows = rows.groupBy("space_id", "hour").agg(*sums)
     return rows.join(usage.dimension(*keys), "space_id").groupBy(*keys, "hour").agg(*sums)
+
+
+def space_hours(usage: Usage, window: clock.Window) -> DataFrame:
+    """``space_id, occupied_hours, hours``: observed hours of every space with events in the window."""
+    return (
+        hourly_counts(usage, ["space_id"], window)
+        .groupBy("space_id")
+        .agg(F.expr(f"sum({ANY_OCCUPIED}) AS occupied_hours"), F.expr("count(*) AS hours"))
+    )

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from dwellgrid.functions.clock import Window, whole, window_start
 from dwellgrid.functions.floors import floor_token, on_floor
 from dwellgrid.functions.measures import occupied, percent
-from dwellgrid.operators.hourly import ANY_OCCUPIED, EVENT_SHARE, hourly_counts
+from dwellgrid.operators.hourly import ANY_OCCUPIED, EVENT_SHARE, hourly_counts, space_hours
 from dwellgrid.usage import Usage
 
 # Mean of "any occupied event" over grouped buckets, as SQL.
@@ -85,11 +85,7 @@ def utilization_by_floor_windows(usage: Usage, days: tuple[int, ...] = (7, 30))
 
 def utilization_floor(usage: Usage, floor: int | str, days: int = 7) -> DataFrame:
     """One row: spaces with events in the window and their room rate in percent (0 when there are none)."""
-    per_space = (
-        hourly_counts(on_floor_only(usage, floor), ["space_id"], Window(days=whole(days, "days")))
-        .groupBy("space_id")
-        .agg(F.expr(f"sum({ANY_OCCUPIED}) AS occupied_hours"), F.expr("count(*) AS hours"))
-    )
+    per_space = space_hours(on_floor_only(usage, floor), Window(days=whole(days, "days")))
     return per_space.agg(
         F.expr("count(*) AS total_rooms"),
         percent("coalesce(sum(occupied_hours) / sum(hours), 0.0D)").alias("avg_utilization_percent"),
@@ -123,12 +119,12 @@ def compare_floors_strict(usage: Usage, floors: list[int], days: int = 7) -> Dat
 
 def busiest_rooms(usage: Usage, floor: int | str | None = None, days: int = 7, limit: int = 5) -> DataFrame:
     """Spaces with the highest room rate; equal rounded rates are ordered by room name, then by space."""
-    hours = hourly_counts(
-        on_floor_only(usage, floor), ["space_id", "room_name"], Window(days=whole(days, "days"))
-    )
+    scoped = on_floor_only(usage, floor)
+    rated = space_hours(scoped, Window(days=whole(days, "days")))
     return (
-        hours.groupBy("space_id", "room_name")
-        .agg(percent(RATE).alias("occ_rate_percent"))
+        rated.select("space_id", percent("occupied_hours / hours").alias("occ_rate_percent"))
+        .join(scoped.dimension("room_name"), "space_id")
+        .distinct()
         .orderBy(F.desc_nulls_last("occ_rate_percent"), "room_name", "space_id")
         .limit(whole(limit, "limit"))
         .select("room_name", "occ_rate_percent")

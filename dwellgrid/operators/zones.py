@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.functions import codes
 from dwellgrid.functions.clock import Window, whole
-from dwellgrid.operators.hourly import ANY_OCCUPIED, hourly_counts
+from dwellgrid.operators.hourly import space_hours
 from dwellgrid.operators.rates import on_floor_only
 from dwellgrid.schema import QUIET_WORDS, REFRESH_WORDS
 from dwellgrid.usage import Usage
@@ -47,27 +47,27 @@ def _facts(usage: Usage, floor: int | str | None, hours: int | None, days: int,
            refresh) -> DataFrame:
     """Summable rows per zone and room name: ``people_hours, rooms, quiet, refresh``.
 
-    One row per room and one per active space-hour.  Both kinds only ever meet in sums, so no room fans out and no
-    outer join is needed; ``people_hours`` is NULL on room rows.
+    One row per room and one per space with events.  Both kinds only ever meet in sums, so no room fans out over its
+    hours and no outer join is needed; ``people_hours`` is NULL on room rows.
     """
     if count_mode not in COUNT_MODES:
         raise ValueError(f"count_mode must be one of {COUNT_MODES}")
     zoned = _zoned(on_floor_only(usage, floor), quiet, refresh)
     names = [*ZONE, "room_name"]
-    active = hourly_counts(zoned, ["space_id", *names, "quiet", "refresh"], _window(hours, days))
-    listed = zoned.spaces.withColumnRenamed("uuid", "space_id")
+    room = ["space_id", *names, "quiet", "refresh"]
+    listed = zoned.spaces.withColumnRenamed("uuid", "space_id").select(*room)
+    active = space_hours(zoned, _window(hours, days)).join(zoned.dimension(*room), "space_id")
     if count_mode == "rooms":
-        return listed.selectExpr(*names, "CAST(NULL AS BIGINT) AS people_hours", "1L AS rooms", "CAST(quiet AS BIGINT) AS quiet",
-                                 "CAST(refresh AS BIGINT) AS refresh").unionByName(
-            active.selectExpr(*names, f"CAST({ANY_OCCUPIED} AS BIGINT) AS people_hours", "0L AS rooms", "0L AS quiet",
-                              "0L AS refresh")
+        blank = "CAST(NULL AS BIGINT) AS people_hours"
+        counted = listed.selectExpr(*names, blank, "1L AS rooms", "quiet", "refresh")
+        return counted.unionByName(
+            active.selectExpr(*names, "occupied_hours AS people_hours", "0L AS rooms", "0 AS quiet", "0 AS refresh")
         )
-    room = ["space_id", *names, "quiet", "refresh"]
     per_room = (
-        listed.selectExpr(*room, "CAST(NULL AS INT) AS occ", "0 AS hours")
-        .unionByName(active.selectExpr(*room, f"{ANY_OCCUPIED} AS occ", "1 AS hours"))
+        listed.selectExpr(*room, "CAST(NULL AS BIGINT) AS occupied_hours", "0L AS hours")
+        .unionByName(active.select(*room, "occupied_hours", "hours"))
         .groupBy(*room)
-        .agg(F.expr("sum(occ) AS people_hours"), F.expr("greatest(sum(hours), 1) AS rooms"))
+        .agg(F.expr("sum(occupied_hours) AS people_hours"), F.expr("greatest(sum(hours), 1) AS rooms"))
     )
     return per_room.selectExpr(*names, "people_hours", "rooms", "quiet * rooms AS quiet", "refresh * rooms AS refresh")
 

@@ -32,7 +32,7 @@ def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
 def hourly_rollup(events: DataFrame) -> DataFrame:
     """``space_id, hour, n_events, n_occupied, event_date``: counts per space and calendar hour of the session zone."""
     return (
-        events.selectExpr("space_id", f"{clock.bucket(events)} AS hour", f"{OCCUPIED} AS flag")
+        events.selectExpr("space_id", f"{clock.hour(events)} AS hour", f"{OCCUPIED} AS flag")
         .groupBy("space_id", "hour")
         .agg(F.expr("count(*) AS n_events"), F.expr("sum(flag) AS n_occupied"))
         .withColumn("event_date", F.to_date("hour"))

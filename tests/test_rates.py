@@ -60,6 +60,29 @@ def test_the_rates_differ(site, options):
     assert rows(rates.kpis(site.usage([], SPACES, **options), 24)) == [(0, None, None, None, 24)]
 
 
+@BOTH
+def test_a_space_listed_twice(site, options):
+    usage = site.usage(EVENTS, [*SPACES, SPACES[2]], **options)
+    assert rows(rates.busiest_rooms(usage)) == [("3.100 A", 50.0), ("3.200 B", 50.0)]
+    assert rows(rates.utilization_floor(usage, 3)) == [(2, 50.0)]
+    assert by_key(dense.dense_rates(usage, 3, days=1))["3.200"][2] == pytest.approx(1 / 25)
+    assert len(rows(latest.status_floor_now(usage, 3))) == 2
+
+
+@pytest.mark.parametrize("zone", ["Asia/Kolkata", "America/New_York"])
+def test_hours_follow_the_session_zone(spark, site, zone):
+    """Offsets of half hours need another hour bucket than whole ones; both give calendar hours."""
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        local = site.events([("a", "2025-03-10 10:10", "occupied"), ("a", "2025-03-10 10:50", "unoccupied")])
+        events = local.withColumn("ts", F.col("ts").cast("timestamp"))
+        for log in (local, events):
+            hours = rows(store.hourly_rollup(log).select(F.col("hour").cast("timestamp_ntz"), "n_events", "n_occupied"))
+            assert hours == [(at("2025-03-10 10:00"), 2, 1)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_rates_of_an_empty_log(site):
     usage = site.usage([], SPACES)
     assert rows(rates.utilization_by_floor(usage)) == [(3, None), (4, None)]
