@@ -228,6 +228,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT uuid AS space_id, code, room_name, hour, CAST(occ AS INTEGER) AS occ FROM grid""",
         "facility_features": _zones(_days(14)) + " SELECT * FROM zoned",
         "facility_features_join_rows": _zones(_days(14), join_rows=True) + " SELECT * FROM zoned",
+        "zone_rooms": f"""{BASE} SELECT DISTINCT floor_n AS floor,
+            upper(substr(split_part(code, '.', 2), 1, 2)) AS zone, room_name FROM sp""",
         "rank_zones": _ranked(_days(14), 2, True),
         "rank_zones_now": _ranked("ts >= (SELECT t FROM last) - INTERVAL 1 HOUR", 5, False),
         "list_floors": f"""{BASE} SELECT DISTINCT CAST("storey_floorId" AS INTEGER) AS floor, storey_name

@@ -143,6 +143,7 @@ def queries() -> dict[str, Query]:
         # zones
         "facility_features": of_usage(zones.facility_features, days=14, **ZONE_WORDS),
         "facility_features_join_rows": of_usage(zones.facility_features, days=14, count_mode="join_rows", **ZONE_WORDS),
+        "zone_rooms": of_usage(zones.zone_rooms),
         "rank_zones": of_usage(zones.rank_zones, zones.PlanOptions(k=2, days=14), **ZONE_WORDS),
         "rank_zones_now": of_usage(zones.rank_zones, zones.PlanOptions(k=5, hours=1, avoid_quiet=False), **ZONE_WORDS),
         # lookups and profile

@@ -86,10 +86,18 @@ def zone_measures(usage: Usage, floor: int | str | None = None, hours: int | Non
     return facts.groupBy(*ZONE).agg(*[F.expr(f"sum({c}) AS {n}") for c, n in _SUMS])
 
 
+def zone_rooms(usage: Usage, floor: int | str | None = None) -> DataFrame:
+    """Distinct ``floor, zone, room_name`` rows: the names behind ``sample_rooms`` without gathering them.
+
+    The form to use where a zone has more names than one text should hold.
+    """
+    return _zoned(on_floor_only(usage, floor), (), ()).spaces.select(*ZONE, "room_name").distinct()
+
+
 def zone_names(usage: Usage, only: DataFrame, floor: int | str | None = None) -> DataFrame:
     """Distinct room names of the listed (floor, zone) pairs as one ordered text each."""
-    rooms = _zoned(on_floor_only(usage, floor), (), ()).spaces.select(*ZONE, "room_name")
-    return rooms.join(only.select(*ZONE), ZONE, "left_semi").distinct().groupBy(*ZONE).agg(F.expr(NAME_LIST))
+    listed = zone_rooms(usage, floor).join(only.select(*ZONE), ZONE, "left_semi")
+    return listed.groupBy(*ZONE).agg(F.expr(NAME_LIST))
 
 
 def facility_features(usage: Usage, floor: int | str | None = None, hours: int | None = None, days: int = 14,

@@ -57,8 +57,8 @@ def meeting_events(spark: SparkSession, folder: str) -> DataFrame:
 def raw_spaces(spark: SparkSession, folder: str) -> DataFrame:
     """Customers as raw spaces, with a few device labels and unparsable names as real dimensions have them.
 
-    Nations and regions are code tables of fixed size.  Being left joined on a provably unique key, each one leaves
-    the plan of every query that reads none of its columns.
+    Nations and regions are code tables of fixed size, which Spark broadcasts by their size.  Being left joined on a
+    provably unique key, each one leaves the plan of every query that reads none of its columns.
     """
     region = table(spark, folder, "region").coalesce(1).groupBy("r_regionkey").agg(F.min("r_name").alias("r_name"))
     nation = (
@@ -69,8 +69,8 @@ def raw_spaces(spark: SparkSession, folder: str) -> DataFrame:
     )
     placed = (
         table(spark, folder, "customer")
-        .join(F.broadcast(nation), F.expr("c_nationkey = n_nationkey"), "left")
-        .join(F.broadcast(region), F.expr("n_regionkey = r_regionkey"), "left")
+        .join(nation, F.expr("c_nationkey = n_nationkey"), "left")
+        .join(region, F.expr("n_regionkey = r_regionkey"), "left")
     )
     return placed.selectExpr(
         "CAST(c_custkey AS STRING) AS uuid",
