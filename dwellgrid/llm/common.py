@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +62,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers the package's modules, once per application, through Spark's own file distribution."""
+    context = spark.sparkContext
+    if getattr(context, "_dwellgrid_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="dwellgrid-ship-")  # read by the driver's file server only
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "dwellgrid.zip")
+    with zipfile.ZipFile(path, "w") as package:
+        for place, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    source = os.path.join(place, name)
+                    package.write(source, os.path.relpath(source, os.path.dirname(root)))
+    context.addPyFile(path)
+    context._dwellgrid_shipped = True
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: later steps neither recompute it nor depend
     on the executors that made it."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellgrid.llm import exact_dedup, line_dedup, sharding, url_filter
+from dwellgrid.llm import exact_dedup, line_dedup, packing, sharding, token_files, url_filter
 from dwellgrid.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.read_documents(token_files.write_token_files(documents(spark, folder)))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.contiguous_shards(documents(spark, folder)).select(
         "doc_id",
@@ -34,10 +38,21 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(documents(spark, folder)).drop("cost", "ids")
+
+
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(table(spark, folder, "pages"))
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_exact_dedup, op2_line_dedup, op5_sharding, op10_url_filter)
+    found = (
+        op1_exact_dedup,
+        op2_line_dedup,
+        op3_token_files,
+        op5_sharding,
+        op6_packing,
+        op10_url_filter,
+    )
     return {query.__name__: query for query in found}
