@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellgrid.llm import exact_dedup, line_dedup, packing, sharding, token_files, url_filter
+from dwellgrid.llm import exact_dedup, line_dedup, packing, sharding, simhash, token_files, url_filter
 from dwellgrid.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_documents(token_files.write_token_files(documents(spark, folder)))
 
 
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.near_groups(documents(spark, folder))
+    return groups.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.contiguous_shards(documents(spark, folder)).select(
         "doc_id",
@@ -51,6 +56,7 @@ def queries() -> dict[str, Query]:
         op1_exact_dedup,
         op2_line_dedup,
         op3_token_files,
+        op4_simhash,
         op5_sharding,
         op6_packing,
         op10_url_filter,
