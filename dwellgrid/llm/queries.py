@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellgrid.llm import exact_dedup, line_dedup, packing, sharding, simhash, token_files, url_filter
+from dwellgrid.llm import exact_dedup, line_dedup, packing, sharding, simhash, token_files, toxicity, url_filter
 from dwellgrid.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(documents(spark, folder)).drop("cost", "ids")
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judged(documents(spark, folder), table(spark, folder, "labels"))
+
+
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(table(spark, folder, "pages"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Query]:
         op4_simhash,
         op5_sharding,
         op6_packing,
+        op9_toxicity,
         op10_url_filter,
     )
     return {query.__name__: query for query in found}
