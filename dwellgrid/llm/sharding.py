@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwellgrid.llm.common import checkpointed, id_and_text
+from dwellgrid.llm.common import checkpointed, id_and_text, ship_package
 
 SHARDS = 8
-ROW_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
+
+
+def _running_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with its partition, its place there and the bytes before it there; holds one batch at a time."""
+    part, rows, total = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        sizes = batch.column(1).to_numpy()
+        ends = total + np.cumsum(sizes)
+        places = np.arange(rows, rows + len(sizes))
+        added = [pa.array(np.full(len(sizes), part, np.int32)), pa.array(places), pa.array(ends - sizes)]
+        yield pa.RecordBatch.from_arrays(batch.columns + added, [*batch.schema.names, "part", "place", "before"])
+        rows, total = rows + len(sizes), int(ends[-1]) if len(ends) else total
 
 
 def contiguous_shards(
@@ -17,7 +33,7 @@ def contiguous_shards(
     """One row per input row: ``doc_id, size, text_crc32, shard, slot, bytes_before``, shards contiguous by id.
 
     Rows without their text are range-partitioned and sorted by id once and checkpointed with their place.  Each
-    partition sums its own sizes; the totals, one row per partition, are summed up over all partitions and come back to
+    partition sums its own sizes in order; the totals, one row per partition, are summed up over all partitions and come back to
     the rows as offsets.  The cut points are equal shares of the total: a row belongs to the share in which its middle
     byte lies, so a shard differs from its target by at most one document at either end.
 
@@ -26,17 +42,15 @@ def contiguous_shards(
     A document larger than a share fills one alone and may leave neighbours empty.
     """
     rows = id_and_text(docs, id_col, text_col).select(
-        "doc_id",
+        F.col("doc_id").cast("long"),
         (F.octet_length("text") + 1).cast("long").alias("size"),
         F.crc32("text").alias("text_crc32"),
     )
     order = ["doc_id", "size", "text_crc32"]
-    placed = checkpointed(
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id())
-    )
-    placed = placed.withColumn("part", F.shiftright("row", ROW_BITS))
-    in_part = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    summed = placed.withColumn("before", F.coalesce(F.sum("size").over(in_part), F.lit(0)))
+    ship_package(docs.sparkSession)
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = "doc_id long, size long, text_crc32 long, part int, place long, before long"
+    placed = checkpointed(sorted_rows.mapInArrow(_running_sums, schema))
     # One row per partition: the only rows that meet in one task.
     over_parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -47,11 +61,10 @@ def contiguous_shards(
         F.coalesce(F.sum("n").over(over_parts), F.lit(0)).alias("part_rows"),
         F.sum("bytes").over(everything).alias("total"),
     )
-    in_row = F.col("row").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    ranked = summed.join(F.broadcast(offsets), "part").select(
+    ranked = placed.join(F.broadcast(offsets), "part").select(
         *order,
         (F.col("part_bytes") + F.col("before")).alias("bytes_before"),
-        (F.col("part_rows") + in_row).alias("rank"),
+        (F.col("part_rows") + F.col("place")).alias("rank"),
         "total",
     )
     middle = F.col("bytes_before").cast("decimal(38,0)") * 2 + F.col("size")
