@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dwellgrid.llm import exact_dedup, line_dedup, packing, sharding, simhash, token_files, toxicity, url_filter
+from dwellgrid.llm import (
+    bpe,
+    exact_dedup,
+    line_dedup,
+    multiset_hash,
+    packing,
+    sharding,
+    simhash,
+    token_files,
+    toxicity,
+    url_filter,
+)
 from dwellgrid.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +58,14 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(documents(spark, folder)).drop("cost", "ids")
 
 
+def op7_multiset_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return multiset_hash.edited_neighbours(documents(spark, folder))
+
+
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encoded(documents(spark, folder)).drop("ids", "decoded")
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judged(documents(spark, folder), table(spark, folder, "labels"))
 
@@ -63,6 +82,8 @@ def queries() -> dict[str, Query]:
         op4_simhash,
         op5_sharding,
         op6_packing,
+        op7_multiset_hash,
+        op8_bpe,
         op9_toxicity,
         op10_url_filter,
     )
