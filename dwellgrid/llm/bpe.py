@@ -42,6 +42,29 @@ def words(text: Column) -> Column:
     return F.flatten(cut)
 
 
+def unknown_to_java(text: Column) -> Column:
+    """The text if it has a code point that this Java runtime does not know, else null: only for such code points do
+    Spark's character classes differ from the library's."""
+    return F.when((F.octet_length(text) != F.char_length(text)) & text.rlike("\\p{Cn}"), text)
+
+
+def library_words(text: str, library: Tokenizer) -> list[str]:
+    """What ``words`` gives, cut by the library itself."""
+    out: list[str] = []
+    for i, section in enumerate(text.split(SPECIAL)):
+        out += [SPECIAL] if i else []
+        out += [section[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(section)]
+    return out
+
+
+def _recut(lists: pa.ListArray, odd: pa.Array, tokenizer: str) -> pa.ListArray:
+    if odd.null_count == len(odd):
+        return lists
+    library = Tokenizer.from_file(public_tokenizers.path(tokenizer))
+    both = zip(lists.to_pylist(), odd.to_pylist())
+    return pa.array([w if t is None else library_words(t, library) for w, t in both], lists.type)
+
+
 def _pressed(array: np.ndarray) -> bytes:
     return zstandard.compress(array.tobytes(), 3)
 
@@ -87,14 +110,16 @@ def _chunk_rows(chunk: int, doc_ids: list, counts: list[int], flat: pa.ChunkedAr
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _CHUNK_TYPES)], _CHUNK_NAMES)
 
 
-def chunked(docs: DataFrame, parts: int, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def chunked(
+    docs: DataFrame, parts: int, tokenizer: str = TOKENIZER, chunk_words: int = CHUNK_WORDS
+) -> DataFrame:
     """Documents (``doc_id, text``) as word numbers, and each chunk's distinct words by part of the word table."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << CHUNK_BITS
         doc_ids, counts, flat, held = [], [], [], 0
         for batch in batches:
-            lists = batch.column(1)
+            lists = _recut(batch.column(1), batch.column(2), tokenizer)
             sizes = np.diff(lists.offsets.to_numpy())
             at = 0
             while at < len(sizes):
@@ -112,7 +137,8 @@ def chunked(docs: DataFrame, parts: int, chunk_words: int = CHUNK_WORDS) -> Data
             yield _chunk_rows(chunk, doc_ids, counts, pa.chunked_array(flat), parts)
 
     ship_package(docs.sparkSession)
-    split = docs.select(F.col("doc_id").cast("long"), words(F.col("text")).alias("words"))
+    text = F.col("text")
+    split = docs.select(F.col("doc_id").cast("long"), words(text).alias("words"), unknown_to_java(text).alias("odd"))
     return split.mapInArrow(pack, CHUNK_SCHEMA)
 
 
@@ -197,7 +223,7 @@ def encoded(
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = written(chunked(id_and_text(docs, id_col, text_col), parts, chunk_words), "bpe-chunks")
+    chunks = written(chunked(id_and_text(docs, id_col, text_col), parts, tokenizer, chunk_words), "bpe-chunks")
     answers = encoded_words(chunks, parts, tokenizer)
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
