@@ -89,7 +89,7 @@ def train(labelled: DataFrame, features: int = FEATURES) -> LogisticRegressionMo
     """Fit on a small labelled table (``url, label``); rows without a label are left out."""
     host, path = url_parts(F.col("url"))
     rows = labelled.where(F.col("label").isNotNull()).select(host.alias("host"), path.alias("path"), "label")
-    fit = LogisticRegression(maxIter=60, regParam=0.02, featuresCol="features", labelCol="label")
+    fit = LogisticRegression(maxIter=100, regParam=0.01, standardization=False)
     return fit.fit(hashed(rows.coalesce(1), features))
 
 
