@@ -62,9 +62,9 @@ SELECT f.floor, {value} AS occ_rate_percent
 FROM (SELECT DISTINCT floor_n AS floor FROM sp) f LEFT JOIN r ON r.floor = f.floor"""
 
 
-def _busiest(days: int, limit: int, where: str = "true") -> str:
+def _busiest(window: str, limit: int, where: str = "true") -> str:
     return f"""{BASE}, h AS (
-  SELECT uuid, room_name, hour, max(flag) AS occ FROM joined WHERE {_days(days)} AND {where} GROUP BY ALL
+  SELECT uuid, room_name, hour, max(flag) AS occ FROM joined WHERE {window} AND {where} GROUP BY ALL
 )
 SELECT room_name, occ_rate_percent FROM (
   SELECT uuid, room_name, round(avg(occ) * 100, 1) AS occ_rate_percent FROM h GROUP BY ALL
@@ -120,7 +120,7 @@ def _ranked(window: str, k: int, avoid_quiet: bool) -> str:
     return f"""{_zones(window)}
 SELECT floor, zone, people_hours, rooms_in_zone, round_even(quiet_cnt / rooms_in_zone * 100, 1) AS quiet_pct,
        CASE WHEN people_hours IS NOT NULL THEN GREATEST(CAST(people_hours AS DOUBLE) * {quiet}
-         * CASE WHEN refresh_cnt > 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END, 0) END AS score, sample_rooms
+         * CASE WHEN refresh_cnt > 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END, 0) END AS score
 FROM zoned ORDER BY score DESC NULLS LAST, people_hours DESC NULLS LAST, floor, zone LIMIT {k}"""
 
 
@@ -129,7 +129,9 @@ def _document(source: str, columns: list[str], rows: str) -> str:
     return f"SELECT '{source}' AS source, concat_ws(chr(10), {lines}) AS text FROM ({rows})"
 
 
-def _row_documents() -> str:
+def _row_documents_parts() -> tuple[str, str]:
+    """The common tables and the rows of the row documents."""
+
     def floors(days: int, name: str) -> str:
         return (
             f"SELECT f.floor, {name}.rate AS occ_rate_percent FROM (SELECT DISTINCT floor_n AS floor FROM sp) f "
@@ -151,7 +153,68 @@ def _row_documents() -> str:
         _document("busiest_7d", ["room_name", "occ_rate_percent"], busiest),
         _document("least_used_30d", ["code", "room_name", "occ_rate_percent"], least),
     ]
-    return f"{_grid(30)}, {_floor_rates('r7', 7)}, {_floor_rates('r30', 30)}\n" + "\nUNION ALL ".join(parts)
+    return f"{_grid(30)}, {_floor_rates('r7', 7)}, {_floor_rates('r30', 30)}", "\nUNION ALL ".join(parts)
+
+
+def _row_documents() -> str:
+    return "\n".join(_row_documents_parts())
+
+
+def _lexical(texts: str, key: str) -> str:
+    """Word search over the rows ``key, body`` of ``texts``, asked with the name of every storey."""
+    split = "unnest(regexp_split_to_array(lower(body), '[^\\p{L}\\p{N}]+')) AS term"
+    return f"""{texts}, storeys AS (
+  SELECT DISTINCT CAST("storey_floorId" AS INTEGER) AS floor, storey_name FROM raw_spaces WHERE "storey_floorId" IS NOT NULL
+), asked AS (SELECT floor || ' ' || storey_name AS query_id, 'rooms of storey ' || storey_name AS body FROM storeys),
+uses AS (SELECT {key}, term, count(*) AS uses FROM (SELECT {key}, {split} FROM texts) WHERE term <> '' GROUP BY ALL),
+spread AS (SELECT term, ln((SELECT count(*) FROM texts) / count(*)) AS idf FROM uses GROUP BY term),
+weighed AS (SELECT {key}, term, uses * idf AS w FROM uses JOIN spread USING (term) WHERE idf > 0),
+unit AS (SELECT {key}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM weighed),
+q_uses AS (SELECT query_id, term, count(*) AS uses FROM (SELECT query_id, {split} FROM asked) WHERE term <> '' GROUP BY ALL),
+q_weighed AS (SELECT query_id, term, uses * idf AS w FROM q_uses JOIN spread USING (term) WHERE idf > 0),
+q_unit AS (SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS w FROM q_weighed),
+scored AS (SELECT query_id, {key}, round(sum(a.w * b.w), 9) AS score FROM q_unit a JOIN unit b USING (term) GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}) AS INTEGER) AS place, {key},
+  round(score, 6) AS score FROM scored WHERE score >= 0.25 QUALIFY place <= 8"""
+
+
+def _row_search() -> str:
+    lines = ", ".join(
+        f"'{c}: ' || \"{c}\"" for c in sorted(["display_name", "room_name", "storey_name", "spaceType"])
+    )
+    texts = f"texts AS (SELECT CAST(uuid AS BIGINT) AS vec_id, concat_ws(chr(10), {lines}) AS body FROM sp)"
+    return _lexical(f"{BASE}, {texts}", "vec_id")
+
+
+def _indexed_search() -> str:
+    head, parts = _row_documents_parts()
+    texts = f"""rows_as_text AS ({parts}),
+texts AS (
+  SELECT md5(concat_ws(chr(10), source, text)) || '-' || CAST(i AS VARCHAR) AS chunk_id,
+         substring(text, CAST(i * 720 + 1 AS BIGINT), 800) AS body
+  FROM (SELECT source, text, unnest(range(0, GREATEST(1, CAST(ceil((length(text) - 80) / 720.0) AS BIGINT)))) AS i
+        FROM (SELECT DISTINCT source, text FROM rows_as_text) WHERE length(text) > 0)
+)"""
+    return _lexical(f"{head}, {texts}", "chunk_id")
+
+
+def _table_description() -> str:
+    kinds = {
+        "space_id": "string", "ts": "timestamp_ntz", "occupancy": "string", "event_time": "timestamp_ntz",
+        "event_order": "bigint", "hour": "timestamp_ntz", "day": "timestamp_ntz",
+    }
+    schema = ",".join(f'{{"column":"{c}","dtype":"{t}","nullable":true}}' for c, t in kinds.items())
+
+    def text(column: str) -> str:
+        return f"strftime({column}, '%Y-%m-%d %H:%M:%S') || '+0000'"
+
+    values = ", ".join(f"'{c}': {text(c) if t == 'timestamp_ntz' else c}" for c, t in kinds.items())
+    return f"""{BASE}, enriched AS (SELECT space_id, ts, occupancy, event_time, event_order,
+      date_trunc('hour', ts) AS hour, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day FROM ev),
+    head AS (SELECT * FROM enriched ORDER BY {', '.join(kinds)} LIMIT 5),
+    records AS (SELECT CAST(to_json({{{values}}}) AS VARCHAR) AS record FROM head)
+    SELECT 'events_enriched' AS name, true AS exists, '[{schema}]' AS schema, list(record ORDER BY record) AS sample_rows
+    FROM records"""
 
 
 NEAREST = """
@@ -172,8 +235,10 @@ scored AS (
 
 def oracle_sql() -> dict[str, str]:
     """Query name to SQL."""
-    return {
+    found = {
         "events_all_union": f"{BASE} SELECT space_id, ts, occupancy, event_time, event_order FROM ev",
+        "events_from_csv_lines": f"""{BASE} SELECT space_id, date_trunc('millisecond', ts) AS ts, occupancy,
+            date_trunc('second', event_time) AS event_time, epoch_us(date_trunc('second', ts)) AS event_order FROM ev""",
         "events_enriched": f"""{BASE} SELECT space_id, ts, occupancy, event_time, event_order,
             date_trunc('hour', ts) AS hour, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day FROM ev""",
         "spaces_clean": f"{BASE} SELECT * FROM sp",
@@ -185,7 +250,8 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'spaces', count(*) FROM raw_spaces
             UNION ALL SELECT 'spaces_filtered_count', count(*) FROM sp""",
         "adhoc_capped": f"""{BASE} SELECT space_id, count(*) AS n_events, max(hour) AS last_hour,
-            max(room_name) AS room_name FROM joined GROUP BY space_id ORDER BY n_events DESC, space_id LIMIT 500""",
+            max(room_name) AS room_name, count(*) OVER () > 500 AS more_rows FROM joined GROUP BY space_id
+            ORDER BY n_events DESC, space_id LIMIT 500""",
         "utilization_by_floor": _every_floor("r.rate"),
         "utilization_by_floor_filled": _every_floor("COALESCE(r.rate, 0)"),
         "utilization_floor": f"""{BASE}, h AS (
@@ -201,8 +267,9 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT unnest(['3', 'nation_7']) AS floor) f LEFT JOIN h ON h.floor = f.floor GROUP BY f.floor""",
         "compare_floors_strict": f"""{BASE}, {_floor_rates('r', 7)}
             SELECT floor, rate AS occ_rate_percent FROM r WHERE floor IN (2, 3)""",
-        "busiest_rooms": _busiest(7, 5),
-        "busiest_rooms_of_floor": _busiest(14, 5, "floor_key = 3"),
+        "busiest_rooms": _busiest(_days(7), 5),
+        "busiest_rooms_24h": _busiest("ts >= (SELECT t FROM last) - INTERVAL 24 HOUR", 5),
+        "busiest_rooms_of_floor": _busiest(_days(14), 5, "floor_key = 3"),
         "peak_hours_floor": f"""{BASE} SELECT hour, avg(flag) AS occ_rate FROM joined WHERE floor_key = 3
             GROUP BY hour ORDER BY occ_rate DESC, hour LIMIT 5""",
         "peak_hours_by_floor": f"""{BASE} SELECT hour, round(avg(flag) * 100, 1) AS occ_rate_percent FROM joined
@@ -226,12 +293,19 @@ def oracle_sql() -> dict[str, str]:
             SELECT code, room_name, round(occ_rate * 100, 1) AS occ_rate_percent FROM dense""",
         "dense_hourly_series": f"""{_grid(7, ON_FLOOR_3)}
             SELECT uuid AS space_id, code, room_name, hour, CAST(occ AS INTEGER) AS occ FROM grid""",
+        "facility_measures": _zones(_days(14))
+        + " SELECT floor, zone, people_hours, rooms_in_zone, quiet_cnt, refresh_cnt FROM zoned",
         "facility_features": _zones(_days(14)) + " SELECT * FROM zoned",
         "facility_features_join_rows": _zones(_days(14), join_rows=True) + " SELECT * FROM zoned",
         "zone_rooms": f"""{BASE} SELECT DISTINCT floor_n AS floor,
             upper(substr(split_part(code, '.', 2), 1, 2)) AS zone, room_name FROM sp""",
         "rank_zones": _ranked(_days(14), 2, True),
         "rank_zones_now": _ranked("ts >= (SELECT t FROM last) - INTERVAL 1 HOUR", 5, False),
+        "ranked_zone_rooms": f"""WITH best AS ({_ranked(_days(14), 2, True)}), placed AS (
+              SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, people_hours DESC NULLS LAST, floor, zone) AS place
+              FROM best), names AS ({BASE} SELECT DISTINCT floor_n AS floor,
+              upper(substr(split_part(code, '.', 2), 1, 2)) AS zone, room_name FROM sp)
+            SELECT CAST(place AS INTEGER) AS place, floor, zone, room_name FROM placed JOIN names USING (floor, zone)""",
         "list_floors": f"""{BASE} SELECT DISTINCT CAST("storey_floorId" AS INTEGER) AS floor, storey_name
             FROM raw_spaces WHERE "storey_floorId" IS NOT NULL""",
         "find_rooms_like": f"""{BASE} SELECT room_name, storey_name FROM sp
@@ -255,7 +329,7 @@ def oracle_sql() -> dict[str, str]:
             || (SELECT string_agg(CAST(f AS VARCHAR), ', ' ORDER BY f) FROM (
                SELECT DISTINCT CAST("storey_floorId" AS INTEGER) AS f, storey_name FROM raw_spaces))
             || chr(10) || 'Space types: ' || (SELECT string_agg(t, ', ' ORDER BY t) FROM (
-               SELECT DISTINCT trim("spaceType") AS t FROM sp ORDER BY t LIMIT 50)) AS context""",
+               SELECT DISTINCT trim("spaceType") AS t FROM sp)) AS context""",
         "overview": f"""{BASE}, {_floor_rates('r', 14)},
             best AS (SELECT floor, rate FROM r ORDER BY rate DESC, floor LIMIT 1),
             worst AS (SELECT floor, rate FROM r ORDER BY rate, floor LIMIT 1),
@@ -288,7 +362,14 @@ def oracle_sql() -> dict[str, str]:
                     unnest(range(0, GREATEST(1, CAST(ceil((length(text) - 80) / 720.0) AS BIGINT)))) AS i
                   FROM documents WHERE length(text) > 0)""",
         "knn_cosine_gated": f"{NEAREST} SELECT query_id, place, vec_id, round(score, 6) AS score FROM hits",
-        "context_per_query": f"""{NEAREST} SELECT query_id, count(*) AS n_texts,
-            string_agg(text, chr(10) || chr(10) ORDER BY place) AS context
-            FROM hits JOIN documents ON doc_id = vec_id GROUP BY query_id""",
+        "context_per_query": f"""{NEAREST} SELECT query_id, count(text) AS n_texts, count(*) - count(text) AS n_without_text,
+            coalesce(string_agg(text, chr(10) || chr(10) ORDER BY place), '') AS context
+            FROM hits LEFT JOIN documents ON doc_id = vec_id GROUP BY query_id""",
+        "row_search": _row_search(),
+        "indexed_search": _indexed_search(),
+        "table_description": _table_description(),
+    }
+    return found | {
+        "utilization_by_floor_rollup": found["utilization_by_floor"],
+        "kpis_24h_rollup": found["kpis_24h"],
     }

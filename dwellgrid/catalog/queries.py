@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dwellgrid import schema
 from dwellgrid.catalog.samples import building, question_log
 from dwellgrid.operators import dense, dialogue, latest, lookup, profile, questions, rates, retrieval, zones
 from dwellgrid.plans import documents, overview
-from dwellgrid.sources import events, sample_tables, store, views
+from dwellgrid.schema import ADHOC_ROWS
+from dwellgrid.sources import csv_files, events, sample_tables, store, views
 from dwellgrid.sources.sample_tables import MEETING_SEGMENTS, QUIET_SEGMENTS, REFRESH_SEGMENTS, table, usage
+from dwellgrid.usage import Usage
 
 Query = Callable[[SparkSession, str], DataFrame]
 ZONE_WORDS = {"quiet": QUIET_SEGMENTS, "refresh": REFRESH_SEGMENTS}
@@ -33,7 +36,32 @@ def _events_all(spark: SparkSession, folder: str) -> DataFrame:
 
 def _adhoc(spark: SparkSession, folder: str) -> DataFrame:
     site = building(spark, folder)
-    return site.query(ADHOC_SQL)
+    return site.query(ADHOC_SQL, ADHOC_ROWS)
+
+
+def _with_closed_hours(spark: SparkSession, folder: str) -> Usage:
+    """The model with a roll-up as a stream leaves it: the hours that ended half an hour before the newest event."""
+    model = usage(spark, folder)
+    closed = model.events.agg(F.expr("date_trunc('hour', max(ts) - INTERVAL '30' MINUTE)")).scalar()
+    return model.with_rollup(store.hourly_rollup(model.events).where(F.col("hour") < closed))
+
+
+def _csv_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Event rows as lines of the sensor log's file format, read under its schema."""
+    line = F.concat_ws(
+        ",",
+        F.date_format("ts", "yyyy-MM-dd"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+        F.expr("CAST(timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) AS STRING)"),
+        "space_id",
+        F.concat(F.lit('"'), "occupancy", F.lit('"')),
+        F.lit(""),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+    )
+    lines = _events_all(spark, folder).select(line.alias("line"))
+    return csv_files.canonical_events(csv_files.parse_lines(lines, schema.EVENT_SCHEMA)).withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz")
+    )
 
 
 def _label_queries(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,22 +91,30 @@ def _mmr(spark: SparkSession, folder: str) -> DataFrame:
 def _contexts(spark: SparkSession, folder: str) -> DataFrame:
     hits = retrieval.nearest(_corpus(spark, folder), _label_queries(spark, folder))
     found = retrieval.contexts(hits, table(spark, folder, "documents"))
-    return found.select(F.col("query_id").cast("int").alias("query_id"), "n_texts", "context")
+    return found.select(F.col("query_id").cast("int").alias("query_id"), "n_texts", "n_without_text", "context")
+
+
+def _storey_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """One question per listed storey; floors may have several."""
+    listed = lookup.list_floors(usage(spark, folder))
+    name = F.concat_ws(" ", F.col("floor").cast("string"), "storey_name")
+    return listed.select(name.alias("query_id"), F.concat(F.lit("rooms of storey "), "storey_name").alias("text"))
 
 
 def _row_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Room documents nearest to the storey names, by hashed words."""
+    """Room documents nearest to the storey names, by words."""
     model = usage(spark, folder)
-    rooms = model.spaces.select(
-        F.col("uuid").cast("bigint").alias("vec_id"),
-        retrieval.row_text(model.spaces, ["display_name", "room_name", "storey_name", "spaceType"]).alias("text"),
-    )
-    corpus = retrieval.lexical_vectors(rooms).select("vec_id", "vec")
-    asked = lookup.list_floors(model).select(
-        F.col("floor").alias("query_id"), F.concat(F.lit("storey_name: "), F.col("storey_name")).alias("text")
-    )
-    queries_side = retrieval.lexical_vectors(asked).select("query_id", "vec")
-    return _hits(retrieval.nearest(corpus, queries_side))
+    text = retrieval.row_text(model.spaces, ["display_name", "room_name", "storey_name", "spaceType"])
+    rooms = model.spaces.select(F.col("uuid").cast("bigint").alias("vec_id"), text.alias("text"))
+    hits = retrieval.lexical_nearest(retrieval.lexical_index(rooms), _storey_questions(spark, folder))
+    return hits.withColumn("score", F.round("score", 6))
+
+
+def _indexed_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The index as one path: rows to documents, chunks, word vectors and gated search."""
+    index = documents.document_index(documents.row_documents(usage(spark, folder)))
+    hits = retrieval.lexical_nearest(index, _storey_questions(spark, folder), key="chunk_id")
+    return hits.withColumn("score", F.round("score", 6))
 
 
 def _table_description(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,6 +151,7 @@ def queries() -> dict[str, Query]:
     return {
         # sources and views
         "events_all_union": _events_all,
+        "events_from_csv_lines": _csv_events,
         "events_enriched": lambda s, d: events.enrich_events(_events_all(s, d)),
         "spaces_clean": lambda s, d: usage(s, d).spaces,
         "hourly_rollup": lambda s, d: store.hourly_rollup(usage(s, d).events),
@@ -127,10 +164,13 @@ def queries() -> dict[str, Query]:
         "compare_floors": of_usage(rates.compare_floors, "3", "nation_7", 7),
         "compare_floors_strict": of_usage(rates.compare_floors_strict, [2, 3], 7),
         "busiest_rooms": of_usage(rates.busiest_rooms, days=7, limit=5),
+        "busiest_rooms_24h": of_usage(rates.busiest_rooms, hours=24, limit=5),
         "busiest_rooms_of_floor": of_usage(rates.busiest_rooms, 3, days=14, limit=5),
         "peak_hours_floor": of_usage(rates.peak_hours, 3, 5),
         "peak_hours_by_floor": of_usage(rates.peak_hours, 3, 3, rounded=True),
         "kpis_24h": of_usage(rates.kpis, 24),
+        "utilization_by_floor_rollup": lambda s, d: rates.utilization_by_floor(_with_closed_hours(s, d), 7),
+        "kpis_24h_rollup": lambda s, d: rates.kpis(_with_closed_hours(s, d), 24),
         # latest state
         "status_floor_now": of_usage(latest.status_floor_now, 3),
         "free_rooms_now": of_usage(latest.free_rooms_now, 8, MEETING_SEGMENTS),
@@ -141,11 +181,13 @@ def queries() -> dict[str, Query]:
         "all_rooms_rate": of_usage(dense.all_rooms_with_occ_rate, days=30),
         "dense_hourly_series": of_usage(dense.dense_hourly_series, 3, days=7),
         # zones
+        "facility_measures": of_usage(zones.zone_measures, days=14, **ZONE_WORDS),
         "facility_features": of_usage(zones.facility_features, days=14, **ZONE_WORDS),
         "facility_features_join_rows": of_usage(zones.facility_features, days=14, count_mode="join_rows", **ZONE_WORDS),
         "zone_rooms": of_usage(zones.zone_rooms),
         "rank_zones": of_usage(zones.rank_zones, zones.PlanOptions(k=2, days=14), **ZONE_WORDS),
         "rank_zones_now": of_usage(zones.rank_zones, zones.PlanOptions(k=5, hours=1, avoid_quiet=False), **ZONE_WORDS),
+        "ranked_zone_rooms": of_usage(zones.ranked_zone_rooms, zones.PlanOptions(k=2, days=14), **ZONE_WORDS),
         # lookups and profile
         "list_floors": of_usage(lookup.list_floors),
         "find_rooms_like": of_usage(lookup.find_rooms_like, ROOM_TEXT),
@@ -175,6 +217,7 @@ def queries() -> dict[str, Query]:
         "mmr_rerank": _mmr,
         "context_per_query": _contexts,
         "row_search": _row_search,
+        "indexed_search": _indexed_search,
     }
 
 

@@ -38,14 +38,14 @@ PHRASINGS = (
 
 
 def question_log(spark: SparkSession, folder: str) -> DataFrame:
-    """``conv_id, turn, text``: one question per conversation turn; every third one carries the whole turn's text."""
+    """``conv_id, turn, text``: one question per conversation turn, followed by the whole text of the turn."""
     turns = sample_tables.table(spark, folder, "conversations")
     n = F.col("conv_id") * 5 + F.col("turn")
     phrase = F.get(F.array(*[F.lit(p) for p in PHRASINGS]), F.pmod(n, F.lit(len(PHRASINGS))).cast("int"))
     floor = (F.pmod(F.col("conv_id"), F.lit(14)) - 2).cast("string")
     days = (F.pmod(n, F.lit(29)) + 2).cast("string")
     asked = F.replace(F.replace(phrase, F.lit("{f}"), floor), F.lit("{d}"), days)
-    text = F.when(n % 3 == 0, F.concat(asked, F.lit("\n"), F.col("text"))).otherwise(asked)
+    text = F.concat(asked, F.lit("\n"), F.coalesce("text", F.lit("")))
     return turns.select("conv_id", "turn", text.alias("text"))
 
 

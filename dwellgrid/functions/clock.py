@@ -46,6 +46,11 @@ class Window:
         return f"({moment} - make_interval(0, 0, 0, {self.days}, {self.hours}))"
 
 
+def trailing(days: int, hours: int | None = None) -> Window:
+    """The window of the last ``hours`` where they are given, else of the last ``days``."""
+    return Window(days=days) if hours is None else Window(hours=whole(hours, "hours", 1))
+
+
 def _kind(events: DataFrame) -> str:
     return events.schema["ts"].dataType.simpleString()
 
@@ -63,45 +68,57 @@ def _newest_partition(events: DataFrame) -> DataFrame:
     return events
 
 
-def from_anchor(events: DataFrame, at: dt.datetime | None, value) -> Column:
-    """A value computed from the anchor; ``value`` maps the anchor's SQL to the SQL of the result."""
+def from_anchor(events: DataFrame, at: dt.datetime | None, value, newest: DataFrame | None = None) -> Column:
+    """A value computed from the anchor; ``value`` maps the anchor's SQL to the SQL of the result.
+
+    ``newest`` is a part of the log that is known to hold its newest event.
+    """
     if at is not None:
         return F.expr(value(literal(events, at)))
-    return _newest_partition(events).agg(F.expr(value("max(ts)")).alias("anchored")).scalar()
+    return _newest_partition(events if newest is None else newest).agg(F.expr(value("max(ts)")).alias("anchored")).scalar()
 
 
-def window_start(events: DataFrame, window: Window, at: dt.datetime | None = None, then="{}") -> Column:
+def window_start(events: DataFrame, window: Window, at: dt.datetime | None = None, then="{}",
+                 newest: DataFrame | None = None) -> Column:
     """Start of a trailing window.  Day steps are calendar days of the session time zone.
 
     ``then`` is a SQL template that derives another value from the start inside the same subquery.
     """
-    return from_anchor(events, at, lambda moment: then.replace("{}", window.before(moment)))
+    return from_anchor(events, at, lambda moment: then.replace("{}", window.before(moment)), newest)
 
 
-def within(events: DataFrame, window: Window, at: dt.datetime | None = None) -> DataFrame:
+def within(events: DataFrame, window: Window, at: dt.datetime | None = None,
+           newest: DataFrame | None = None) -> DataFrame:
     """Events inside a trailing window.
 
     Without ``at`` the upper bound is the maximum itself and needs no test.  A date-partitioned log is pruned as well.
     """
-    start, ts = window_start(events, window, at), F.col("ts")
+    start, ts = window_start(events, window, at, newest=newest), F.col("ts")
     inside = ts > start if window.open_start else ts >= start
     if at is not None:
         inside &= F.expr(f"ts <= {literal(events, at)}")
     if "event_date" in events.columns:
         # event_date is the UTC date of ts; one day of slack covers any session time zone
-        inside &= F.col("event_date") >= window_start(events, window, at, "date_sub(CAST({} AS DATE), 1)")
+        inside &= F.col("event_date") >= window_start(
+            events, window, at, "date_sub(CAST({} AS DATE), 1)", newest
+        )
     return events.where(inside)
 
 
 @lru_cache(maxsize=64)
-def _whole_hour_offsets(zone: str) -> bool:
-    """True when every UTC offset of a time zone since 1970 is a whole number of hours."""
+def minutes_past_the_hour(zone: str) -> int | None:
+    """Minutes of UTC at which a zone's hours begin, or None where they changed since 1970 or the zone is unknown."""
     try:
         rules = ZoneInfo(zone)
     except (KeyError, ValueError, OSError):
-        return False
+        return None
     months = (dt.datetime(year, month, 1, tzinfo=rules) for year in range(1970, 2038) for month in range(1, 13))
-    return all(moment.utcoffset().total_seconds() % 3600 == 0 for moment in months)
+    starts = {-moment.utcoffset().total_seconds() % 3600 for moment in months}
+    return int(starts.pop() // 60) if len(starts) == 1 else None
+
+
+def session_zone(df: DataFrame) -> str:
+    return df.sparkSession.conf.get("spark.sql.session.timeZone")
 
 
 def hour(events: DataFrame) -> str:
@@ -111,7 +128,7 @@ def hour(events: DataFrame) -> str:
     starts on whole hours of the epoch, which are calendar hours for times without zone and in every session zone
     whose offsets are whole hours; other zones use ``date_trunc``.
     """
-    if _kind(events) == "timestamp_ntz" or _whole_hour_offsets(events.sparkSession.conf.get("spark.sql.session.timeZone")):
+    if _kind(events) == "timestamp_ntz" or minutes_past_the_hour(session_zone(events)) == 0:
         return "window(ts, '1 hour').start"
     return bucket(events)
 

@@ -12,34 +12,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dwellgrid.functions import clock
-from dwellgrid.functions.clock import Window, whole
+from dwellgrid.functions.clock import Window, trailing, whole
 from dwellgrid.functions.measures import OCCUPIED, percent
 from dwellgrid.operators.rates import on_floor_only
 from dwellgrid.usage import Usage
 
 
-def hours_in_window(days: int) -> int:
-    """Wall-clock hour buckets touched by a trailing window of whole days."""
-    return 24 * whole(days, "days") + 1
+def hours_in_window(days: int, hours: int | None = None) -> int:
+    """Wall-clock hour buckets touched by a trailing window of whole days, or of ``hours``."""
+    return 1 + (24 * whole(days, "days") if hours is None else whole(hours, "hours", 1))
 
 
-def _window_hours(usage: Usage, days: int, scoped: bool) -> DataFrame:
+def _window_hours(usage: Usage, days: int, scoped: bool, hours: int | None = None) -> DataFrame:
     """Events of the window as ``space_id, hour, state`` on the wall clock, limited to the model's spaces if asked."""
-    rows = clock.within(clock.wall_clock(usage.events), Window(days=days), usage.at)
+    rows = clock.within(clock.wall_clock(usage.events), trailing(days, hours), usage.at)
     rows = rows.selectExpr("space_id", f"{clock.hour(rows)} AS hour", f"{OCCUPIED} AS state")
     if scoped and usage.broadcast_spaces:
         rows = rows.join(usage.dimension(), "space_id", "left_semi")
     return rows
 
 
-def dense_rates(usage: Usage, floor: int | str | None = None, days: int = 30) -> DataFrame:
+def dense_rates(usage: Usage, floor: int | str | None = None, days: int = 30, hours: int | None = None) -> DataFrame:
     """``code, room_name, occ_rate``: share of occupied hours over all hours of all sensor spaces of a room.
 
     Rooms without any event are present with 0.  Occupied hours are deduplicated per space first; rooms and hours
     then meet in one aggregate per room, without a grid and without an outer join.
     """
     scoped = on_floor_only(usage, floor)
-    found = _window_hours(scoped, days, floor is not None).where("state = 1").select("space_id", "hour").distinct()
+    found = _window_hours(scoped, days, floor is not None, hours).where("state = 1").select("space_id", "hour").distinct()
     if usage.broadcast_spaces:
         found = found.selectExpr("space_id", "1L AS occupied_hours")
     else:
@@ -49,17 +49,17 @@ def dense_rates(usage: Usage, floor: int | str | None = None, days: int = 30) ->
     return (
         listed.unionByName(found.selectExpr("code", "room_name", "0 AS spaces", "occupied_hours"))
         .groupBy("code", "room_name")
-        .agg(F.expr(f"sum(occupied_hours) / (sum(spaces) * {hours_in_window(days)}) AS occ_rate"))
+        .agg(F.expr(f"sum(occupied_hours) / (sum(spaces) * {hours_in_window(days, hours)}) AS occ_rate"))
     )
 
 
 def underused_rooms(usage: Usage, floor: int | str | None = None, days: int = 30, threshold: float | None = 0.10,
-                    limit: int | None = None) -> DataFrame:
+                    limit: int | None = None, hours: int | None = None) -> DataFrame:
     """Rooms with a dense rate below the threshold, or, without a threshold, the ``limit`` least used ones.
 
     The threshold tests the unrounded rate.  Sorted by rounded rate, code and name.
     """
-    rates = dense_rates(usage, floor, days)
+    rates = dense_rates(usage, floor, days, hours)
     if threshold is not None:
         rates = rates.where(F.col("occ_rate") < F.lit(float(threshold)))
     listed = rates.select("code", "room_name", percent("occ_rate").alias("occ_rate_percent")).orderBy(
@@ -68,10 +68,11 @@ def underused_rooms(usage: Usage, floor: int | str | None = None, days: int = 30
     return listed if threshold is not None or limit is None else listed.limit(whole(limit, "limit"))
 
 
-def all_rooms_with_occ_rate(usage: Usage, floor: int | str | None = None, days: int = 30) -> DataFrame:
+def all_rooms_with_occ_rate(usage: Usage, floor: int | str | None = None, days: int = 30,
+                            hours: int | None = None) -> DataFrame:
     """Every room with its dense rate in percent, busiest first, then by code and name."""
     return (
-        dense_rates(usage, floor, days)
+        dense_rates(usage, floor, days, hours)
         .select("code", "room_name", percent("occ_rate").alias("occ_rate_percent"))
         .orderBy(F.desc_nulls_last("occ_rate_percent"), "code", "room_name")
     )

@@ -27,26 +27,40 @@ def _from_log(events: DataFrame, counts: dict[str, str | Column]) -> DataFrame:
 
 
 def _from_rollup(usage: Usage, window: clock.Window | None) -> DataFrame:
-    """Whole hours from the roll-up, plus log rows of the hours a window cuts (at its start, and at a given end)."""
+    """Whole hours from the roll-up, plus log rows of the hours that the roll-up or the window leaves open.
+
+    The roll-up's last hour may be unfinished, and a stream has not closed the hours after it: from that hour on the log
+    counts.  Its tail also holds the newest event, so the anchor needs no pass over the whole log.  At the start of the
+    window, and at a given end, the log fills the hour that the window cuts.
+    """
     columns = ["space_id", "hour", *COUNTS]
-    if window is None:
-        return usage.rollup.select(*columns)
     kind = usage.events.schema["ts"].dataType.simpleString()
+    rollup = usage.rollup
+    if "zone" in rollup.columns and kind != "timestamp_ntz":
+        same = F.col("zone") == F.current_timezone()
+        rollup = rollup.where(F.assert_true(same, "the roll-up was built in another time zone").isNull())
+    open_from = rollup.agg(F.expr(f"coalesce(max(hour), CAST('0001-01-01' AS {kind}))").alias("open_from")).scalar()
+    tail = usage.events.where(F.col("ts") >= open_from)
+    if "event_date" in usage.events.columns:
+        tail = tail.where(F.col("event_date") >= F.date_sub(open_from.cast("date"), 1))
+    kept = rollup.where(F.col("hour") < open_from)
+    if window is None:
+        return kept.select(*columns).unionByName(_from_log(tail, COUNTS))
     cut = "date_trunc('hour', {})"
     following = f"{cut} + INTERVAL '1' HOUR"
     # an exclusive start always cuts its hour, an inclusive one only when it is not on the hour
     whole_hour = following if window.open_start else f"if({cut} = {{}}, {cut}, {following})"
-    first_whole = clock.window_start(usage.events, window, usage.at, f"CAST({whole_hour} AS {kind})")
-    kept = usage.rollup.where(F.col("hour") >= first_whole)
-    cut_hours = F.col("ts") < first_whole
+    first_whole = clock.window_start(usage.events, window, usage.at, f"CAST({whole_hour} AS {kind})", tail)
+    kept = kept.where(F.col("hour") >= first_whole)
+    from_log = (F.col("ts") < first_whole) | (F.col("ts") >= open_from)
     if usage.at is not None:
         last = F.expr(f"CAST(date_trunc('hour', {clock.literal(usage.events, usage.at)}) AS {kind})")
         kept = kept.where(F.col("hour") < last)
-        cut_hours = cut_hours | (F.col("ts") >= last)
+        from_log = from_log | (F.col("ts") >= last)
     if "event_date" in kept.columns:
-        first_day = clock.window_start(usage.events, window, usage.at, "date_sub(CAST({} AS DATE), 1)")
+        first_day = clock.window_start(usage.events, window, usage.at, "date_sub(CAST({} AS DATE), 1)", tail)
         kept = kept.where(F.col("event_date") >= first_day)
-    edges = clock.within(usage.events, window, usage.at).where(cut_hours)
+    edges = clock.within(usage.events, window, usage.at, tail).where(from_log)
     return kept.select(*columns).unionByName(_from_log(edges, COUNTS))
 
 

@@ -18,9 +18,10 @@ from dwellgrid.usage import Usage
 def latest_states(usage: Usage, max_age: clock.Window | None = None) -> DataFrame:
     """``space_id, room_name, occupancy, event_time`` of the newest event of every space in the model.
 
-    ``max_by`` keeps one row per space on the map side, so the shuffle carries one row per space and task however
-    many events a space has.  Equal timestamps are decided by ``event_order``, then by the larger room name where a
-    space is listed twice.
+    With a bounded dimension the newest moment of each space is a hash aggregate over two fixed-width columns.  It has
+    one row per space of the model, so it is as bounded as the dimension; broadcast to the log it leaves the newest
+    events, in which ties are decided by ``event_order``, then by the larger room name where a space is listed twice.
+    Beyond the bound, ``max_by`` keeps one row per space and task before the only shuffle, at the price of a sort there.
     """
     rows = usage.events if max_age is None else clock.within(usage.events, max_age, usage.at)
     payload, order = "occupancy, event_time", "ts, event_order"
@@ -29,7 +30,11 @@ def latest_states(usage: Usage, max_age: clock.Window | None = None) -> DataFram
         best = f"max_by(struct({payload}, {order}{extra}), struct({order}{extra})) AS newest"
         return frame.groupBy("space_id").agg(F.expr(best)).select("space_id", "newest.*")
 
-    if not usage.broadcast_spaces:
+    if usage.broadcast_spaces:
+        known = rows.join(usage.dimension(), "space_id", "left_semi").where("ts IS NOT NULL")
+        moments = known.groupBy("space_id").agg(F.max("ts").alias("newest_ts"))
+        rows = rows.join(F.broadcast(moments), "space_id").where("ts = newest_ts").drop("newest_ts")
+    else:
         rows = newest(rows)
     joined = rows.join(usage.dimension("room_name"), "space_id")
     return newest(joined, ", room_name").select("space_id", "room_name", "occupancy", "event_time")

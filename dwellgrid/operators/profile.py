@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dwellgrid.functions.clock import whole
 from dwellgrid.operators.lookup import list_floors
 from dwellgrid.usage import Usage
 
@@ -40,13 +41,19 @@ def space_types(usage: Usage) -> DataFrame:
     )
 
 
-def category_context(usage: Usage, most: int = 50) -> DataFrame:
-    """One row of text listing the floors and the first space types, as a hint for whoever asks questions."""
+def category_context(usage: Usage, most: int | None = None) -> DataFrame:
+    """One row of text listing the floors and the space types, as a hint for whoever asks questions.
+
+    With ``most`` only the first so many types are listed, followed by the number of all where some are left out.
+    """
     floors = _joined(list_floors(usage).where(F.col("floor").isNotNull()).select(F.col("floor").alias("v")))
-    types = _joined(space_types(usage).limit(most).select(F.col("t").alias("v")))
-    return floors.select(
-        F.concat(F.lit("Floors: "), "text", F.lit("\nSpace types: "), types.scalar()).alias("context")
-    )
+    types = space_types(usage)
+    listed = _joined((types if most is None else types.limit(whole(most, "most"))).select(F.col("t").alias("v")))
+    context = F.concat(F.lit("Floors: "), "text", F.lit("\nSpace types: "), listed.scalar())
+    if most is not None:
+        total = types.agg(F.count("*")).scalar()
+        context = F.concat(context, F.when(total > most, F.concat(F.lit(" ("), total, F.lit(" in all)"))).otherwise(""))
+    return floors.select(context.alias("context"))
 
 
 def _joined(values: DataFrame) -> DataFrame:
@@ -135,7 +142,9 @@ def table_description(spark: SparkSession, name: str, rows: int = 5) -> DataFram
                  F.lit(True).alias("nullable"))
         for f in df.schema.fields
     ]
-    return json_records(df.limit(rows)).agg(F.collect_list("record").alias("sample_rows")).select(
+    # the first rows in the order of all columns, so that the sample is the same on every run
+    sample = json_records(df.orderBy(*df.columns).limit(whole(rows, "rows")))
+    return sample.agg(F.sort_array(F.collect_list("record")).alias("sample_rows")).select(
         F.lit(name).alias("name"), F.lit(True).alias("exists"), F.to_json(F.array(*columns)).alias("schema"),
         "sample_rows",
     )

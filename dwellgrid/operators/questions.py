@@ -116,11 +116,14 @@ def says_now(text: str) -> str:
 
 
 def trailing_days(text: str) -> str:
-    """Days of "last 3 weeks", "past month" and the like; NULL where none is said or where it says "now"."""
+    """Days of "last 3 weeks", "past month" and the like.
+
+    NULL where none is said, where it says "now", and where the number of days does not fit an INT.
+    """
     n, unit = captured_int(text, SPAN, 2), f"regexp_extract({text}, {quoted(SPAN)}, 3)"
     return f"""CASE WHEN {says_now(text)} THEN NULL
         WHEN {matches(text, SPAN, SPAN_NEEDS)}
-            THEN {n} * CASE left({unit}, 1) WHEN 'w' THEN 7 WHEN 'm' THEN 30 ELSE 1 END
+            THEN try_multiply({n}, CASE left({unit}, 1) WHEN 'w' THEN 7 WHEN 'm' THEN 30 ELSE 1 END)
         WHEN {contains_any(text, ("last week", "past week"))} THEN 7
         WHEN {contains_any(text, ("last month", "past month"))} THEN 30 END"""
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellgrid.functions.clock import Window, whole, window_start
+from dwellgrid.functions.clock import Window, trailing, whole, window_start
 from dwellgrid.functions.floors import floor_token, on_floor
 from dwellgrid.functions.measures import occupied, percent
 from dwellgrid.operators.hourly import ANY_OCCUPIED, EVENT_SHARE, hourly_counts, space_hours
@@ -43,17 +43,18 @@ def in_floor_order(rates: DataFrame) -> DataFrame:
     return rates.repartition(1).sortWithinPartitions(F.asc_nulls_last("floor"))
 
 
-def _floor_hours(usage: Usage, days: int) -> DataFrame:
-    return hourly_counts(usage, ["floor_n"], Window(days=whole(days, "days"))).withColumnRenamed("floor_n", "floor")
+def _floor_hours(usage: Usage, days: int, hours: int | None = None) -> DataFrame:
+    return hourly_counts(usage, ["floor_n"], trailing(days, hours)).withColumnRenamed("floor_n", "floor")
 
 
-def utilization_by_floor(usage: Usage, days: int = 7, fill_missing_with_zero: bool = False) -> DataFrame:
-    """Floor rate in percent for every floor of the dimension, sorted by floor.
+def utilization_by_floor(usage: Usage, days: int = 7, fill_missing_with_zero: bool = False,
+                         hours: int | None = None) -> DataFrame:
+    """Floor rate in percent for every floor of the dimension, sorted by floor; ``hours`` replaces ``days``.
 
     A floor without events in the window has NULL, or 0 with ``fill_missing_with_zero``.
     """
     rate = f"coalesce({RATE}, 0.0D)" if fill_missing_with_zero else RATE
-    rated = with_every_floor(usage, _floor_hours(usage, days)).groupBy("floor")
+    rated = with_every_floor(usage, _floor_hours(usage, days, hours)).groupBy("floor")
     return in_floor_order(rated.agg(percent(rate).alias("occ_rate_percent")))
 
 
@@ -83,16 +84,17 @@ def utilization_by_floor_windows(usage: Usage, days: tuple[int, ...] = (7, 30))
     )
 
 
-def utilization_floor(usage: Usage, floor: int | str, days: int = 7) -> DataFrame:
+def utilization_floor(usage: Usage, floor: int | str, days: int = 7, hours: int | None = None) -> DataFrame:
     """One row: spaces with events in the window and their room rate in percent (0 when there are none)."""
-    per_space = space_hours(on_floor_only(usage, floor), Window(days=whole(days, "days")))
+    per_space = space_hours(on_floor_only(usage, floor), trailing(days, hours))
     return per_space.agg(
         F.expr("count(*) AS total_rooms"),
         percent("coalesce(sum(occupied_hours) / sum(hours), 0.0D)").alias("avg_utilization_percent"),
     )
 
 
-def compare_floors(usage: Usage, floor_a: int | str, floor_b: int | str, days: int = 7) -> DataFrame:
+def compare_floors(usage: Usage, floor_a: int | str, floor_b: int | str, days: int = 7,
+                   hours: int | None = None) -> DataFrame:
     """Floor rates of two floors, as given and in the given order; a floor without events has 0.
 
     Both arguments may name the same floor.
@@ -100,27 +102,28 @@ def compare_floors(usage: Usage, floor_a: int | str, floor_b: int | str, days: i
     asked = [str(floor_a), str(floor_b)]
     sides = F.array_compact(F.array(*[F.when(on_floor(f), F.lit(i)) for i, f in enumerate(asked)]))
     tagged = usage.with_spaces(usage.spaces.withColumn("side", F.explode(sides)))
-    hours = hourly_counts(tagged, ["side"], Window(days=whole(days, "days")))
+    found = hourly_counts(tagged, ["side"], trailing(days, hours))
     # a global aggregate has a row even when nothing matched, and with it both floors
-    rates = hours.agg(
+    rates = found.agg(
         *[percent(f"coalesce(avg(CASE WHEN side = {i} THEN {ANY_OCCUPIED} END), 0.0D)").alias(f"r{i}") for i in (0, 1)]
     )
     pairs = F.array(*[F.struct(F.lit(f).alias("floor"), F.col(f"r{i}").alias("rate")) for i, f in enumerate(asked)])
     return rates.select(F.inline(pairs)).withColumnRenamed("rate", "occ_rate_percent")
 
 
-def compare_floors_strict(usage: Usage, floors: list[int], days: int = 7) -> DataFrame:
+def compare_floors_strict(usage: Usage, floors: list[int], days: int = 7, hours: int | None = None) -> DataFrame:
     """Floor rates of the listed floors by the code's floor number; floors without events are absent."""
     wanted = [whole(int(f), "floor", minimum=-10_000) for f in floors]
     scoped = usage.with_spaces(usage.spaces.where(F.col("floor_n").isin(*wanted)))
-    rated = _floor_hours(scoped, days).groupBy("floor").agg(percent(RATE).alias("occ_rate_percent"))
+    rated = _floor_hours(scoped, days, hours).groupBy("floor").agg(percent(RATE).alias("occ_rate_percent"))
     return in_floor_order(rated)
 
 
-def busiest_rooms(usage: Usage, floor: int | str | None = None, days: int = 7, limit: int = 5) -> DataFrame:
+def busiest_rooms(usage: Usage, floor: int | str | None = None, days: int = 7, limit: int = 5,
+                  hours: int | None = None) -> DataFrame:
     """Spaces with the highest room rate; equal rounded rates are ordered by room name, then by space."""
     scoped = on_floor_only(usage, floor)
-    rated = space_hours(scoped, Window(days=whole(days, "days")))
+    rated = space_hours(scoped, trailing(days, hours))
     return (
         rated.select("space_id", percent("occupied_hours / hours").alias("occ_rate_percent"))
         .join(scoped.dimension("room_name"), "space_id")

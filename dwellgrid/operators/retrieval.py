@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +10,7 @@ from pyspark.sql import types as T
 from dwellgrid.functions.clock import whole
 from dwellgrid.schema import CHUNK_OVERLAP, CHUNK_SIZE, MMR_FETCH, MMR_LAMBDA, RETRIEVAL_K, SCORE_GATE
 
-# Query vectors held by every task at a time; more queries are worked off in blocks of about this size.
+# Query vectors per block; the result does not depend on it.
 QUERIES_PER_BLOCK = 1024
 
 
@@ -60,171 +58,89 @@ def chunks(documents: DataFrame, key: str = "doc_id", text: str = "text", size:
     )
 
 
-def lexical_vectors(texts: DataFrame, text: str = "text", dims: int = 256) -> DataFrame:
-    """Adds ``vec``: unit-length hashed word counts.  A stand-in where no embedding column exists; stays in the JVM."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+def words(text: Column) -> Column:
+    """Lower-cased runs of letters and digits, repeats included."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
-    words = texts.withColumn("q_words", F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    counted = HashingTF(inputCol="q_words", outputCol="q_counts", numFeatures=dims).transform(words)
-    unit = Normalizer(inputCol="q_counts", outputCol="q_unit").transform(counted)
-    return unit.withColumn("vec", vector_to_array("q_unit", "float32")).drop("q_words", "q_counts", "q_unit")
 
+def lexical_index(texts: DataFrame, key: str = "vec_id", text: str = "text") -> DataFrame:
+    """``key, term, weight, idf``: unit-length word vectors as rows, a stand-in where no embedding column exists.
 
-def mean_vectors(vectors: DataFrame, group: str, vec: str, dims: int) -> DataFrame:
-    """``group, vec``: component means per group, by one partial aggregate of ``dims`` sums."""
-    means = [F.avg(F.get(vec, F.lit(i))).alias(f"v{i}") for i in range(dims)]
-    return vectors.groupBy(group).agg(*means).select(group, F.array(*[F.col(f"v{i}") for i in range(dims)]).alias("vec"))
-
-
-def _scorer(k: int, gate: float | None):
-    """Scores Arrow batches of vectors against a query matrix and keeps the best ``k`` per query.
-
-    Self-contained, so that executors need not have this package.
+    A word weighs its count times the logarithm of how rare it is among the texts.  Words are kept as they are, none
+    folded into another, and words that all texts share weigh nothing and have no row.  ``key`` must be unique.
     """
+    uses = texts.select(key, F.explode(words(F.col(text))).alias("term")).groupBy(key, "term")
+    uses = uses.agg(F.count("*").alias("uses"))
+    total = texts.agg(F.count("*")).scalar()
+    spread = uses.groupBy("term").agg(F.log(total / F.count("*")).alias("idf")).where("idf > 0")
+    weighed = uses.join(spread, "term").withColumn("weight", F.col("uses") * F.col("idf"))
+    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    return weighed.join(norms, key).select(key, "term", (F.col("weight") / F.col("norm")).alias("weight"), "idf")
 
-    def unit_rows(column, dims):
-        """Positions and unit vectors of the rows of a list column that have the right length and are not zero."""
-        import numpy as np
-        import pyarrow as pa
-
-        good = np.asarray(column.value_lengths().fill_null(0)) == dims
-        flat = np.asarray(column.filter(pa.array(good)).flatten(), dtype=np.float64).reshape(-1, max(dims, 1))
-        norms = np.sqrt((flat * flat).sum(axis=1))
-        usable = norms > 0
-        return np.flatnonzero(good)[usable], flat[usable] / norms[usable, None]
 
-    def best(query_ids, query_matrix, kept, ids, matrix):
-        """Merge the candidates of one batch into the best so far (per query: scores, ids, vectors)."""
-        import numpy as np
+def lexical_nearest(index: DataFrame, queries: DataFrame, k: int = RETRIEVAL_K, gate: float | None = SCORE_GATE,
+                    key: str = "vec_id") -> DataFrame:
+    """``query_id, place, key, score``: the ``k`` best texts of an index by cosine, score at least ``gate``.
 
-        scores = query_matrix @ matrix.T
-        for q in range(len(query_ids)):
-            row = scores[q]
-            allowed = np.arange(len(row)) if gate is None else np.flatnonzero(row >= gate)
-            if len(allowed) > k:
-                floor = np.partition(row[allowed], len(allowed) - k)[len(allowed) - k]
-                allowed = allowed[row[allowed] >= floor]
-            found = (row[allowed], ids[allowed], matrix[allowed])
-            if q in kept:
-                found = tuple(np.concatenate([a, b]) for a, b in zip(kept[q], found))
-            first = np.lexsort((found[1], -found[0]))[:k]
-            kept[q] = tuple(part[first] for part in found)
-
-    return unit_rows, best
-
-
-def _hit_schema(query_type: T.DataType) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField("query_id", query_type),
-            T.StructField("vec_id", T.LongType()),
-            T.StructField("score", T.DoubleType()),
-            T.StructField("unit_vec", T.ArrayType(T.DoubleType())),
-        ]
+    ``queries`` has ``query_id`` and ``text``; questions meet the index by word only, so texts without a common word are
+    never compared.  Scores are compared to nine decimals; equal ones are ordered by key.
+    """
+    whole(k, "k", 1)
+    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term")
+    rarity = index.groupBy("term").agg(F.min("idf").alias("idf"))
+    asked = asked.agg(F.count("*").alias("uses")).join(rarity, "term").withColumn("w", F.col("uses") * F.col("idf"))
+    norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = asked.join(norms, "query_id").select("query_id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    scored = unit.join(index, "term").groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("weight")).alias("s"))
+    scored = scored.select("query_id", key, F.round("s", 9).alias("score"))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), key)
+    ranked = (scored if gate is None else scored.where(F.col("score") >= gate)).withColumn(
+        "place", F.row_number().over(order)
     )
+    return ranked.where(F.col("place") <= k).select("query_id", "place", key, "score")
 
 
-def _candidates(corpus: DataFrame, query_rows: list, query_type: T.DataType, k: int, gate: float | None) -> DataFrame:
-    """Best ``k`` per query and *task* for queries that fit one block: no shuffle of the corpus, one pass over it."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_type
+def mean_vectors(vectors: DataFrame, group: str, vec: str, dims: int) -> DataFrame:
+    """``group, vec``: component means per group, by one partial aggregate of ``dims`` sums."""
+    means = [F.avg(F.get(vec, F.lit(i))).alias(f"v{i}") for i in range(dims)]
+    return vectors.groupBy(group).agg(*means).select(group, F.array(*[F.col(f"v{i}") for i in range(dims)]).alias("vec"))
 
-    unit_rows, best = _scorer(k, gate)
-    id_type = to_arrow_type(query_type)
-    dims = len(query_rows[0]["vec"]) if query_rows else 0
-    known, matrix = unit_rows(pa.array([list(r["vec"]) for r in query_rows], pa.list_(pa.float64())), dims)
-    ids = [query_rows[i]["query_id"] for i in known]
 
-    def score(batches):
-        import numpy as np
-        import pyarrow as pa
+def _packed(rows: DataFrame, id_name: str, most: int) -> DataFrame:
+    """``ids, vecs``: up to ``most`` rows (or about eight megabytes) of vectors per row; missing vectors are left out.
 
-        kept: dict = {}
-        for batch in batches:
-            if not ids:
-                continue
-            rows, unit = unit_rows(batch.column("vec"), dims)
-            if len(rows):
-                best(ids, matrix, kept, np.asarray(batch.column("vec_id"))[rows], unit)
-        for q, (scores, vec_ids, vectors) in kept.items():
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "query_id": pa.array([ids[q]] * len(scores), id_type),
-                    "vec_id": pa.array(vec_ids, pa.int64()),
-                    "score": pa.array(scores, pa.float64()),
-                    "unit_vec": pa.array(list(vectors), pa.list_(pa.float64())),
-                }
-            )
-
-    return corpus.mapInArrow(score, _hit_schema(query_type))
-
-
-def _candidates_in_blocks(corpus: DataFrame, queries: DataFrame, blocks: int, query_type: T.DataType, k: int,
-                          gate: float | None) -> DataFrame:
-    """The same for any number of queries: packed corpus batches meet packed query blocks in an equi-join.
-
-    Both sides carry whole matrices, so the join moves ``blocks`` copies of the corpus, never pairs of vectors.  Query
-    blocks are salted to spread the work of one block over many tasks.
+    Vectors of different lengths end the job.
     """
-    unit_rows, best = _scorer(k, gate)
-    salts = 64
-    packed = "ids array<bigint>, vecs array<array<double>>"
+    id_type = rows.schema[id_name].dataType
 
     def pack(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             good = batch.column("vec").is_valid()
-            ids, vecs = batch.column("vec_id").filter(good), batch.column("vec").filter(good)
-            if len(ids):
-                one_row = pa.array([0, len(ids)], pa.int32())
+            ids, vecs = batch.column(id_name).filter(good), batch.column("vec").filter(good)
+            widths = np.unique(np.asarray(vecs.value_lengths()))
+            if len(widths) > 1:
+                raise ValueError(f"vectors of different lengths: {widths.tolist()}")
+            step = max(1, min(most, (1 << 20) // max(1, int(widths[0])))) if len(widths) else 1
+            for at in range(0, len(ids), step):
+                some_ids, some = ids.slice(at, step), vecs.slice(at, step).cast(pa.list_(pa.float64()))
+                one_row = pa.array([0, len(some_ids)], pa.int32())
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "ids": pa.ListArray.from_arrays(one_row, ids),
-                        "vecs": pa.ListArray.from_arrays(one_row, vecs.cast(pa.list_(pa.float64()))),
+                        "ids": pa.ListArray.from_arrays(one_row, some_ids),
+                        "vecs": pa.ListArray.from_arrays(one_row, some),
                     }
                 )
 
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    corpus_side = corpus.mapInArrow(pack, packed).select(
-        "ids", "vecs", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int").alias("salt"), every_block
-    )
-    block = F.pmod(F.xxhash64("query_id", "vec"), F.lit(blocks)).cast("int").alias("block")
-    query_side = (
-        queries.select(block, F.struct("query_id", F.col("vec").cast("array<double>").alias("vec")).alias("query"))
-        .groupBy("block")
-        .agg(F.collect_list("query").alias("queries"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    schema = T.StructType(
+        [
+            T.StructField("ids", T.ArrayType(id_type)),
+            T.StructField("vecs", T.ArrayType(T.ArrayType(T.DoubleType()))),
+        ]
     )
-
-    def score(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                asked = batch.column("queries")[i].values
-                width = len(asked.field("vec")[0])
-                known, matrix = unit_rows(asked.field("vec"), width)
-                names = asked.field("query_id").take(pa.array(known))
-                rows, unit = unit_rows(batch.column("vecs")[i].values, width)
-                if not len(rows) or not len(names):
-                    continue
-                kept: dict = {}
-                best(names, matrix, kept, np.asarray(batch.column("ids")[i].values)[rows], unit)
-                for q, (scores, vec_ids, vectors) in kept.items():
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "query_id": names.take(pa.array([q] * len(scores))),
-                            "vec_id": pa.array(vec_ids, pa.int64()),
-                            "score": pa.array(scores, pa.float64()),
-                            "unit_vec": pa.array(list(vectors), pa.list_(pa.float64())),
-                        }
-                    )
-
-    met = corpus_side.join(query_side, ["block", "salt"]).select("ids", "vecs", "queries")
-    return met.mapInArrow(score, _hit_schema(query_type))
+    return rows.mapInArrow(pack, schema)
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int = RETRIEVAL_K, gate: float | None = SCORE_GATE,
@@ -232,28 +148,76 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = RETRIEVAL_K, gate: f
     """``query_id, place, vec_id, score, unit_vec``: exact top ``k`` by cosine with score at least ``gate``.
 
     ``corpus`` has ``vec_id`` (bigint) and ``vec``; ``queries`` has ``query_id`` and ``vec``.  Equal scores are ordered
-    by ``vec_id``; zero and missing vectors match nothing.  Queries are fetched up to one block; when there are more,
-    the same scoring runs block by block inside the cluster.  Each task emits at most ``k`` rows per query, and the
-    final rank keeps ``k`` of those.  For one block of queries the result has a known bound and is marked for
-    broadcast, so that joining texts to it does not shuffle the texts.
+    by ``vec_id``; zero and missing vectors match nothing.  Repeated query ids and vectors of different lengths end the
+    job with an error.
+
+    One way for any number of queries, and nothing runs before the result is asked for: corpus and queries are packed
+    into matrices, the corpus is dealt once over as many salts as the session has shuffle partitions, each of which gets
+    all blocks of queries.  A pair of matrices yields at most ``k`` rows per query, and the rank prunes them per task
+    again before they are shuffled.
     """
     whole(k, "k", 1)
     corpus, queries = corpus.select(F.col("vec_id").cast("bigint"), "vec"), queries.select("query_id", "vec")
-    query_type = queries.schema["query_id"].dataType
-    first = queries.where(F.col("vec").isNotNull()).limit(queries_per_block + 1).collect()
-    bounded = len(first) <= queries_per_block
-    if bounded:
-        found = _candidates(corpus, first, query_type, k, gate)
-    else:
-        blocks = math.ceil(2 * queries.count() / queries_per_block)
-        found = _candidates_in_blocks(corpus, queries.where(F.col("vec").isNotNull()), blocks, query_type, k, gate)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = (
-        found.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= k)
-        .select("query_id", "place", "vec_id", "score", "unit_vec")
+    once = F.count("*").over(W.partitionBy("query_id")) == 1
+    queries = queries.withColumn("once", once).where(
+        F.assert_true("once", "a query id stands for several vectors").isNull()
     )
-    return F.broadcast(ranked) if bounded else ranked
+    salts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    corpus_side = _packed(corpus, "vec_id", 1 << 14).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)))
+    every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")
+    query_side = _packed(queries.select("query_id", "vec"), "query_id", whole(queries_per_block, "queries_per_block", 1))
+    query_side = query_side.select(F.col("ids").alias("asked"), F.col("vecs").alias("asked_vecs"), every_salt)
+
+    def unit_rows(column):
+        """Positions and unit vectors of the rows of a list column that are not zero."""
+        import numpy as np
+
+        width = len(column[0])
+        flat = np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), max(width, 1) if width else 0)
+        norms = np.sqrt((flat * flat).sum(axis=1))
+        usable = norms > 0
+        return np.flatnonzero(usable), flat[usable] / norms[usable, None]
+
+    def score(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                known, matrix = unit_rows(batch.column("asked_vecs")[i].values)
+                rows, unit = unit_rows(batch.column("vecs")[i].values)
+                if not len(rows) or not len(known):
+                    continue
+                if matrix.shape[1] != unit.shape[1]:
+                    raise ValueError(f"vectors of different lengths: {matrix.shape[1]} and {unit.shape[1]}")
+                names = batch.column("asked")[i].values.take(pa.array(known))
+                ids, scores = np.asarray(batch.column("ids")[i].values)[rows], matrix @ unit.T
+                for q in range(len(known)):
+                    row = scores[q]
+                    allowed = np.arange(len(row)) if gate is None else np.flatnonzero(row >= gate)
+                    best = allowed[np.lexsort((ids[allowed], -row[allowed]))[:k]]
+                    if len(best):
+                        yield pa.RecordBatch.from_pydict(
+                            {
+                                "query_id": names.take(pa.array([q] * len(best))),
+                                "vec_id": pa.array(ids[best], pa.int64()),
+                                "score": pa.array(row[best], pa.float64()),
+                                "unit_vec": pa.array(list(unit[best]), pa.list_(pa.float64())),
+                            }
+                        )
+
+    schema = T.StructType(
+        [
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField("vec_id", T.LongType()),
+            T.StructField("score", T.DoubleType()),
+            T.StructField("unit_vec", T.ArrayType(T.DoubleType())),
+        ]
+    )
+    met = corpus_side.join(query_side, "salt").select("ids", "vecs", "asked", "asked_vecs")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = met.mapInArrow(score, schema).withColumn("place", F.row_number().over(order))
+    return ranked.where(F.col("place") <= k).select("query_id", "place", "vec_id", "score", "unit_vec")
 
 
 def diversify(hits: DataFrame, k: int = RETRIEVAL_K, trade_off: float = MMR_LAMBDA) -> DataFrame:
@@ -302,12 +266,16 @@ def diverse_nearest(corpus: DataFrame, queries: DataFrame, k: int = RETRIEVAL_K,
 
 
 def contexts(hits: DataFrame, texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``query_id, n_texts, context``: texts of the hits in rank order, joined by blank lines; hits without text are
-    left out.  A context holds at most the ``k`` texts of its query."""
+    """``query_id, n_texts, n_without_text, context``: texts of the hits in rank order, joined by blank lines.
+
+    Hits without a text are counted, not hidden.  A context holds at most the ``k`` texts of its query.
+    """
     found = hits.select("query_id", "place", "vec_id").join(
-        texts.select(F.col(key).alias("vec_id"), F.col(text).alias("text")), "vec_id"
+        texts.select(F.col(key).alias("vec_id"), F.col(text).alias("text")), "vec_id", "left"
     )
-    ordered = F.array_sort(F.collect_list(F.struct("place", "text")))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("place", "text"))))
     return found.groupBy("query_id").agg(
-        F.count("*").alias("n_texts"), F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("context")
+        F.count("text").alias("n_texts"),
+        F.count_if(F.col("text").isNull()).alias("n_without_text"),
+        F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("context"),
     )

@@ -8,6 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dwellgrid.functions import codes
@@ -94,12 +95,6 @@ def zone_rooms(usage: Usage, floor: int | str | None = None) -> DataFrame:
     return _zoned(on_floor_only(usage, floor), (), ()).spaces.select(*ZONE, "room_name").distinct()
 
 
-def zone_names(usage: Usage, only: DataFrame, floor: int | str | None = None) -> DataFrame:
-    """Distinct room names of the listed (floor, zone) pairs as one ordered text each."""
-    listed = zone_rooms(usage, floor).join(only.select(*ZONE), ZONE, "left_semi")
-    return listed.groupBy(*ZONE).agg(F.expr(NAME_LIST))
-
-
 def facility_features(usage: Usage, floor: int | str | None = None, hours: int | None = None, days: int = 14,
                       count_mode: str = "rooms", quiet=QUIET_WORDS, refresh=REFRESH_WORDS) -> DataFrame:
     """Zone measures plus the distinct names of the zone's rooms, sorted by floor and zone.
@@ -117,7 +112,10 @@ def facility_features(usage: Usage, floor: int | str | None = None, hours: int |
 
 @dataclass(frozen=True)
 class PlanOptions:
-    """Settings of the ranking; ``hours`` replaces ``days`` when given (1 for "now")."""
+    """Settings of the ranking; ``hours`` replaces ``days`` when given (1 for "now").
+
+    The defaults are fixed values.
+    """
 
     floor: int | str | None = None
     k: int = 2
@@ -128,13 +126,17 @@ class PlanOptions:
     downweight_refreshment: float = 0.5
 
 
+def _best_first() -> list:
+    return [F.desc_nulls_last("score"), F.desc_nulls_last("people_hours"), *[F.asc_nulls_last(c) for c in ZONE]]
+
+
 def rank_zones(usage: Usage, options: PlanOptions = PlanOptions(), count_mode: str = "rooms",
                quiet=QUIET_WORDS, refresh=REFRESH_WORDS) -> DataFrame:
     """The ``k`` best zones for a facility.
 
     Score: people-hours, lowered by the share of quiet rooms when those are to be avoided, and again where the zone
     already has refreshment rooms; never below 0.  Zones without events have no score and come last.  Ties go to more
-    people-hours, then to the smaller floor and zone.  Room names are gathered for the winners only.
+    people-hours, then to the smaller floor and zone.  The rooms of the winners are rows of :func:`ranked_zone_rooms`.
     """
     measures = zone_measures(usage, options.floor, options.hours, options.days, count_mode, quiet, refresh)
     quiet_share = "quiet_cnt / rooms_in_zone"
@@ -142,23 +144,24 @@ def rank_zones(usage: Usage, options: PlanOptions = PlanOptions(), count_mode: s
     if options.avoid_quiet:
         score += f" * (1D - {float(options.quiet_weight)!r}D * {quiet_share})"
     score += f" * if(refresh_cnt > 0, {float(options.downweight_refreshment)!r}D, 1D)"
-    best_first = [
-        F.desc_nulls_last("score"), F.desc_nulls_last("people_hours"), *[F.asc_nulls_last(c) for c in ZONE],
-    ]
-    best = (
-        measures.selectExpr(
-            "*",
-            f"bround({quiet_share} * 100, 1) AS quiet_pct",
-            f"if(people_hours IS NOT NULL, greatest({score}, 0D), NULL) AS score",
-        )
-        .orderBy(*best_first)
-        .limit(whole(options.k, "k"))
+    ranked = measures.selectExpr(
+        *ZONE,
+        "people_hours",
+        "rooms_in_zone",
+        f"bround({quiet_share} * 100, 1) AS quiet_pct",
+        f"if(people_hours IS NOT NULL, greatest({score}, 0D), NULL) AS score",
     )
-    # the winners are k rows, whatever the data
-    names = zone_names(usage, F.broadcast(best), options.floor)
-    return (
-        best.join(F.broadcast(names), ZONE)
-        .orderBy(*best_first)
-        .limit(options.k)
-        .select(*ZONE, "people_hours", "rooms_in_zone", "quiet_pct", "score", "sample_rooms")
+    return ranked.orderBy(*_best_first()).limit(whole(options.k, "k"))
+
+
+def ranked_zone_rooms(usage: Usage, options: PlanOptions = PlanOptions(), count_mode: str = "rooms",
+                      quiet=QUIET_WORDS, refresh=REFRESH_WORDS) -> DataFrame:
+    """``place, floor, zone, room_name``: the rooms of the ``k`` best zones, one row each, best zone first.
+
+    Only the winners' keys, ``k`` short rows, are broadcast; no text is gathered.
+    """
+    best = rank_zones(usage, options, count_mode, quiet, refresh)
+    place = F.row_number().over(W.orderBy(*_best_first())).alias("place")  # over k rows
+    return zone_rooms(usage, options.floor).join(F.broadcast(best.select(place, *ZONE)), ZONE).select(
+        "place", *ZONE, "room_name"
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from dwellgrid.functions.clock import Window
 from dwellgrid.operators import dense, latest, lookup, profile, rates, zones
 from dwellgrid.plans import documents, overview
-from dwellgrid.schema import ADHOC_ROWS, MEETING_WORDS, QUIET_WORDS, REFRESH_WORDS
+from dwellgrid.schema import MEETING_WORDS, QUIET_WORDS, REFRESH_WORDS
 from dwellgrid.sources import csv_files, views
 from dwellgrid.sources.events import union_events
 from dwellgrid.usage import Usage
@@ -36,7 +36,7 @@ class Building:
     def register_views(self) -> list[str]:
         return views.register_views(self.spark, *self._views, self.usage.spaces)
 
-    def query(self, sql: str, rows: int = ADHOC_ROWS) -> DataFrame:
+    def query(self, sql: str, rows: int | None = None) -> DataFrame:
         self.register_views()
         return views.adhoc(self.spark, sql, rows)
 
@@ -77,24 +77,27 @@ class Building:
     def peak_hours_by_floor(self, floor: int | str, top: int = 3) -> DataFrame:
         return rates.peak_hours(self.usage, floor, top, rounded=True)
 
-    def utilization_floor(self, floor: int | str, days: int = 7) -> DataFrame:
-        return rates.utilization_floor(self.usage, floor, days)
+    def utilization_floor(self, floor: int | str, days: int = 7, hours: int | None = None) -> DataFrame:
+        return rates.utilization_floor(self.usage, floor, days, hours)
 
-    def utilization_by_floor(self, days: int = 7, fill_missing_with_zero: bool = False) -> DataFrame:
-        return rates.utilization_by_floor(self.usage, days, fill_missing_with_zero)
+    def utilization_by_floor(self, days: int = 7, fill_missing_with_zero: bool = False,
+                             hours: int | None = None) -> DataFrame:
+        return rates.utilization_by_floor(self.usage, days, fill_missing_with_zero, hours)
 
-    def compare_floors(self, floor_a: int | str, floor_b: int | str, days: int = 7) -> DataFrame:
-        return rates.compare_floors(self.usage, floor_a, floor_b, days)
+    def compare_floors(self, floor_a: int | str, floor_b: int | str, days: int = 7,
+                       hours: int | None = None) -> DataFrame:
+        return rates.compare_floors(self.usage, floor_a, floor_b, days, hours)
 
     def compare_floors_strict(self, floors: list[int], days: int = 7) -> DataFrame:
         return rates.compare_floors_strict(self.usage, floors, days)
 
-    def busiest_rooms(self, floor: int | str | None = None, days: int = 7, limit: int = 5) -> DataFrame:
-        return rates.busiest_rooms(self.usage, floor, days, limit)
+    def busiest_rooms(self, floor: int | str | None = None, days: int = 7, limit: int = 5,
+                      hours: int | None = None) -> DataFrame:
+        return rates.busiest_rooms(self.usage, floor, days, limit, hours)
 
     def underused_rooms(self, floor: int | str | None = None, days: int = 30, threshold: float | None = 0.10,
-                        limit: int | None = None) -> DataFrame:
-        return dense.underused_rooms(self.usage, floor, days, threshold, limit)
+                        limit: int | None = None, hours: int | None = None) -> DataFrame:
+        return dense.underused_rooms(self.usage, floor, days, threshold, limit, hours)
 
     def all_rooms_with_occ_rate(self, floor: int | str | None = None, days: int = 30) -> DataFrame:
         return dense.all_rooms_with_occ_rate(self.usage, floor, days)
@@ -109,6 +112,9 @@ class Building:
     def plan_coffee_machines(self, options: zones.PlanOptions = zones.PlanOptions(), **settings) -> DataFrame:
         return zones.rank_zones(self.usage, options, **settings)
 
+    def coffee_machine_rooms(self, options: zones.PlanOptions = zones.PlanOptions(), **settings) -> DataFrame:
+        return zones.ranked_zone_rooms(self.usage, options, **settings)
+
     def kpis(self, window_hours: int = 24) -> DataFrame:
         return rates.kpis(self.usage, window_hours)
 

@@ -47,14 +47,8 @@ def local_session(cores: int | str = "*", app: str = "dwellgrid-local") -> Spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, named by the cluster in ``spark.checkpoint.dir``.
-
-    Only where the cluster names none (a laptop, a unit test) a local one is chosen and recorded in the session.
-    """
+    """The folder all executors can reach, named by the cluster in ``spark.checkpoint.dir``; without it an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="dwellgrid-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder.rstrip("/")

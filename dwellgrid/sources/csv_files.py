@@ -22,6 +22,13 @@ def read_csv(spark: SparkSession, path: str, columns: T.StructType, corrupt_colu
     return reader.option("enforceSchema", False).csv(path)
 
 
+def parse_lines(lines: DataFrame, columns: T.StructType) -> DataFrame:
+    """The column ``line`` of CSV text under an explicit schema, by the rules of :func:`read_csv`."""
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
+    parsed = F.from_csv("line", ddl, {"mode": "PERMISSIVE", "escape": '"'})
+    return lines.select(parsed.alias("row")).select("row.*")
+
+
 def read_office_events(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv(spark, f"{folder.rstrip('/')}/{schema.OFFICE_FILE}", schema.EVENT_SCHEMA)
 

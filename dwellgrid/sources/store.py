@@ -40,26 +40,56 @@ def hourly_rollup(events: DataFrame) -> DataFrame:
 
 
 def write_rollup(events: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store the roll-up by date; readers must use the session zone it was built in."""
-    hourly_rollup(events).hint("rebalance", "event_date").write.mode(mode).partitionBy("event_date").parquet(path)
+    """Store the roll-up by date, with the session zone it was built in; rates over zoned times check the zone."""
+    rollup = hourly_rollup(events).withColumn("zone", F.current_timezone())
+    rollup.hint("rebalance", "event_date").write.mode(mode).partitionBy("event_date").parquet(path)
+
+
+def rollup_gaps(events: DataFrame, rollup: DataFrame) -> DataFrame:
+    """``space_id, hour, log_events, rollup_events`` where a roll-up lacks events of the log in hours it has closed.
+
+    These are events that reached the log after a stream had closed their hour; none of them is lost.  Rebuild the dates
+    named here with :func:`write_rollup`.
+    """
+    last = rollup.agg(F.max("hour")).scalar()
+    theirs = rollup.selectExpr("space_id", "hour", "0L AS log_events", "n_events AS rollup_events")
+    ours = hourly_rollup(events).selectExpr("space_id", "hour", "n_events AS log_events", "0L AS rollup_events")
+    both = ours.unionByName(theirs).where(F.col("hour") < last).groupBy("space_id", "hour")
+    sums = both.agg(F.sum("log_events").alias("log_events"), F.sum("rollup_events").alias("rollup_events"))
+    return sums.where("log_events <> rollup_events")
 
 
 def vector_path(folder: str, collection: str = COLLECTION) -> str:
     return f"{folder.rstrip('/')}/{collection}"
 
 
-def save_vectors(vectors: DataFrame, folder: str, collection: str = COLLECTION) -> None:
-    """Write (or replace) one collection of chunk vectors."""
-    vectors.write.mode("overwrite").parquet(vector_path(folder, collection))
+def save_vectors(vectors: DataFrame, folder: str, collection: str = COLLECTION, replace: bool = False) -> None:
+    """Write one collection of chunk vectors; an existing one is replaced only on request."""
+    vectors.write.mode("overwrite" if replace else "errorifexists").parquet(vector_path(folder, collection))
 
 
 def load_vectors(spark: SparkSession, folder: str, build: Callable[[], DataFrame], collection: str = COLLECTION,
                  rebuild: bool = False) -> DataFrame:
-    """The stored collection; built and stored first when it is missing, unreadable or a rebuild is asked for."""
-    if not rebuild:
-        try:
-            return spark.read.parquet(vector_path(folder, collection))
-        except AnalysisException:
-            pass
-    save_vectors(build(), folder, collection)
-    return spark.read.parquet(vector_path(folder, collection))
+    """The stored collection; built and stored first where nothing lies under its path or a rebuild is asked for.
+
+    A path that holds something else, or files that cannot be read, raise: nothing is overwritten unasked.  A rebuild is
+    written beside the collection before it replaces it, as building may read the old one.
+    """
+    path = vector_path(folder, collection)
+    if rebuild:
+        save_vectors(build(), folder, f"{collection}-next", replace=True)
+        save_vectors(spark.read.parquet(f"{path}-next"), folder, collection, replace=True)
+    elif not _exists(spark, path):
+        save_vectors(build(), folder, collection)
+    return spark.read.parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything lies under a path, in whatever store."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from dwellgrid.functions.clock import whole
-from dwellgrid.schema import ADHOC_ROWS
 from dwellgrid.sources.events import enrich_events, union_events
 
+FILES = "spark.sql.runSQLOnFiles"
+
 
 def register_views(spark: SparkSession, office: DataFrame, meeting: DataFrame, spaces: DataFrame) -> list[str]:
     """Register ``events_office, events_meeting, spaces, events_all, events_enriched`` and return the names.
@@ -27,11 +28,21 @@ def register_views(spark: SparkSession, office: DataFrame, meeting: DataFrame, s
     return list(views)
 
 
-def adhoc(spark: SparkSession, sql: str, rows: int = ADHOC_ROWS) -> DataFrame:
-    """Run one SELECT over the registered views, capped at ``rows`` rows.
+def adhoc(spark: SparkSession, sql: str, rows: int | None = None) -> DataFrame:
+    """Run one SELECT over the registered views.
 
     The text is placed inside a subquery, where Spark's own grammar admits queries only: a statement that changes
-    anything, or a second statement, is a parse error.  The cap always applies, also when the text has a LIMIT of its
-    own.
+    anything, or a second statement, is a parse error.  Relations that name a file are refused.  With ``rows`` at most
+    that many rows come back, also when the text has a LIMIT of its own, and the column ``more_rows`` tells on each of
+    them whether there are others.
     """
-    return spark.sql(f"SELECT * FROM (\n{sql}\n) AS asked LIMIT {whole(rows, 'rows')}")
+    asked = f"SELECT * FROM (\n{sql}\n) AS asked"
+    if rows is not None:
+        some = f"{asked} LIMIT {whole(rows, 'rows') + 1}"
+        asked = f"SELECT *, count(*) OVER () > {rows} AS more_rows FROM ({some}) AS some LIMIT {rows}"
+    files = spark.conf.get(FILES)
+    spark.conf.set(FILES, "false")
+    try:
+        return spark.sql(asked)  # relations are resolved here
+    finally:
+        spark.conf.set(FILES, files)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from dwellgrid.functions.clock import minutes_past_the_hour, session_zone
 from dwellgrid.functions.measures import OCCUPIED
 
 # Events may arrive about a quarter of an hour after they happened.
@@ -25,20 +26,29 @@ def read_event_stream(spark: SparkSession, path: str, files_per_batch: int | Non
 
 
 def hourly_rollup(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Streaming counterpart of :func:`dwellgrid.sources.store.hourly_rollup`, same columns.
+    """Streaming counterpart of :func:`dwellgrid.sources.store.hourly_rollup`, same columns and ``zone``.
 
     A row is final once the watermark has passed its hour; state holds open hours only.  Events later than
-    ``lateness`` are left to a batch rebuild.
+    ``lateness`` stay in the log alone, where :func:`dwellgrid.sources.store.rollup_gaps` finds them.  Hours are those of
+    the batch side: times without zone are counted as they stand, zoned ones from the minute at which the hours of the
+    session zone begin.  A zone in which that minute has changed is refused.
     """
-    kind = events.schema["ts"].dataType.simpleString()
-    # watermarks need a zoned time; the session zone is used both ways
+    if events.schema["ts"].dataType.simpleString() == "timestamp_ntz":
+        # watermarks need a zoned time: the one that reads the same in UTC, which no clock change of the session zone enters
+        epoch = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+        moment, first = F.expr("CAST(concat(CAST(ts AS STRING), 'Z') AS TIMESTAMP)"), 0
+        hour = F.expr(f"{epoch} + make_dt_interval(0, CAST(unix_seconds(span.start) DIV 3600 AS INT))")
+    else:
+        moment, hour, first = F.col("ts"), F.col("span.start"), minutes_past_the_hour(session_zone(events))
+        if first is None:
+            raise ValueError(f"the hours of {session_zone(events)} have no fixed beginning")
     return (
-        events.withColumn("moment", F.col("ts").cast("timestamp"))
+        events.withColumn("moment", moment)
         .withWatermark("moment", lateness)
-        .groupBy("space_id", F.window("moment", "1 hour").alias("span"))
+        .groupBy("space_id", F.window("moment", "1 hour", "1 hour", f"{first} minutes").alias("span"))
         .agg(F.expr("count(*) AS n_events"), F.expr(f"sum({OCCUPIED}) AS n_occupied"))
-        .select("space_id", F.col("span.start").cast(kind).alias("hour"), "n_events", "n_occupied")
-        .withColumn("event_date", F.to_date("hour"))
+        .select("space_id", hour.alias("hour"), "n_events", "n_occupied")
+        .withColumns({"event_date": F.to_date("hour"), "zone": F.current_timezone()})
     )
 
 

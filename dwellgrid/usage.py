@@ -37,7 +37,8 @@ class Usage:
     log to one row per space and hour and then join by key, which needs no bound.
     ``at``: moment that ends all trailing windows; None means the newest event.
     ``rollup``: optional stored hourly roll-up of ``events`` (:func:`dwellgrid.sources.store.hourly_rollup`); rates
-    then read whole hours from it and touch the log only for the partial hours at the edges of a window.
+    then read whole hours from it and touch the log only for the partial hours at the edges of a window and from the
+    roll-up's last hour on, so that a roll-up written by a stream, which has closed hours only, gives the same rates.
     """
 
     events: DataFrame

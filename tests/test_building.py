@@ -91,12 +91,18 @@ def test_analytics(building):
 
 def test_views_and_adhoc(spark, building):
     assert rows(building.query("SELECT count(*) AS n FROM events_enriched WHERE hour IS NOT NULL")) == [(4,)]
-    assert len(rows(building.query("SELECT * FROM range(2000) -- note"))) == 500
-    assert len(rows(building.query("SELECT * FROM range(2000) LIMIT 1000"))) == 500
+    assert len(rows(building.query("SELECT * FROM range(2000) -- note"))) == 2000
+    for text, more in (("SELECT * FROM range(2000) -- note", True), ("SELECT * FROM range(2000) LIMIT 500", False)):
+        found = rows(building.query(text, 500))
+        assert len(found) == 500 and {r[1] for r in found} == {more}
     assert len(rows(building.query("WITH a AS (SELECT 1 AS x) SELECT * FROM a"))) == 1
     for statement in ("DROP VIEW spaces", "CREATE TABLE t AS SELECT 1", "SELECT 1; SELECT 2", "INSERT INTO spaces SELECT 1"):
         with pytest.raises((ParseException, AnalysisException)):
             building.query(statement)
+    for path in ("parquet.`/root/testdata/sf0.001/nation.parquet`", "text.`/etc/hostname`"):
+        with pytest.raises(AnalysisException):
+            building.query(f"SELECT * FROM {path}")
+    assert spark.sql("SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`").count() == 25
     assert "spaces" in {t.name for t in spark.catalog.listTables()}
 
 

@@ -7,9 +7,10 @@ import pytest
 from conftest import DATA
 
 import __spark_entry__ as entry
+from dwellgrid.catalog import oracle, queries
 from tools.compare import TABLES, bag
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = queries.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +22,7 @@ def con():
 
 
 def test_every_sql_has_a_query():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES) and set(QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):

@@ -16,7 +16,7 @@ from dwellgrid.sources import sample_tables
 # queries that hand rows to Python, all in Arrow batches
 PYTHON = {
     "question_intents", "question_intents_legacy", "question_params", "knn_cosine_gated", "mmr_rerank",
-    "context_per_query", "row_search",
+    "context_per_query",
 }
 
 
@@ -55,10 +55,36 @@ def test_large_dimension_is_never_broadcast(sample):
 
 
 def test_latest_and_last_turns_shrink_before_the_shuffle(spark, sample):
-    assert "partial_max_by" in plan(latest.latest_states(sample, Window(days=7)))
+    large = replace(sample, broadcast_spaces=False)
+    assert "partial_max_by" in plan(latest.latest_states(large, Window(days=7)))
     assert plan(last_turns(sample_tables.table(spark, DATA, "conversations"))).count("WindowGroupLimit") == 2
 
 
+def test_latest_state_sorts_nothing_but_the_newest_events(sample):
+    """The pass over the log is a hash aggregate of one time per space; sorts stand above the join with its result."""
+    text = plan(latest.status_floor_now(sample, 3))
+    assert "partial_max(ts" in text
+    before_aggregate = text[text.index("partial_max(ts") :]
+    assert "HashAggregate" in text and " Sort [" not in before_aggregate
+
+
+def test_rollup_spares_the_log(spark, sample, tmp_path):
+    """Over a stored roll-up every event scan is bounded by a time."""
+    from dwellgrid.sources import store
+
+    store.write_events(sample.events, str(tmp_path / "log"))
+    store.write_rollup(sample.events, str(tmp_path / "rollup"))
+    log = replace(sample, events=spark.read.parquet(str(tmp_path / "log")))
+    df = rates.utilization_by_floor(log.with_rollup(spark.read.parquet(str(tmp_path / "rollup"))), 7)
+    scans = [line for line in plan(df).splitlines() if "FileScan" in line and "occupancy" in line]
+    assert scans and all("ScalarSubquery" in line for line in scans)
+
+
+def test_ranking_gathers_no_texts(sample):
+    for df in (zones.rank_zones(sample), zones.ranked_zone_rooms(sample)):
+        assert "listagg" not in plan(df)
+
+
 def test_small_dimension_costs_no_shuffle_of_events(sample):
     """Events meet the broadcast dimension before the first exchange, which carries floor-hour sums only."""
     text = plan(rates.utilization_by_floor(sample))

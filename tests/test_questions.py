@@ -5,7 +5,7 @@ from conftest import rows
 
 from dwellgrid.operators.dialogue import last_turns
 from dwellgrid.operators.profile import map_synonyms, synonym_table
-from dwellgrid.operators.questions import label_questions
+from dwellgrid.operators.questions import label_questions, trailing_days
 from dwellgrid.functions.text import normalise
 
 # question, specific (intent, parameters), legacy (mode or intent, parameters)
@@ -67,6 +67,15 @@ def test_golden_questions(spark, order, column):
             assert row[name] == value, (golden[0], name, row)
 
 
+@pytest.mark.parametrize("order", ["specific", "legacy"])
+def test_too_many_days(spark, order):
+    """A span beyond an INT is no span, and does not end the job."""
+    texts = ["utilization by floor last 100000000 months", "utilization by floor last 99999999999999 days"]
+    log = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [(r["intent"], r["days"]) for r in label_questions(log, order=order).collect()] == [("utilization_by_floor", 7)] * 2
+    assert rows(log.selectExpr(f"{trailing_days('text')} AS days")) == [(None,), (None,)]
+
+
 def test_unknown_order(spark):
     with pytest.raises(ValueError):
         label_questions(spark.createDataFrame([("a",)], "text string"), order="other")

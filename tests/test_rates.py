@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid.functions.clock import Window
 from dwellgrid.functions.measures import occupied
-from dwellgrid.operators import dense, hourly, latest, rates, zones
+from dwellgrid.operators import dense, hourly, latest, profile, rates, zones
 from dwellgrid.plans import overview
 from dwellgrid.sources import sample_tables, store
 from dwellgrid.usage import Usage
@@ -196,6 +196,63 @@ def test_rank_zones(site, options):
     assert plain[0][5] == 3.0 and len(plain) == 1
     floored = rows(zones.rank_zones(usage, zones.PlanOptions(k=3, quiet_weight=9.0)))
     assert [r[5] for r in floored] == [0.0, 0.0, None]
+    assert sorted(rows(zones.ranked_zone_rooms(usage, zones.PlanOptions(k=2)))) == [
+        (1, 1, "10", "1.101 A"), (1, 1, "10", "1.102 B"), (1, 1, "10", "1.103 C"), (2, 1, "20", "1.201 D"),
+        (2, 1, "20", "1.202 E"),
+    ]
+
+
+def test_category_context_says_what_it_leaves_out(site):
+    many = site.usage([], [(f"u{i}", f"1.{i:03d} R", f"kind {i:02d}", "1") for i in range(60)])
+    (whole,), (cut,) = rows(profile.category_context(many))[0], rows(profile.category_context(many, 3))[0]
+    assert whole.count("kind") == 60 and "kind 59" in whole
+    assert cut.endswith("kind 00, kind 01, kind 02 (60 in all)")
+    assert rows(profile.category_context(many, 60))[0][0] == whole
+
+
+def test_hours_instead_of_days(sample):
+    """A window of 48 hours is one of two days on a log without time zone."""
+    assert rows(rates.busiest_rooms(sample, hours=48, limit=30)) == rows(rates.busiest_rooms(sample, days=2, limit=30))
+    assert rows(rates.utilization_by_floor(sample, hours=48)) == rows(rates.utilization_by_floor(sample, 2))
+    assert rows(rates.utilization_floor(sample, 3, hours=48)) == rows(rates.utilization_floor(sample, 3, 2))
+    assert rows(rates.compare_floors(sample, 3, 4, hours=48)) == rows(rates.compare_floors(sample, 3, 4, 2))
+    assert rows(rates.compare_floors_strict(sample, [3, 4], hours=48)) == rows(rates.compare_floors_strict(sample, [3, 4], 2))
+    assert set(rows(dense.dense_rates(sample, 3, hours=48))) == set(rows(dense.dense_rates(sample, 3, 2)))
+    assert rows(rates.busiest_rooms(sample, hours=1)) != rows(rates.busiest_rooms(sample, days=7))
+    with pytest.raises((TypeError, ValueError)):
+        rates.busiest_rooms(sample, hours=0)
+
+
+def test_every_labelled_question_can_be_answered(spark, sample):
+    """The parameters that the rules read are parameters of the operator that they name."""
+    from dwellgrid.catalog.samples import PHRASINGS
+    from dwellgrid.operators.questions import label_questions
+
+    log = spark.createDataFrame([(p.format(f=3, d=9),) for p in PHRASINGS], "text string")
+    answers = {
+        "busiest_rooms": lambda r: rates.busiest_rooms(sample, r["floor"], r["days"], r["k"], r["hours"]),
+        "underused_rooms": lambda r: dense.underused_rooms(sample, r["floor"], r["days"], r["threshold"], None, r["hours"]),
+        "utilization_by_floor": lambda r: rates.utilization_by_floor(sample, r["days"], hours=r["hours"]),
+        "utilization_floor": lambda r: rates.utilization_floor(sample, r["floor"], r["days"], r["hours"]),
+        "compare_floors": lambda r: rates.compare_floors(sample, r["floor"], r["other_floor"], r["days"], r["hours"]),
+    }
+    asked = [r for r in label_questions(log).collect() if r["intent"] in answers]
+    assert {r["intent"] for r in asked} == set(answers) and any(r["hours"] for r in asked)
+    for row in asked:
+        assert answers[row["intent"]](row).columns
+
+
+def test_rollup_of_another_zone_is_refused(spark, site, tmp_path):
+    events = site.events([("a", "2025-03-10 10:00", "occupied")]).withColumn("ts", F.col("ts").cast("timestamp"))
+    store.write_rollup(events, str(tmp_path / "rollup"))
+    usage = Usage.of(events, site.spaces([("a", "1.1 A")])).with_rollup(spark.read.parquet(str(tmp_path / "rollup")))
+    assert rows(rates.kpis(usage, 24))[0][0] == 1
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        with pytest.raises(Exception, match="another time zone"):
+            rates.kpis(usage, 24).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_overview(site):

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from conftest import rows
 
+from pyspark.errors import AnalysisException
+
 from dwellgrid.operators import retrieval
 from dwellgrid.sources import store
 
@@ -34,7 +36,7 @@ def hits(df):
 
 def test_gate_and_zero_vectors(spark):
     corpus = spark.createDataFrame(
-        [(1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.0]), (4, [0.2, 1.0]), (5, [0.0, 0.0]), (6, None), (7, [1.0]),
+        [(1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.0]), (4, [0.2, 1.0]), (5, [0.0, 0.0]), (6, None),
          (8, [1.0, 1.0]), (9, [3.0, 0.0])], VECTORS)
     asked = spark.createDataFrame([("x", [1.0, 0.0]), ("zero", [0.0, 0.0]), ("none", None)], QUERIES)
     found = hits(retrieval.nearest(corpus, asked))
@@ -105,26 +107,86 @@ def test_row_text(spark):
     assert rows(retrieval.documents_of(df, "s"))[0] == ("s", "b: x\nc: 1.5")
 
 
+def test_mixed_lengths_and_repeated_query_ids_are_refused(spark):
+    corpus = spark.createDataFrame([(i, [1.0, 0.0, 0.0, 0.0]) for i in range(3)], VECTORS)
+    for asked, word in (
+        ([("x", [1.0, 0.0, 0.0])], "different lengths"),
+        ([("x", [1.0, 0.0, 0.0, 0.0]), ("y", [1.0, 0.0, 0.0])], "different lengths"),
+        ([("x", [1.0, 0.0, 0.0, 0.0]), ("x", [0.0, 1.0, 0.0, 0.0])], "several vectors"),
+    ):
+        with pytest.raises(Exception, match=word):
+            retrieval.nearest(corpus, spark.createDataFrame(asked, QUERIES).coalesce(1)).collect()
+    mixed = corpus.unionByName(spark.createDataFrame([(9, [1.0])], VECTORS)).coalesce(1)
+    with pytest.raises(Exception, match="different lengths"):
+        retrieval.nearest(mixed, spark.createDataFrame([("x", [1.0, 0.0, 0.0, 0.0])], QUERIES)).collect()
+
+
+def test_planning_runs_no_job(spark, random_vectors):
+    corpus, queries = random_vectors
+    frames = spark.createDataFrame(corpus, VECTORS), spark.createDataFrame(queries, QUERIES)
+    group = "planning"
+    spark.sparkContext.setJobGroup(group, group)
+    retrieval.diverse_nearest(*frames)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setJobGroup("others", "others")
+
+
 def test_contexts(spark):
     found = spark.createDataFrame([("q", 2, 1), ("q", 1, 2), ("q", 3, 9)], "query_id string, place int, vec_id bigint")
     texts = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id bigint, text string")
-    assert rows(retrieval.contexts(found, texts)) == [("q", 2, "two\n\none")]
+    assert rows(retrieval.contexts(found, texts)) == [("q", 2, 1, "two\n\none")]
+
 
+TEXTS = [(1, "room on Floor three"), (2, "coffee corner on floor two"), (3, ""), (4, "Room, room!"), (5, None)]
 
-def test_lexical_vectors_and_store(spark, tmp_path):
-    texts = spark.createDataFrame([(1, "room on Floor three"), (2, "coffee corner"), (3, "")], "vec_id bigint, text string")
-    built = []
+
+def test_lexical_search(spark):
+    texts = spark.createDataFrame(TEXTS, "vec_id bigint, text string")
+    index = retrieval.lexical_index(texts)
+    weights = {(r["vec_id"], r["term"]): r["weight"] for r in index.collect()}
+    counts = {1: ["room", "on", "floor", "three"], 2: ["coffee", "corner", "on", "floor", "two"], 4: ["room", "room"]}
+    vectors = {}
+    for doc, words in counts.items():
+        idf = {w: np.log(5 / sum(w in other for other in counts.values())) for w in words}
+        raw = {w: words.count(w) * idf[w] for w in words}
+        vectors[doc] = {w: v / np.sqrt(sum(x * x for x in raw.values())) for w, v in raw.items()}
+    assert {k: round(v, 9) for k, v in weights.items()} == {
+        (d, w): round(v, 9) for d, vector in vectors.items() for w, v in vector.items()
+    }
+    asked = spark.createDataFrame([("q", "coffee on floor two?"), ("r", "room"), ("none", "attic")],
+                                  "query_id string, text string")
+    found = rows(retrieval.lexical_nearest(index, asked).orderBy("query_id", "place"))
+    assert [r[:3] for r in found] == [("q", 1, 2), ("q", 2, 1), ("r", 1, 4), ("r", 2, 1)]
+    assert found[2][3] == 1.0 and abs(found[3][3] - vectors[1]["room"]) < 1e-8
+    assert [r[2] for r in rows(retrieval.lexical_nearest(index, asked, gate=None)) if r[0] == "q"][:2] == [2, 1]
+
+
+def test_words_all_texts_share_weigh_nothing(spark):
+    texts = spark.createDataFrame([(i, f"floor: {i}") for i in range(4)], "vec_id bigint, text string")
+    assert {r["term"] for r in retrieval.lexical_index(texts).collect()} == {"0", "1", "2", "3"}
+
+
+def test_store(spark, tmp_path):
+    texts = spark.createDataFrame(TEXTS, "vec_id bigint, text string")
+    built, folder = [], str(tmp_path)
 
     def build():
         built.append(1)
-        return retrieval.lexical_vectors(texts)
-
-    first = store.load_vectors(spark, str(tmp_path), build)
-    assert {r["vec_id"]: round(sum(x * x for x in r["vec"]), 5) for r in first.collect()} == {1: 1.0, 2: 1.0, 3: 0.0}
-    store.load_vectors(spark, str(tmp_path), build).count()
-    assert len(built) == 1
-    store.load_vectors(spark, str(tmp_path), build, rebuild=True).count()
-    first = store.load_vectors(spark, str(tmp_path), build, collection="other")
+        return retrieval.lexical_index(texts)
+
+    first = sorted(rows(store.load_vectors(spark, folder, build)))
+    assert sorted(rows(store.load_vectors(spark, folder, build))) == first and len(built) == 1
+    assert sorted(rows(store.load_vectors(spark, folder, build, rebuild=True))) == first and len(built) == 2
+    store.load_vectors(spark, folder, build, collection="other")
     assert len(built) == 3
-    asked = retrieval.lexical_vectors(spark.createDataFrame([("q", "floor three?")], "query_id string, text string"))
-    assert [h[2] for h in hits(retrieval.nearest(first, asked))] == [1]
+    with pytest.raises(AnalysisException):
+        store.save_vectors(build(), folder)
+    # a folder with other files, and a collection that cannot be read: nothing is overwritten
+    (tmp_path / "foreign").mkdir()
+    (tmp_path / "foreign" / "notes.txt").write_text("kept")
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("no parquet")
+    for name in ("foreign", "broken"):
+        with pytest.raises(Exception):
+            store.load_vectors(spark, folder, build, collection=name).collect()
+    assert (tmp_path / "foreign" / "notes.txt").read_text() == "kept" and len(built) == 4
