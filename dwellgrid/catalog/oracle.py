@@ -233,6 +233,29 @@ scored AS (
 """
 
 
+def _diverse(k: int = 8, fetch: int = 24) -> str:
+    """Every pick as a step of its own: the best hit first, then the largest of 0.3 score - 0.7 likeness to the picks."""
+    steps = ["p1 AS (SELECT query_id, 1 AS pick, place FROM cand WHERE place = 1)"]
+    for i in range(2, k + 1):
+        steps.append(f"""p{i} AS (SELECT * FROM p{i - 1} UNION ALL SELECT query_id, {i}, place FROM (
+  SELECT c.query_id, c.place, row_number() OVER (PARTITION BY c.query_id
+           ORDER BY round(0.3::DOUBLE * c.score - 0.7::DOUBLE * max(s.likeness), 12) DESC, c.place) AS best
+  FROM cand c JOIN p{i - 1} p ON p.query_id = c.query_id
+  JOIN likeness s ON s.query_id = c.query_id AND s.a = c.place AND s.b = p.place
+  WHERE c.place NOT IN (SELECT x.place FROM p{i - 1} x WHERE x.query_id = c.query_id)
+  GROUP BY c.query_id, c.place, c.score) WHERE best = 1)""")
+    return NEAREST.rstrip() + f""", cand AS (
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored
+  QUALIFY place <= {fetch}
+), likeness AS (
+  SELECT a.query_id, a.place AS a, b.place AS b,
+         list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS likeness
+  FROM cand a JOIN cand b ON a.query_id = b.query_id JOIN embeddings x ON x.vec_id = a.vec_id
+  JOIN embeddings y ON y.vec_id = b.vec_id
+), {', '.join(steps)}
+SELECT query_id, CAST(pick AS INTEGER) AS place, vec_id, round(score, 6) AS score FROM p{k} JOIN cand USING (query_id, place)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Query name to SQL."""
     found = {
@@ -365,6 +388,7 @@ def oracle_sql() -> dict[str, str]:
         "context_per_query": f"""{NEAREST} SELECT query_id, count(text) AS n_texts, count(*) - count(text) AS n_without_text,
             coalesce(string_agg(text, chr(10) || chr(10) ORDER BY place), '') AS context
             FROM hits LEFT JOIN documents ON doc_id = vec_id GROUP BY query_id""",
+        "mmr_rerank": _diverse(),
         "row_search": _row_search(),
         "indexed_search": _indexed_search(),
         "table_description": _table_description(),

@@ -25,10 +25,14 @@ class Building:
                        meeting_raw if meeting_raw is not None else meeting)
 
     @classmethod
-    def from_csv(cls, spark: SparkSession, folder: str, at: dt.datetime | None = None) -> "Building":
-        """A folder with the two sensor logs and the space file.  The session time zone is the building's."""
-        office_raw = csv_files.read_office_events(spark, folder)
-        meeting_raw = csv_files.read_meeting_events(spark, folder)
+    def from_csv(cls, spark: SparkSession, folder: str, at: dt.datetime | None = None,
+                 building: str = "") -> "Building":
+        """A folder with the two sensor logs and the space file.  The session time zone is the building's.
+
+        ``building`` begins the names of the logs; it is needed where the folder holds logs of several buildings.
+        """
+        office_raw = csv_files.read_office_events(spark, folder, building)
+        meeting_raw = csv_files.read_meeting_events(spark, folder, building)
         office, meeting = (csv_files.canonical_events(e) for e in (office_raw, meeting_raw))
         usage = Usage.of(union_events(office, meeting), csv_files.read_spaces(spark, folder), at=at)
         return cls(spark, office, meeting, usage, office_raw, meeting_raw)
@@ -133,6 +137,6 @@ class Building:
     def row_documents(self) -> DataFrame:
         return documents.row_documents(self.usage)
 
-    def grounding_document(self) -> DataFrame:
+    def grounding_document(self, generated_at: dt.datetime | None = None) -> DataFrame:
         self.register_views()
-        return documents.grounding_document(self.spark, self.usage)
+        return documents.grounding_document(self.spark, self.usage, generated_at)

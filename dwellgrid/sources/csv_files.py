@@ -29,12 +29,21 @@ def parse_lines(lines: DataFrame, columns: T.StructType) -> DataFrame:
     return lines.select(parsed.alias("row")).select("row.*")
 
 
-def read_office_events(spark: SparkSession, folder: str) -> DataFrame:
-    return read_csv(spark, f"{folder.rstrip('/')}/{schema.OFFICE_FILE}", schema.EVENT_SCHEMA)
+def _one_log(spark: SparkSession, folder: str, pattern: str, building: str) -> DataFrame:
+    """The log whose file name begins with ``building``; several such files are logs of several buildings."""
+    path = f"{folder.rstrip('/')}/{building}{pattern}"
+    found = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").limit(2).collect()]
+    if len(found) > 1:
+        raise ValueError(f"{path} names several logs, among them {found}; say which building is meant")
+    return read_csv(spark, path, schema.EVENT_SCHEMA)
 
 
-def read_meeting_events(spark: SparkSession, folder: str) -> DataFrame:
-    return read_csv(spark, f"{folder.rstrip('/')}/{schema.MEETING_FILE}", schema.EVENT_SCHEMA)
+def read_office_events(spark: SparkSession, folder: str, building: str = "") -> DataFrame:
+    return _one_log(spark, folder, schema.OFFICE_FILE, building)
+
+
+def read_meeting_events(spark: SparkSession, folder: str, building: str = "") -> DataFrame:
+    return _one_log(spark, folder, schema.MEETING_FILE, building)
 
 
 def read_spaces(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import json
+import os
 
 import pytest
 from conftest import rows
@@ -89,6 +90,19 @@ def test_analytics(building):
     assert rows(building.find_rooms_like("9T3")) == [("9.T32", "Verdieping 09")]
 
 
+def test_logs_of_several_buildings(spark, folder, tmp_path):
+    """One folder may hold several buildings' logs, but one building has one log of each kind."""
+    import shutil
+
+    for name in os.listdir(folder):
+        shutil.copy(os.path.join(folder, name), tmp_path / name)
+        if "sensors" in name:
+            shutil.copy(os.path.join(folder, name), tmp_path / name.replace("north", "south"))
+    with pytest.raises(ValueError, match="several logs"):
+        Building.from_csv(spark, str(tmp_path))
+    assert Building.from_csv(spark, str(tmp_path), building="south").office.count() == 2
+
+
 def test_views_and_adhoc(spark, building):
     assert rows(building.query("SELECT count(*) AS n FROM events_enriched WHERE hour IS NOT NULL")) == [(4,)]
     assert len(rows(building.query("SELECT * FROM range(2000) -- note"))) == 2000
