@@ -198,23 +198,90 @@ texts AS (
     return _lexical(f"{head}, {texts}", "chunk_id")
 
 
+EVENT_KINDS = {
+    "space_id": "string", "ts": "timestamp_ntz", "occupancy": "string", "event_time": "timestamp_ntz", "event_order": "bigint",
+}
+ENRICHED_KINDS = EVENT_KINDS | {"hour": "timestamp_ntz", "day": "timestamp_ntz"}
+SPACE_KINDS = {
+    "uuid": "string", "sensor_name": "string", "room_name": "string", "spaceType": "string", "storey_floorId": "bigint",
+    "storey_name": "string", "building_name": "string", "label": "string", "code": "string", "room_id": "string",
+    "room_key": "string", "display_name": "string", "floor_n": "int",
+}
+ENRICHED = """SELECT space_id, ts, occupancy, event_time, event_order, date_trunc('hour', ts) AS hour,
+  CAST(date_trunc('day', ts) AS TIMESTAMP) AS day FROM ev"""
+
+
+def _schema_json(kinds: dict[str, str]) -> str:
+    return "[" + ",".join(f'{{"column":"{c}","dtype":"{t}","nullable":true}}' for c, t in kinds.items()) + "]"
+
+
+def _sample(rows: str, kinds: dict[str, str]) -> str:
+    """Subquery: the first five rows in the order of all columns as a list of JSON texts."""
+
+    def value(column: str, kind: str) -> str:
+        quoted = f'"{column}"'
+        return f"strftime({quoted}, '%Y-%m-%d %H:%M:%S') || '+0000'" if kind == "timestamp_ntz" else quoted
+
+    order = ", ".join(f'"{c}" NULLS FIRST' for c in kinds)
+    values = ", ".join(f"'{c}': {value(c, t)}" for c, t in kinds.items())
+    return f"""(SELECT list(record ORDER BY record) FROM (
+      SELECT CAST(to_json({{{values}}}) AS VARCHAR) AS record FROM (SELECT * FROM ({rows}) ORDER BY {order} LIMIT 5)))"""
+
+
 def _table_description() -> str:
-    kinds = {
-        "space_id": "string", "ts": "timestamp_ntz", "occupancy": "string", "event_time": "timestamp_ntz",
-        "event_order": "bigint", "hour": "timestamp_ntz", "day": "timestamp_ntz",
+    return f"""{BASE} SELECT 'events_enriched' AS name, true AS exists, '{_schema_json(ENRICHED_KINDS)}' AS schema,
+      {_sample(ENRICHED, ENRICHED_KINDS)} AS sample_rows"""
+
+
+def _grounding_document() -> str:
+    """The document put together as text; its fixed texts are written out here once more."""
+    notes = [
+        "Ad-hoc queries run inside a subquery, so they can read the views and nothing else.",
+        "The state of a space is that of its newest event, however old, unless an age limit is set.",
+        "Trailing windows end at the newest event of the log; ts is its time, event_order decides between equal times.",
+        "A rate says which hours it counts: observed hours, or all hours of the window.",
+    ]
+    examples = [
+        "free meeting rooms now on floor 3", "underused rooms last 30 days threshold 0.15",
+        "peak hours last 14 days on floor 2", "average occupancy per floor last 7 days",
+        "top 10 rooms by occupancy past 24 hours", "suggest improvements for floor 1 this month",
+    ]
+    synonyms = (
+        '{"occupied":["busy","taken"],"free":["available","vacant","empty"],'
+        '"meeting room":["conference room","vergaderruimte"],"floor":["storey","level"]}'
+    )
+    events = "SELECT space_id, ts, occupancy, event_time, event_order FROM ev"
+    tables = {
+        "events_all": (events, EVENT_KINDS),
+        "events_office": (f"{events} WHERE parity = 0", EVENT_KINDS),
+        "events_meeting": (f"{events} WHERE parity = 1", EVENT_KINDS),
+        "events_enriched": (ENRICHED, ENRICHED_KINDS),
+        "spaces": ("SELECT * FROM sp", SPACE_KINDS),
     }
-    schema = ",".join(f'{{"column":"{c}","dtype":"{t}","nullable":true}}' for c, t in kinds.items())
 
-    def text(column: str) -> str:
-        return f"strftime({column}, '%Y-%m-%d %H:%M:%S') || '+0000'"
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    def listed(values: list[str]) -> str:
+        return "[" + ",".join(f'"{v}"' for v in values) + "]"
 
-    values = ", ".join(f"'{c}': {text(c) if t == 'timestamp_ntz' else c}" for c, t in kinds.items())
-    return f"""{BASE}, enriched AS (SELECT space_id, ts, occupancy, event_time, event_order,
-      date_trunc('hour', ts) AS hour, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day FROM ev),
-    head AS (SELECT * FROM enriched ORDER BY {', '.join(kinds)} LIMIT 5),
-    records AS (SELECT CAST(to_json({{{values}}}) AS VARCHAR) AS record FROM head)
-    SELECT 'events_enriched' AS name, true AS exists, '[{schema}]' AS schema, list(record ORDER BY record) AS sample_rows
-    FROM records"""
+    def described(name: str) -> str:
+        rows, kinds = tables[name]
+        head = f'"{name}":{{"name":"{name}","exists":true,"schema":{_schema_json(kinds)},"sample_rows":'
+        return f"{text(head)} || CAST(to_json({_sample(rows, kinds)}) AS VARCHAR) || '}}'"
+
+    moment = "strftime({}(ts), '%Y-%m-%dT%H:%M:%S.%g')"
+    floors = """(SELECT string_agg(CAST(f AS VARCHAR), ',' ORDER BY f) FROM (
+      SELECT DISTINCT CAST("storey_floorId" AS INTEGER) AS f, storey_name FROM raw_spaces))"""
+    kinds = """(SELECT string_agg('"' || t || '"', ',' ORDER BY t) FROM (SELECT DISTINCT trim("spaceType") AS t FROM sp))"""
+    head = f'{{"generated_at":"2024-02-01T00:00:00Z","notes":{listed(notes)},"data_window":{{"ts_min":"'
+    parts = [
+        text(head), moment.format("min"), text('","ts_max":"'), moment.format("max"),
+        text('"},"dictionaries":{"floors":['), floors, text('],"space_types":['), kinds, text(']},"tables":{'),
+        " || ',' || ".join(described(name) for name in tables),
+        text(f'}},"synonyms":{synonyms},"example_intents":{listed(examples)}}}'),
+    ]
+    return f"{BASE} SELECT {' || '.join(parts)} AS document FROM ev"
 
 
 NEAREST = """
@@ -392,6 +459,7 @@ def oracle_sql() -> dict[str, str]:
         "row_search": _row_search(),
         "indexed_search": _indexed_search(),
         "table_description": _table_description(),
+        "grounding_document": _grounding_document(),
     }
     return found | {
         "utilization_by_floor_rollup": found["utilization_by_floor"],
