@@ -16,7 +16,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
     """Spark's size estimate of a DataFrame (no job); None where the session does not expose it."""
     try:
         return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # a remote session has no handle on the plan
+    except AttributeError:  # a remote session has no handle on the plan
         return None
 
 
