@@ -13,7 +13,7 @@ from dwellgrid.catalog.samples import building, question_log
 from dwellgrid.operators import dense, dialogue, latest, lookup, profile, questions, rates, retrieval, zones
 from dwellgrid.plans import documents, overview
 from dwellgrid.schema import ADHOC_ROWS
-from dwellgrid.sources import csv_files, events, sample_tables, store, views
+from dwellgrid.sources import csv_files, events, sample_tables, store
 from dwellgrid.sources.sample_tables import MEETING_SEGMENTS, QUIET_SEGMENTS, REFRESH_SEGMENTS, table, usage
 from dwellgrid.usage import Usage
 
