@@ -19,6 +19,7 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 1
 # Sequences that are packed together: bounds the memory of a task and the work of one assignment.
 GROUP_SEQUENCES = 2048
 TASK_BITS = 33
+STEP = 1024  # documents that are encoded at once
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "cost double, ids binary"
@@ -113,9 +114,9 @@ def packed(
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(doc_ids), 256):
-                found = encode(texts.slice(at, 256).to_pylist())
-                for doc, ids in zip(doc_ids[at : at + 256], found):
+            for at in range(0, len(doc_ids), STEP):
+                found = encode(texts.slice(at, STEP).to_pylist())
+                for doc, ids in zip(doc_ids[at : at + STEP], found):
                     ids = np.append(ids, np.uint32(end_id))
                     held.append(doc)
                     arrays.append(ids)

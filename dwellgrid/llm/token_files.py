@@ -18,6 +18,7 @@ from dwellgrid.llm.tokens import encoder
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 BLOCK_IDS = 1 << 16
 LEVEL = 3
+STEP = 1024  # documents that are encoded at once
 # A chunk: where it lies (shard, chunk, first id), how many ids it holds, its planes, and the documents in it
 # (their ordinal in the shard, id, and how many of their ids lie before and in this chunk and in all).
 CHUNK_SCHEMA = (
@@ -104,9 +105,9 @@ def chunks(
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(doc_ids), 256):
-                found = ids_of(texts.slice(at, 256).to_pylist())
-                for doc_id, ids in zip(doc_ids[at : at + 256], found):
+            for at in range(0, len(doc_ids), STEP):
+                found = ids_of(texts.slice(at, STEP).to_pylist())
+                for doc_id, ids in zip(doc_ids[at : at + STEP], found):
                     for row in shard.add(doc_id, np.append(ids, np.uint32(end_id))):
                         yield out(row)
         if shard.held:
