@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dwellgrid.llm.common import id_and_text, ship_package, written
+from dwellgrid.llm.common import id_and_text, ship_package
 from dwellgrid.llm.token_files import from_planes, to_planes
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,7 +25,7 @@ SPECIAL = "<|endoftext|>"
 WORD_PATTERN = (
     "(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
 )
-CHUNK_WORDS = 3_000_000  # words of a chunk of documents: bounds the memory of the tasks that handle one
+CHUNK_WORDS = 1_500_000  # words of a chunk of documents: bounds the memory of the tasks that handle one
 CHUNK_BITS = 33
 
 
@@ -84,66 +84,95 @@ def _unpack_words(sizes: bytes, raw: bytes) -> list[str]:
     return [body[a:b].decode() for a, b in zip([0, *ends[:-1]], ends)]
 
 
-# A chunk's documents (part is null): their ids and word numbers; or, per part of the word table, the chunk's distinct
-# words that lie in this part.  Word numbers count a chunk's words by part and, within it, in the order given.
-CHUNK_SCHEMA = "chunk long, part int, doc_ids array<long>, n_words array<int>, planes array<binary>, sizes binary, raw binary"
-_CHUNK_NAMES = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
-_CHUNK_TYPES = [
-    pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary(), pa.binary(),
-]
+# Word numbers count a chunk's distinct words by part of the word table and, within it, as they first occur.  The check
+# is a checksum of these words in order: the requests and the documents of a chunk are made by two passes over the input.
+REQUEST_SCHEMA = "chunk long, part int, check long, sizes binary, raw binary"
+DOCUMENT_SCHEMA = "chunk long, check long, doc_ids array<long>, n_words array<int>, planes array<binary>"
+_REQUEST_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+_DOCUMENT_TYPES = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary())]
 
 
-def _chunk_rows(chunk: int, doc_ids: list, counts: list[int], flat: pa.ChunkedArray, parts: int) -> pa.RecordBatch:
-    """The rows of one chunk, see ``CHUNK_SCHEMA``."""
+def _named(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _numbered(flat: pa.ChunkedArray, parts: int) -> tuple[list[str], np.ndarray, np.ndarray, int]:
+    """A chunk's distinct words in order of their numbers, where each part of them ends, the number of every word, and
+    the check."""
     coded = flat.combine_chunks().dictionary_encode()
     distinct = coded.dictionary.to_pylist()
-    part = np.fromiter((zlib.crc32(w.encode()) % parts for w in distinct), np.int64, len(distinct))
+    part = np.fromiter((zlib.crc32(w.encode()) % parts for w in distinct), np.int32, len(distinct))
     order = np.argsort(part, kind="stable")
     number = np.empty(len(order), np.uint32)
     number[order] = np.arange(len(order), dtype=np.uint32)
-    ids = number[coded.indices.to_numpy(zero_copy_only=False)]
-    rows = [(chunk, None, doc_ids, counts, to_planes(ids), None, None)]
-    ends = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        if ends[p] < ends[p + 1]:
-            rows.append((chunk, p, None, None, None, *_pack_words([distinct[i] for i in order[ends[p] : ends[p + 1]]])))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _CHUNK_TYPES)], _CHUNK_NAMES)
+    found = number[coded.indices.to_numpy(zero_copy_only=False)]
+    ordered = [distinct[i] for i in order]
+    return ordered, np.searchsorted(part[order], np.arange(parts + 1)), found, zlib.crc32("\n".join(ordered).encode())
 
 
-def chunked(
-    docs: DataFrame, parts: int, tokenizer: str = TOKENIZER, chunk_words: int = CHUNK_WORDS
-) -> DataFrame:
-    """Documents (``doc_id, text``) as word numbers, and each chunk's distinct words by part of the word table."""
+def _request_rows(chunk: int, doc_ids: list, counts: list[int], flat: pa.ChunkedArray, parts: int) -> list[tuple]:
+    """One row per part of the word table in which the chunk has words."""
+    ordered, ends, _, check = _numbered(flat, parts)
+    spans = zip(range(parts), ends[:-1].tolist(), ends[1:].tolist())
+    return [(chunk, p, check, *_pack_words(ordered[a:b])) for p, a, b in spans if a < b]
+
+
+def _document_rows(chunk: int, doc_ids: list, counts: list[int], flat: pa.ChunkedArray, parts: int) -> list[tuple]:
+    """One row: the chunk's documents as word numbers, in compressed planes."""
+    _, _, found, check = _numbered(flat, parts)
+    return [(chunk, check, doc_ids, counts, to_planes(found))]
+
+
+def _chunked(docs: DataFrame, parts: int, tokenizer: str, chunk_words: int, make, schema: str, kinds) -> DataFrame:
+    """Rows that ``make`` gives for every chunk of documents (``doc_id, text``); a chunk is a stretch of a partition."""
+    names = _named(schema)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << CHUNK_BITS
         doc_ids, counts, flat, held = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            rows = make(chunk, doc_ids, counts, pa.chunked_array(flat, pa.string()), parts)
+            columns = list(zip(*rows)) or [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
         for batch in batches:
             lists = _recut(batch.column(1), batch.column(2), tokenizer)
             sizes = np.diff(lists.offsets.to_numpy())
             at = 0
             while at < len(sizes):
-                room = np.searchsorted(np.cumsum(sizes[at:]), max(1, chunk_words - held)) + 1
-                taken = lists.slice(at, int(room))
-                flat.append(taken.flatten())
-                doc_ids += batch.column(0).slice(at, int(room)).to_pylist()
+                room = int(np.searchsorted(np.cumsum(sizes[at:]), max(1, chunk_words - held))) + 1
+                flat.append(lists.slice(at, room).flatten())
+                doc_ids += batch.column(0).slice(at, room).to_pylist()
                 counts += sizes[at : at + room].tolist()
                 held += len(flat[-1])
-                at += int(room)
+                at += room
                 if held >= chunk_words:
-                    yield _chunk_rows(chunk, doc_ids, counts, pa.chunked_array(flat), parts)
+                    yield out()
                     chunk, doc_ids, counts, flat, held = chunk + 1, [], [], [], 0
         if doc_ids:
-            yield _chunk_rows(chunk, doc_ids, counts, pa.chunked_array(flat), parts)
+            yield out()
 
     ship_package(docs.sparkSession)
     text = F.col("text")
     split = docs.select(F.col("doc_id").cast("long"), words(text).alias("words"), unknown_to_java(text).alias("odd"))
-    return split.mapInArrow(pack, CHUNK_SCHEMA)
+    return split.mapInArrow(pack, schema)
+
+
+def word_requests(docs: DataFrame, parts: int, tokenizer: str = TOKENIZER, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """Each chunk's distinct words by part of the word table, see ``REQUEST_SCHEMA``."""
+    return _chunked(docs, parts, tokenizer, chunk_words, _request_rows, REQUEST_SCHEMA, _REQUEST_TYPES)
+
+
+def numbered_documents(
+    docs: DataFrame, parts: int, tokenizer: str = TOKENIZER, chunk_words: int = CHUNK_WORDS
+) -> DataFrame:
+    """The documents as word numbers, one row per chunk, see ``DOCUMENT_SCHEMA``."""
+    return _chunked(docs, parts, tokenizer, chunk_words, _document_rows, DOCUMENT_SCHEMA, _DOCUMENT_TYPES)
 
 
-def encoded_words(chunks: DataFrame, parts: int, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``chunk, part, counts, ids``: the ids of every chunk's distinct words.
+def encoded_words(requests: DataFrame, parts: int, tokenizer: str = TOKENIZER) -> DataFrame:
+    """``chunk, part, check, counts, ids``: the ids of every chunk's distinct words.
 
     All requests for a word meet in one part of the table, where the library encodes it once; a word that every document
     uses is requested once per chunk only.
@@ -156,21 +185,19 @@ def encoded_words(chunks: DataFrame, parts: int, tokenizer: str = TOKENIZER) ->
         known: dict[str, np.ndarray] = {}
         for batch in batches:
             for at in range(batch.num_rows):
-                chunk, part, sizes, raw = (batch.column(i)[at].as_py() for i in range(4))
+                chunk, part, check, sizes, raw = (batch.column(i)[at].as_py() for i in range(5))
                 asked = _unpack_words(sizes, raw)
                 new = [w for w in asked if w not in known]
                 for word, found in zip(new, library.encode_batch_fast(new, add_special_tokens=False)):
                     known[word] = np.array(found.ids, np.uint32)
                 ids = [known[w] for w in asked]
                 counts = _pressed(np.array([len(i) for i in ids], np.uint32))
-                row = [[chunk], [part], [counts], [_pressed(np.concatenate(ids))]]
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                arrays = [pa.array(v, k) for v, k in zip(row, kinds)]
-                yield pa.RecordBatch.from_arrays(arrays, ["chunk", "part", "counts", "ids"])
+                row = [[chunk], [part], [check], [counts], [_pressed(np.concatenate(ids))]]
+                arrays = [pa.array(v, k) for v, k in zip(row, _REQUEST_TYPES)]
+                yield pa.RecordBatch.from_arrays(arrays, ["chunk", "part", "check", "counts", "ids"])
 
-    asked = chunks.where(F.col("part").isNotNull()).select("chunk", "part", "sizes", "raw")
-    placed = asked.repartitionById(parts, "part")
-    return placed.mapInArrow(encode, "chunk long, part int, counts binary, ids binary")
+    placed = requests.repartitionById(parts, "part")
+    return placed.mapInArrow(encode, "chunk long, part int, check long, counts binary, ids binary")
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -212,10 +239,11 @@ def encoded(
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, on request, ``ids`` and ``decoded``.
 
-    Documents become chunks of word numbers, written once.  The distinct words of the chunks meet in the word table,
-    where each is encoded once; their ids return to the chunk, where they are joined to the documents by position, and
-    the ids to their pieces.  What moves is a third of the text: planes of word numbers, and each distinct word once per
-    chunk.  A task holds one chunk or its share of the distinct words.
+    The distinct words of the chunks meet in the word table, where each is encoded once; their ids return to the chunk,
+    where they are joined to the documents, which have become word numbers, by position, and the ids to their pieces.
+    What moves is about half of the text's size: planes of word numbers, and each distinct word once per chunk.  A task
+    holds one chunk or its share of the distinct words.  Both passes over the input must see the same partitions; if
+    they do not, the chunks' checks differ and the job ends with an error.
 
     Defined cases: null and empty texts have no ids; the text of a special token is encoded as that token, as the library
     does.  Texts with characters that the Java runtime does not know yet are split by the library itself.  Null and
@@ -223,8 +251,8 @@ def encoded(
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = written(chunked(id_and_text(docs, id_col, text_col), parts, tokenizer, chunk_words), "bpe-chunks")
-    answers = encoded_words(chunks, parts, tokenizer)
+    rows = id_and_text(docs, id_col, text_col)
+    answers = encoded_words(word_requests(rows, parts, tokenizer, chunk_words), parts, tokenizer)
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
 
@@ -233,6 +261,8 @@ def encoded(
             _PIECES[tokenizer] = pieces(tokenizer)
         piece = _PIECES[tokenizer]
         bodies, ends = np.frombuffer(piece.buffers()[2], np.uint8), np.frombuffer(piece.buffers()[1], np.int64)
+        if asked.num_rows != 1 or set(found.column("check").to_pylist()) - {asked.column("check")[0].as_py()}:
+            raise RuntimeError("the input changed between two passes over it")
         row = asked.slice(0, 1).to_pylist()[0]
         found = found.sort_by("part")
         counts = [_unpressed(b.as_py(), np.uint32) for b in found.column("counts")]
@@ -252,6 +282,6 @@ def encoded(
         columns = list(zip(*out)) or [[]] * len(names)
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    documents = chunks.where(F.col("part").isNull()).select("chunk", "doc_ids", "n_words", "planes")
+    documents = numbered_documents(rows, parts, tokenizer, chunk_words)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded string"
     return documents.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(join, schema)

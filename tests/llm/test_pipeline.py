@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline as pipeline
+import numpy as np
 import pytest
 from test_native import key, lines_by_hand
 from test_similarity import fingerprint_by_hand, near_by_hand, roots_by_hand
@@ -61,8 +62,6 @@ def test_whole_run(spark):
     ids = ids_by_library("word_bpe_49k.json", left.values())
     rows = pipeline.STAGES[-1][1](spark, docs, SMALL).selectExpr("*", "CAST(NULL AS binary) AS ids").collect()
     ids_of = {i: ([*x, 1], 1) for i, x in zip(left, ids)}
-    import numpy as np
-
     ids_of = {i: (np.array(x, np.uint32), n) for i, (x, n) in ids_of.items()}
     check_pieces(rows, ids_of, 2048)
     mine = pipeline.run(spark, SMALL)

@@ -22,6 +22,7 @@ def ids_by_library(name, texts):
 @pytest.mark.parametrize("name, keep", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_encoder(name, keep, messy_rows, corpus):
     texts = [t or "" for _, t in messy_rows] + [" ", "\n\n\n x", "a\t b \n c", "  \n \n  y", "end \n "]
+    texts += ["ΑΣ.Α ΑΣ, x", "...", "a,.b ,c .d", "e\u0301, é. क़, İ.x", "3.14,15", "\n,", ",", ". ,", "it's, I'd."]
     texts += [t for _, t in corpus[:40]]
     encoder = tokens.ChunkedEncoder(public_tokenizers.path(name), keep, max_chunks=50)
     for _ in range(2):
@@ -111,7 +112,7 @@ def test_longest_goes_to_the_lowest_cost():
     assert packing.assign(np.array([], int)) == []
 
 
-@pytest.mark.parametrize("chunk_words", [11, 3_000_000])
+@pytest.mark.parametrize("chunk_words", [11, 1_500_000])
 def test_distinct_word_table(messy, messy_rows, chunk_words):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     expected = []
@@ -131,8 +132,20 @@ def test_distinct_word_table_of_nothing(nothing):
     assert bpe.encoded(nothing).collect() == []
 
 
+def test_a_changed_input_is_noticed(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and more") for i in range(50)], "doc_id long, text string").coalesce(1)
+    answers = bpe.encoded_words(bpe.word_requests(docs, 4), 4).drop("check").selectExpr("*", "1L AS check")
+    original = bpe.encoded_words
+    bpe.encoded_words = lambda *_: answers.select("chunk", "part", "check", "counts", "ids")
+    try:
+        with pytest.raises(Exception, match="input changed"):
+            bpe.encoded(docs).collect()
+    finally:
+        bpe.encoded_words = original
+
+
 def test_each_word_is_asked_for_once_per_chunk(spark):
     docs = spark.createDataFrame([(i, "same words here, same words there") for i in range(500)], "doc_id long, text string")
-    chunks = bpe.chunked(docs.coalesce(1), 4)
-    asked = [w for r in chunks.where("part is not null").collect() for w in bpe._unpack_words(r["sizes"], r["raw"])]
+    requests = bpe.word_requests(docs.coalesce(1), 4).collect()
+    asked = [w for r in requests for w in bpe._unpack_words(r["sizes"], r["raw"])]
     assert sorted(asked) == sorted({"same", " words", " here", ",", " same", " there"})
