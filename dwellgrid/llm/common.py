@@ -81,6 +81,16 @@ def ship_package(spark: SparkSession) -> None:
     context._dwellgrid_shipped = True
 
 
+def own_shuffle(number: Column) -> Column:
+    """The same whole number, through an expression to which Spark does not carry a partitioning.
+
+    A join whose one side is already an aggregate by the join's key runs in the aggregate's stage, where adaptive
+    execution cannot split a hot key.  With its key in this form that side is shuffled again, a row per key, and both
+    sides of the join can be split.
+    """
+    return F.bitwise_not(F.bitwise_not(number))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: later steps neither recompute it nor depend
     on the executors that made it."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dwellgrid.llm.common import BLANKS, id_and_text, lower_ascii, written
+from dwellgrid.llm.common import BLANKS, id_and_text, lower_ascii, own_shuffle, written
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -57,7 +57,7 @@ def frequent_lines(occurrences: DataFrame, min_documents: int = MIN_DOCUMENTS) -
         .groupBy("hash_a", "hash_b")
         .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last_id"))
         .where(F.col("n") >= min_documents)
-        .select("hash_a", "hash_b", "last_id")
+        .select(own_shuffle(F.col("hash_a")).alias("hash_a"), "hash_b", "last_id")
     )
 
 
