@@ -45,7 +45,10 @@ def exact_groups(
         F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_texts")
     )
     one_text = F.when(F.col("n_texts") > 1, F.raise_error(F.lit("two texts share one SHA-256"))).otherwise(F.col("n"))
-    groups = groups.select("hash", "sha", "keep_id", one_text.cast("long").alias("group_size"))
+    # The hash in a form to which the aggregate's partitioning does not carry: so the join has a shuffle of its own on
+    # either side, which adaptive execution can split where one text has very many copies.
+    own_hash = F.concat("hash", F.lit(b"")).alias("hash")
+    groups = groups.select(own_hash, "sha", "keep_id", one_text.cast("long").alias("group_size"))
     return keyed.select("doc_id", "hash", "sha").join(groups, ["hash", "sha"]).select(
         "doc_id",
         "keep_id",
