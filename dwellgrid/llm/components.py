@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellgrid.llm.common import checkpointed
+from dwellgrid.llm.common import checkpointed, own_shuffle
 
 MAX_ROUNDS = 60
 
@@ -24,13 +24,15 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node around it."""
     both = _both_ways(links)
     least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
+    least = least.select(own_shuffle(F.col("a")).alias("a"), "m")
     return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them; ``links`` point from larger to smaller."""
     least = links.groupBy("a").agg(F.min("b").alias("m"))
-    others = links.join(least, "a").where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    by_node = least.select(own_shuffle(F.col("a")).alias("a"), "m")
+    others = links.join(by_node, "a").where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return others.unionByName(least.select("a", F.col("m").alias("b")))
 
 

@@ -9,10 +9,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwellgrid.llm.common import LOWER, UPPER, checkpointed, id_and_text, ship_package
+from dwellgrid.llm.common import LOWER, UPPER, checkpointed, id_and_text, own_shuffle, ship_package
 from dwellgrid.llm.components import components
 
 SHINGLE_WORDS, MAX_BITS = 3, 2
@@ -75,10 +75,12 @@ def _divided(mask: int, max_bits: int) -> list[int]:
     return [mask | sum(1 << b for block in blocks for b in block) for blocks in chosen]
 
 
-def _division_table(spark: SparkSession, parents: list[int], max_bits: int) -> tuple[DataFrame, list[int]]:
-    pairs = [(p, c) for p in parents for c in _divided(p, max_bits)]
-    rows = [F.struct(F.lit(_signed(p)).alias("mask"), F.lit(_signed(c)).alias("child")) for p, c in pairs]
-    return spark.range(1).select(F.inline(F.array(*rows))), sorted({c for _, c in pairs})
+def _children(parents: list[int], max_bits: int) -> Column:
+    """The masks that divide the groups under ``mask``, one of ``parents``."""
+    by_parent = {p: F.array(*[F.lit(_signed(c)) for c in _divided(p, max_bits)]) for p in parents}
+    if len(by_parent) == 1:
+        return by_parent[parents[0]]
+    return F.create_map(*[x for p, c in by_parent.items() for x in (F.lit(_signed(p)), c)])[F.col("mask")]
 
 
 def _candidate_groups(distinct: DataFrame, max_bits: int, group: int) -> DataFrame:
@@ -88,14 +90,14 @@ def _candidate_groups(distinct: DataFrame, max_bits: int, group: int) -> DataFra
     fingerprint, so equal differences over a block of bits mean equal bits there.  Groups are fingerprints with equal
     bits under a mask; ``_divided`` says why no link is lost.  Only groups above ``group`` members are divided again.
     """
-    spark = distinct.sparkSession
     held, found, parents = distinct.withColumn("mask", F.lit(0).cast("long")), [], [0]
     for division in range(1, DIVISIONS + 1):
-        table, parents = _division_table(spark, parents, max_bits)
-        members = held.join(F.broadcast(table), "mask").select(F.col("child").alias("mask"), "fp")
+        members = held.select(F.explode(_children(parents, max_bits)).alias("mask"), "fp")
+        parents = sorted({c for p in parents for c in _divided(p, max_bits)})
         members = members.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         members = members.distinct() if division > 1 else members
         sizes = members.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sizes = sizes.select(own_shuffle(F.col("mask")).alias("mask"), "value", "n")
         sized = checkpointed(members.join(sizes, ["mask", "value"]))
         last = division == DIVISIONS
         found.append((sized if last else sized.where(F.col("n") <= group)).select("mask", "value", "fp"))
