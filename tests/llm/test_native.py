@@ -141,9 +141,8 @@ def test_shards(messy, messy_rows, shards):
     check_shards(found, messy_rows, shards)
 
 
-def test_shards_are_near_equal(spark, corpus):
+def test_shards_are_near_equal(spark):
     found = queries.op5_sharding(spark, SMALL).collect()
-    check_shards([(*tuple(r)[:3], r["shard"], r["slot"], 0) for r in found][:0], [], 8)
     bytes_of = Counter()
     for r in found:
         bytes_of[r["shard"]] += r["size"]
@@ -199,7 +198,8 @@ def grams_by_hand(host, path):
 
 
 def test_addresses(spark):
-    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(URLS)], "page_id long, url string, rule string, host string")
+    columns = "page_id long, url string, rule string, host string"
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(URLS)], columns)
     found = {r["page_id"]: r for r in url_filter.judged(pages).collect()}
     for i, url in enumerate(URLS):
         host, path = parts_by_hand(url)

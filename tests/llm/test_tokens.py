@@ -145,7 +145,8 @@ def test_a_changed_input_is_noticed(spark):
 
 
 def test_each_word_is_asked_for_once_per_chunk(spark):
-    docs = spark.createDataFrame([(i, "same words here, same words there") for i in range(500)], "doc_id long, text string")
+    rows = [(i, "same words here, same words there") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     requests = bpe.word_requests(docs.coalesce(1), 4).collect()
     asked = [w for r in requests for w in bpe._unpack_words(r["sizes"], r["raw"])]
     assert sorted(asked) == sorted({"same", " words", " here", ",", " same", " there"})
