@@ -13,31 +13,135 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 N_GRAMS = (3, 4)
 FEATURES = 1 << 14
 
-# Labelled addresses for training: unwanted ones first (1), ordinary ones after (0).
-UNWANTED = """
-https://casino-win.example.com/en/1.html http://www.casino-royal.example.org/play http://m.free-casino.example.com/de/7
-https://best-casino-bonus.example.org/fr/ https://online-slots.example.com/en/9 http://poker-bets.example.org/es/3
-https://free-bets.example.com/en/55 http://www.free-bets.example.org/fr/12/ https://m.sports-bets.example.com/odds
-http://win-big-money.example.org/now http://lottery-win.example.com/en/2 https://cheap-pills.example.com/en/4
-http://www.cheap-pills.example.org/de/81.html https://buy-pills-online.example.com/es/5 http://diet-pills.example.org/
-https://cheap-meds.example.com/fr/6 http://m.pharmacy-cheap.example.org/en/ https://spam-farm.example.com/en/33
-http://www.spam-farm.example.org/es/17/ https://link-farm.example.com/de/2 http://blog.spam-links.example.org/en/88
-https://seo-farm.example.org/fr/41.html http://free-download-crack.example.com/en/3 https://warez-free.example.org/de/
-http://xxx-videos.example.com/en/1 https://adult-cams.example.org/fr/2 http://payday-loans-fast.example.com/es/8
-https://cheap-loans.example.org/en/ http://earn-money-fast.example.com/de/4 https://replica-watches.example.org/en/6
-""".split()
-ORDINARY = """
-https://www.garden.example.com/en/12.html http://blog.history.example.org/de/7 https://m.weather.example.com/fr/3/
-http://library.example.org/es/44 https://news.example.com/en/9?page=2 http://www.university.example.org/fr/15
-https://blog.recipes.example.com/en/21/ http://museum.example.org/en/5.html https://www.thering.example.com/de/8
-http://m.tionst.example.org/es/61 https://www.therand.example.com/en/74 http://blog.ththon.example.org/en/39/
-https://tionly.example.com/fr/28 http://www.thered.example.org/de/90.html https://m.thation.example.com/es/11
-http://theres.example.org/en/66 https://blog.hering.example.com/en/2 http://www.onthe.example.org/fr/53/
-https://city-council.example.com/de/31 http://book-club.example.org/en/17 https://open-data.example.com/es/80.html
-http://m.school-board.example.org/en/4 https://train-times.example.com/fr/25 http://www.bird-watch.example.org/en/48
-https://bike-repair.example.com/de/19/ http://art-school.example.org/es/36 https://www.science.example.com/en/7
-http://blog.travel.example.org/fr/58.html https://m.health.example.com/en/13 http://music.example.org/de/22
-""".split()
+# Labelled hosts for training, by family and from general knowledge; no host of the sample tables is among them.
+UNWANTED_HOSTS = {
+    "gambling": """
+        casino-royal free-casino best-casino-bonus casinos-online casino-club online-slots slot-machines poker-bets
+        sports-bets bets-today live-betting bet-now jackpot-win win-big lottery-win roulette-wheel bookmaker-odds poker poker-stars
+        online-poker casino casino24 slots slots-club vegas-bets royal-bets bet365-odds betting betting-odds jackpots
+        jackpot-casino blackjack-live bingo-cash""",
+    "pharmacy": """
+        buy-pills diet-pills pills-online pill-shop cheap-meds cheap-viagra pharmacy-cheap generic-cialis
+        no-prescription-meds weight-loss-pills steroids-online buy-xanax viagra viagra-now
+        online-viagra meds meds-online canada-meds rx-meds pharmacy-rx online-pharmacy pills pills-shop super-pills
+        xanax-pills hair-loss-pills cialis-now""",
+    "link spam": """
+        link-farm seo-farm spam-links spam-mail article-spam backlinks-cheap buy-backlinks farm-links seo-links
+        bulk-traffic free-traffic spam-blog spam spammers mail-spam
+        link-exchange-farm links-seo link-building-cheap seo-backlinks content-farm click-farm""",
+    "adult": """
+        xxx-videos adult-cams adult-movies adult-dating adult-chat porn-tube free-porn sex-cams sex-chat hot-escorts
+        x-rated nude-pics erotic-stories hentai-x milf-videos adult adult-tube adult-pics adults-only-x xxx xxx-tube
+        hot-xxx porn porno porn-movies best-porn sex sex-videos live-sex sexy-girls sexy-chat hot-girls nude-cams x-cams""",
+    "advertising": """
+        ad-server ads-server adserve ads-network ad-click ads-banner banner-ads popup-ads adsystem ads-media web-ads
+        ad-exchange clicks-affiliate adservice ads ads-online ads24 adsense-clicks adtech-media doubleads
+        banners-exchange popunder-ads""",
+    "tracking": """
+        tracker user-tracker track-user click-track tracking-pixel web-tracking pixel-track trackers-net beacon-stats
+        metrics-track visitor-tracking telemetry-pixel track track-clicks track-pixel tracker-js
+        tracking tracking-stats ip-tracker""",
+    "money": """
+        payday-loans cheap-loans fast-loans loans-now earn-money-fast easy-cash quick-cash get-rich-quick
+        debt-relief-now crypto-doubler loans-fast cheap-payday payday-advance instant-cash instant-payday money-fast
+        cash-now quick-loans loan-shark-cash""",
+    "piracy": """
+        free-download-crack warez-free crack-serial keygen-download torrent-movies pirated-games free-movies-stream
+        nulled-scripts warez crack-keygen torrents torrent-tube cracked-games serials-crack
+        torrent-download""",
+    "counterfeit": """
+        replica-watches fake-watches replica-handbags cheap-replica fake-designer fake-diplomas outlet-cheap
+        knockoff-shoes replica-bags rolex-replica rolex-fake fakes-shop replicas""",
+}
+ORDINARY_HOSTS = """
+    garden history weather library news university recipes museum science travel health music city-council book-club
+    open-data school-board train-times bird-watch bike-repair art-school education nation national-park tradition
+    fiction-books nutrition station-cafe collection action-network information translations theatre thesis theory
+    therapist mother-care father-time brother-hood another-day gathering other-voices leather-works northern-lights
+    southern-cooking earth-watch health-service maths-help strength-training thoughts fourth-estate sunshine-coast
+    ocean-shore shipping-news fresh-bread british-history english-grammar spanish-lessons publishing-house wishing-well
+    table-tennis cable-car vegetables stable-yard double-bass reliable-tools hand-made island-ferry wonderland
+    understanding house-plans houses-museum restaurant-guide rest-home forest-walks west-end chess-league press-office
+    business-school glass-blowing winter-sports river-trust engineering finance-ministry insurance-advice letters
+    travelling hearing-aids sharing-economy river-crossing morning-paper evening-post ring-road springs
+    reading-room road-map broadcast headlines threads-and-yarn roads-agency adventure advice-centre administration
+    academy-of-music railway-track athletics-track track-and-field soundtrack adulthood-studies adult-education
+    better-homes alphabet-songs tibet-travel pillow-shop caterpillar-park essex-council sussex-news middlesex
+    farm-shop dairy-farm farmers-market wind-farm market-town cashmere-wool freedom-press freelance-writers
+    free-university download-centre windows-help winery-tours window-cleaning twin-towns linked-data hyperlinks-history
+    cheaper-energy money-museum credit-union student-loans cash-flow-lessons media-studies server-room click-chemistry
+    pixel-art photo-club video-archive movie-reviews film-festival stream-ecology watch-makers lottery-fund
+    pharmacy-school prescription-charges dating-of-rocks hotel-guide stories-for-children exercise-classes
+    x-ray-physics linux-help index-of-names taxes-explained hand-bags-repair shoes-museum bonus-track-reviews
+    architecture ballet-company ceramics dentistry electricity-board fishing-boats gymnastics horticulture
+    ice-skating jazz-records kitchen-recipes landscape-painting meteorology natural-gas observatory pottery
+    quilting-patterns rowing-club sailing-school town-planning umbrella-repair violin-makers walking-holidays
+    xylophone-lessons youth-hostel zoology community-centre county-records primary-school veterinary-surgeon
+    citizens-advice crafts-fair corner-shop cheese-makers spoon-carving literacy-project counting-house
+    transport-museum package-design racket-sports contact-lenses practice-nurse bedroom-furniture freezer-repair
+    betrothal-customs alphabetical-lists spanner-sets spaniel-club pilgrim-routes pillars-of-rome cashier-training
+    medieval-fairs medals-of-honour masters-degrees cambridge-lectures shadows-in-art heads-and-tails roads-to-rome
+    accountancy acoustics agriculture airport algebra almanac ambulance anthropology antiques apple-orchard aquarium
+    archaeology archery athletics atlas autumn-leaves backpacking badminton balcony-plants banking-history barley
+    baroque basketry bathroom-tiles battlefield bees bell-ringers berries bicycle biography biscuits blacksmith
+    blankets blossom boating bookbinding border-collies botanic-garden boulders bowling brass-band brewing bricklaying
+    broadband budget-report building-society bus-timetable butterflies cabinet-makers calendar calligraphy camping
+    candles canoe carpentry cartoons castle-keep casual-wear category-theory cattle caves cello census cereals charity
+    chemistry chestnut children chimney cinema-history circus-skills civic-trust classics climate clocks clothing
+    coastal-path coffee coins comedy committee computing concert conservation consumer-rights copper cottage cricket
+    crochet cucumbers culture customs cyclists dancing daffodils deer delivery-service design diary dictionary dinosaurs
+    disability-rights district-nurse diving dolphins drawing driving-lessons drums ducks early-years ecology economics
+    editors elections elephants embassy employment encyclopaedia environment equality essays estate evaluation
+    exhibition experience exploration fabric falconry families fashion ferns fiddle figures firewood fishmonger flags
+    flour flute folklore football forestry fountain foxes frogs fruit fungi galaxies gallery genealogy geology germany
+    gloves goats gold-leaf government graphics grassland greenhouse guitar habitat hamlet handball harp harvest heritage
+    hiking hockey holidays honey horses housing humanities icebergs illustration immigration industry insects interiors
+    investment irrigation jigsaws journalism judges jungle justice kites laboratory lakes lambs language lanterns
+    laundry lavender learning legends lessons lichens lifeboat linguistics literature livestock lobsters logistics
+    maritime marshland masonry mathematics meadows mechanics memorial methods microscopes military minerals ministry
+    monastery monuments mosaics mosses motorway mushrooms mythology navigation neighbours netball newspapers nursing
+    oceans offices olives onions optics orchards otters owls oxygen palace parades pastry patents pathology peacocks
+    pedagogy pension petition physics piano pilots plumbing politics ponies population porcelain portraits potatoes
+    powder-snow preservation printing prisons probability pronunciation property psychology publishers pumpkin puzzles
+    radio rainfall ramblers reference refugees regatta religion renaissance reptiles research reservoir residents
+    resorts retirement rhetoric rhythm roses rhubarb safari sandstone satellite scouts sculpture sea-shells seasons
+    secretary seeds seminar sessions sewing shepherds shrubs singers sketches skiing society sociology soil solar
+    soldiers songbirds spectrum spelling spiders sponsors squirrels stables stamps statistics steam-trains sculptors
+    stitching strawberries students suburbs surveyors sustainable swans symphony tailors teachers technology telescope
+    temple textiles tides timber tomatoes toys tractors trade-unions trains treasure triangles tulips tunnels turbines
+    typography unions vaccines valley vegetarian vehicles vineyard volcano volunteers voters wardrobe waterfalls weaving
+    weddings whales wildlife wolves woodland workshops writers yachts
+    adult-learners adults-in-care adulthood sextant sextons sexton-books essex-farms poppies popular-science popcorn
+    corner-stones cornwall portal-tombs portugal sports-day bonsai tracks racetracks trackways tracing-family
+    linked-rings linking-roads blinkers farmland farm-animals seoul spandrels spanish spaghetti spare-parts replication
+    replies cashmere cashews casement castles casket-makers cast-iron slotted-screws slots-in-wood better-bread alphabets
+    sorbet abbeys jacks pokers-and-tongs polka poker-work medal medicine remedies pillars pillows caterpillars
+    pillion loaned-paintings money-box honey-money free-range freedom freeze freehold stream-life downloads
+    crackle-glaze cracked-bells nutcrackers keystone serials serial-killers-of-aphids wares warehouses softwares
+    torrential-rain fakirs faked-antiques-guide outlets handbook watches watch-repair meadows-and-roads shadows-theatre
+    leads heads loads-and-beams road-works salads ballads nomads adventurers adders address admiral advent banners
+    clicking-beetles pixels beacons-walks metrics statues museum-visitor videos camera cameo camshaft chatterbox
+    windfall winding-roads winners windmill-trust luck-folklore wheelwright
+    theology the-times thirteen-colonies the-hague thistle-society tion-ridge thames-barrier think-tank third-age
+"""
+_SHAPES = (
+    "https://{}.example.com/en/12.html", "http://www.{}.example.org/fr/7", "https://m.{}.example.net/de/3/",
+    "http://blog.{}.com/es/44", "https://{}.org/en/9?page=2", "http://www.{}.net/",
+    "https://{}.example.org/de/61.html", "http://{}.example.com/fr/25/", "https://www.{}.info/en/5#top",
+    "http://m.{}.example.com/es/80", "https://blog.{}.example.net/en/17",
+)
+
+
+def addresses(hosts: list[str], each: int, shapes=_SHAPES) -> list[str]:
+    """``each`` addresses per host.  Both classes take all shapes in turn, so scheme, domain and path tell little."""
+    n = len(shapes)
+    return [shapes[(i + k * n // each) % n].format(host) for i, host in enumerate(hosts) for k in range(each)]
+
+
+# Labelled addresses for training: unwanted ones (1) and ordinary ones (0).  Each unwanted host stands there as often as
+# brings the classes to about the same size.
+UNWANTED = addresses(" ".join(UNWANTED_HOSTS.values()).split(), 3)
+ORDINARY = addresses(ORDINARY_HOSTS.split(), 1)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:

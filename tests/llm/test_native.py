@@ -246,3 +246,91 @@ def test_unwanted_hosts_are_blocked(spark):
         if r["rule"] is None:
             bad = bool(re.search("casino|pills|spam|free-bets", r["host"]))
             assert not bad or r["verdict"] == "block"
+
+
+# Hosts that the training table does not hold.  The table was enlarged and balanced after they had been scored.
+UNSEEN = {
+    "gambling": "mega-casino casino-palace poker-room vegas-slots bet-master jackpot-city betting-tips spin-casino",
+    "pharmacy": "pills-direct meds-express viagra-store discount-pharmacy pills-4u buy-meds slim-pills",
+    "link spam": "spam-king linkfarm seo-spam cheap-backlinks link-spam mass-links",
+    "adult": "adult-zone adult-videos xxx-zone sexy-cams porn-hub hot-sex adult-y pornstars",
+    "advertising": "ads-central ad-serving adserver my-ads adsrv banner-farm ads-24 click-ads",
+    "tracking": "track-me trackers ad-tracker pixel-tracker tracking-server usertrack web-track",
+    "money": "instant-loans payday-cash fast-money loans-online cash-advance",
+    "piracy": "crack-download free-warez torrent-king movies-torrent serial-keygen",
+    "counterfeit": "replica-rolex fake-rolex watches-replica fake-handbags",
+}
+OTHER_FAMILIES = "phishing-kit stolen-cards hack-accounts fake-passport miracle-cure gore-clips botnet-rental"
+UNSEEN_ORDINARY = """
+    botany cathedral folk-dance bakery swimming-pool orchestra parish-church cycling-routes astronomy poetry-corner
+    kindergarten fire-brigade mountain-huts knitting allotments philosophy law-review harbour village-hall opera
+    geography castle-ruins beekeeping chamber-music canal-boats butterfly-survey local-archives tree-nursery
+    oak-furniture painting-course grammar-school hospital-radio choir parliament water-board choral-society
+    adder-snakes roadside-flowers leadership salads-and-soups trackside-photos racetrack-history tractor-museum
+    betony-farm sorbet-recipes diabetes-care pillar-box-society spamalot-theatre adult-literacy sextant-makers
+    wessex-archaeology windmills winchester cashew-growers linkoping-city seoul-guide casimir-effect slotted-spoons
+    tracking-wildlife freehold-law downloadable-maps cheapside-history moneypenny-novels crackers-and-cheese
+""".split()
+# A second set, scored before the last enlargement and balancing.  The README's figures are those of both sets.
+FRESH = {
+    "gambling": "grand-casino poker-club slots-world bets-online jackpot-party betting-zone casino-bonus lucky-roulette",
+    "pharmacy": "pills-market meds-4-less viagra-online pharmacy-deals sleeping-pills generic-meds",
+    "link spam": "spam-hub links-farm seo-links-shop backlinks-market spam-network",
+    "adult": "adult-club xxx-club porn-videos sex-tube adult-world hot-cams erotic-chat",
+    "advertising": "ads-delivery ad-network adserving ads-pool banner-clicks popads",
+    "tracking": "click-tracker track-stats user-tracking pixel-stats trackit beacon-track",
+    "money": "payday-now fast-cash easy-loans get-money-fast",
+    "piracy": "warez-download crack-games torrent-site keygen-free",
+    "counterfeit": "replica-store fake-bags cheap-replicas rolex-copy",
+}
+FRESH_ORDINARY = """
+    bridge-builders candle-making drystone-walls embroidery fossils glaciers hedgehog-rescue ink-drawing juggling
+    kayak-tours lighthouse-trust marine-biology needlework origami puppet-theatre quarry-museum rugby-club
+    saxophone-teachers tapestry upholstery village-green watercolour yoga-studio zebra-crossings adders-of-britain
+    castanets casing-repair sextet pokerwork-crafts slot-cars cashmere-goats loan-collection spa-towns medieval-seals
+    pillion-riders trackless-forests tracks-in-snow badger-watch road-safety betony alphabet-books farmhouse-cheese
+    moneylenders-in-history fakenham-news replicas-of-dinosaurs streaming-rivers cracked-pots-repair adult-choir
+    linked-lists serial-novels
+""".split()
+SAMPLE_UNWANTED = "casino-win free-bets cheap-pills spam-farm ads-track adult-x".split()
+
+
+def blocked_hosts(spark, hosts):
+    """Shares of addresses without a rule that the model blocks, per host over domains and paths."""
+    shapes = ("https://{}.example.com/en/31", "http://www.{}.example.org/de/8.html", "https://m.{}.org/es/2/")
+    pages = [(i, shape.format(h)) for i, h in enumerate(hosts) for shape in shapes]
+    found = url_filter.judged(spark.createDataFrame(pages, "page_id long, url string")).collect()
+    assert all(r["rule"] is None for r in found)
+    blocked = Counter(r["page_id"] for r in found if r["verdict"] == "block")
+    return np.array([blocked[i] / len(shapes) for i in range(len(hosts))])
+
+
+def test_training_hosts_are_not_those_of_the_tests_or_the_sample():
+    trained = set(" ".join(url_filter.UNWANTED_HOSTS.values()).split()) | set(url_filter.ORDINARY_HOSTS.split())
+    urls = pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["url"]).column(0).to_pylist()
+    sample = {re.sub("^(www|m|blog)[.]", "", parts_by_hand(u)[0]).split(".example.")[0] for u in urls}
+    tested = set(" ".join([*UNSEEN.values(), *FRESH.values(), OTHER_FAMILIES]).split())
+    tested |= {*UNSEEN_ORDINARY, *FRESH_ORDINARY}
+    assert set(SAMPLE_UNWANTED) <= sample and not trained & (sample | tested)
+
+
+def test_unwanted_families_are_blocked(spark):
+    """All families, by hosts that the training table lacks; ordinary hosts, half of them look-alikes, mostly pass."""
+    known = [h for sets in (UNSEEN, FRESH) for hosts in sets.values() for h in hosts.split()]
+    ordinary = UNSEEN_ORDINARY + FRESH_ORDINARY
+    asked = [*SAMPLE_UNWANTED, *known, *OTHER_FAMILIES.split(), *ordinary]
+    share = dict(zip(asked, blocked_hosts(spark, asked)))
+    assert all(share[h] == 1 for h in SAMPLE_UNWANTED)
+    assert np.mean([share[h] for h in known]) >= 0.8
+    for family in UNSEEN:
+        assert np.mean([share[h] for h in (UNSEEN[family] + " " + FRESH[family]).split()]) >= 0.5, family
+    assert np.mean([share[h] for h in ordinary]) <= 0.15
+    # Families that the table does not know are not found: a limit that the README states.
+    assert np.mean([share[h] for h in OTHER_FAMILIES.split()]) <= 0.5
+
+
+def test_advertising_and_adult_hosts_of_the_sample(spark):
+    found = queries.op10_url_filter(spark, MEDIUM).where("rule IS NULL").collect()
+    unwanted = [r for r in found if re.search("|".join(SAMPLE_UNWANTED), r["host"])]
+    assert any("ads-track" in r["host"] for r in unwanted) and {r["verdict"] for r in unwanted} == {"block"}
+    assert {r["verdict"] for r in found if r not in unwanted} == {"allow"}
