@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dwellgrid.llm import line_dedup, packing, simhash, toxicity
-from dwellgrid.llm.common import DOCUMENT_COLUMNS, documents, id_and_text, table, written
+from dwellgrid.llm.common import DOCUMENT_COLUMNS, checkpointed, documents, id_and_text, ship_package, table, written
+from dwellgrid.llm.components import components
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +27,26 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, unchanged.
+    """One document of each near-duplicate group, unchanged: the one with the smallest id.
 
-    Rows without an id stay, as no group is named after them.
+    A row is known by its id and its text, so an id repeated with other texts loses only the rows that are copies.  Within
+    a group equal ids are decided by the hash of the text, and rows without an id come after all others.  Of rows without
+    an id that are alike one stays; rows repeated with one id and one text are one document and stay as they are.
     """
-    groups = simhash.near_groups(docs)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.select(DOCUMENT_COLUMNS).join(gone, "doc_id", "left_anti")
+    ship_package(spark)
+    rows = docs.select(DOCUMENT_COLUMNS).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    fp = simhash.fingerprint_of(F.coalesce("text", F.lit("")))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    marked = checkpointed(rows.select("doc_id", "text_hash", fp.alias("fp")))
+    nodes = checkpointed(marked.groupBy("fp").agg(F.min(place).alias("first")))
+    roots = components(simhash.links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    grouped = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
+    staying = checkpointed(grouped.select(F.col("first.doc_id").alias("s_id"), F.col("first.text_hash").alias("s_hash")))
+    same_text = F.col("text_hash") == F.col("s_hash")
+    named = rows.join(staying, (F.col("doc_id") == F.col("s_id")) & same_text, "left_semi")
+    nameless = rows.where("doc_id IS NULL").join(staying.where("s_id IS NULL"), same_text, "left_semi")
+    one = nameless.groupBy("text_hash").agg(F.min(F.struct(*DOCUMENT_COLUMNS)).alias("row")).select("row.*")
+    return named.select(DOCUMENT_COLUMNS).unionByName(one)
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

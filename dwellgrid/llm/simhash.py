@@ -58,6 +58,16 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS) -> Dat
     return rows.mapInArrow(hashed, "doc_id long, fp long")
 
 
+def fingerprint_of(text: Column) -> Column:
+    """The fingerprint of each text (not null) as a column; ``ship_package`` must have run."""
+
+    @F.arrow_udf("long")
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array(np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64))
+
+    return found(text)
+
+
 def _blocks(free: list[int], max_bits: int) -> list[list[int]]:
     n = 2 * max_bits
     return [free[i * len(free) // n : (i + 1) * len(free) // n] for i in range(n)]

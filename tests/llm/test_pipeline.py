@@ -53,6 +53,17 @@ def test_near_copies_go(spark, messy, messy_rows):
     assert found == sorted(expected, key=key)
 
 
+def test_near_copies_of_repeated_and_missing_ids(spark):
+    """An id with two texts loses only its copy; of alike rows one stays, also without ids or with equal ids."""
+    copy, clean = "one two three four five six seven eight nine ten", "a quite different text about other matters"
+    rows = [(1, copy), (2, copy.upper()), (2, clean), (None, copy), (None, "no id here"), (None, "no id here")]
+    rows += [(None, "NO  id here"), (5, "same id, copied text"), (5, "Same id, copied  text")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], ", ".join(f"{n} {k}" for n, k in TYPES))
+    found = [(r["doc_id"], r["text"]) for r in pipeline.without_near_copies(spark, docs.repartition(3), SMALL).collect()]
+    assert sorted(i for i, _ in found if i) == [1, 2, 5] and (1, copy) in found and (2, clean) in found
+    assert [t.lower().split() for i, t in found if i is None] == [["no", "id", "here"]]
+
+
 def test_whole_run(spark):
     """The pieces are those of the documents that the stages leave, with whole texts."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
