@@ -50,8 +50,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequence and place; ids are left to the operator's ``with_ids``."""
-    return packing.packed(docs).drop("cost", "ids")
+    """The pieces of all documents with their sequence, place and token ids (unsigned 32-bit little-endian)."""
+    return packing.packed(docs, with_ids=True).drop("cost")
 
 
 STAGES = [

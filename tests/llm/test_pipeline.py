@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import corpus_pipeline as pipeline
 import numpy as np
 import pytest
@@ -81,6 +83,15 @@ def test_whole_run(spark):
     assert set(mine.columns) >= set(pieces)
 
 
+def test_sequences_hold_their_tokens(spark):
+    """The pipeline's rows alone give the training sequences."""
+    schema = ", ".join(f"{n} {k}" for n, k in TYPES)
+    docs = spark.createDataFrame([(1, "some words here", "en", "s", 15), (2, None, "en", "s", 0)], schema)
+    for r in pipeline.into_sequences(spark, docs, SMALL).collect():
+        assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+    assert "ids" in pipeline.run(spark, SMALL).columns
+
+
 @pytest.mark.parametrize("name, stage", pipeline.STAGES)
 def test_stages_of_nothing(spark, nothing, name, stage):
     assert stage(spark, nothing, SMALL).collect() == []
