@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: 64-bit fingerprints, linked by a table of distances to reference fingerprints."""
+"""SimHash near-duplicates: fingerprints grouped by blocks of equal bits, filtered by a pivot table, verified."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from dwellgrid.llm.components import components
 SHINGLE_WORDS, MAX_BITS = 3, 2
 SEED = 42
 BITS = 64
-# Groups of up to this many fingerprints are compared at once; larger ones are first divided by further references.
+# Groups of up to this many fingerprints are compared at once; larger ones are first divided by further bits.
 GROUP = 64
 DIVISIONS = 3  # after the last one a group differs in 8 bits at most, so it holds 256 fingerprints at most
 N_REFERENCES = 24
@@ -96,8 +96,7 @@ def _children(parents: list[int], max_bits: int) -> Column:
 def _candidate_groups(distinct: DataFrame, max_bits: int, group: int) -> DataFrame:
     """``mask, value, fp``: groups that hold both ends of every link, none larger than the last division allows.
 
-    A reference and the same reference with one bit changed give two distances whose difference shows that bit of a
-    fingerprint, so equal differences over a block of bits mean equal bits there.  Groups are fingerprints with equal
+    Candidates come from blocks of equal bits alone; the pivot table finds none.  Groups are fingerprints with equal
     bits under a mask; ``_divided`` says why no link is lost.  Only groups above ``group`` members are divided again.
     """
     held, found, parents = distinct.withColumn("mask", F.lit(0).cast("long")), [], [0]
@@ -120,8 +119,9 @@ def _candidate_groups(distinct: DataFrame, max_bits: int, group: int) -> DataFra
 def near_pairs(groups: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of pairs in one group (equal in ``groups``, sorted) that differ in at most ``max_bits`` bits.
 
-    ``table`` holds each fingerprint's distances to all references.  No distance of a near pair can differ by more than
-    ``max_bits``, so pairs are discarded by their largest coordinate difference and the survivors verified.
+    The groups are the candidates; ``table``, each fingerprint's distances to all references, only filters in them.  No
+    distance of a near pair can differ by more than ``max_bits``, so pairs are discarded by their largest coordinate
+    difference and the survivors verified.
     """
     table = np.bitwise_count(fps[:, None] ^ REFERENCES[None, :]).astype(np.int8)
     left, right = [], []
