@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import datetime as dt
 import os
 import sys
 
@@ -10,8 +9,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from dwellgrid.session import local_session  # noqa: E402
 from dwellgrid.usage import Usage  # noqa: E402
+from helpers import at  # noqa: E402
 
-DATA = "/root/testdata/sf0.001"
 SPACE_COLUMNS = (
     "uuid string, sensor_name string, room_name string, spaceType string, storey_floorId string, storey_name string"
 )
@@ -27,10 +26,6 @@ def spark():
     session.stop()
 
 
-def at(text: str) -> dt.datetime:
-    return dt.datetime.fromisoformat(text)
-
-
 class Site:
     """Builds small usage models from tuples."""
 
@@ -57,11 +52,3 @@ class Site:
 @pytest.fixture(scope="session")
 def site(spark):
     return Site(spark)
-
-
-def rows(df):
-    return [tuple(r) for r in df.collect()]
-
-
-def by_key(df, key=0):
-    return {r[key]: r for r in rows(df)}

@@ -7,7 +7,7 @@ import json
 import os
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.errors import AnalysisException, ParseException
 
 from dwellgrid import schema

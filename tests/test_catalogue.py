@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
-from conftest import DATA
+from helpers import DATA
 
 import __spark_entry__ as entry
 from dwellgrid.catalog import oracle, queries

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 import pytest
-from conftest import DATA
+from helpers import DATA
 
 from dwellgrid.catalog.queries import queries
 from dwellgrid.functions.clock import Window

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from dwellgrid.operators.dialogue import last_turns
 from dwellgrid.operators.profile import map_synonyms, synonym_table

@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import at, by_key, rows
+from helpers import at, by_key, rows
 from pyspark.sql import functions as F
 
 from dwellgrid.functions.clock import Window

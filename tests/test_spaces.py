@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import by_key, rows
+from helpers import by_key, rows
 from pyspark.sql import functions as F
 
 from dwellgrid.functions import codes
