@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from dwellgrid.llm import (
     bpe,
+    decontamination,
     exact_dedup,
     line_dedup,
     multiset_hash,
     packing,
+    resampling,
     sharding,
     simhash,
     token_files,
     toxicity,
     url_filter,
+    whitening,
 )
 from dwellgrid.llm.common import documents, table
 
@@ -74,6 +77,19 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(table(spark, folder, "pages"))
 
 
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.judged(documents(spark, folder), table(spark, folder, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whitening.component_rows(table(spark, folder, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))  # beyond 64 bits an error
+
+
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.drawn(documents(spark, folder), table(spark, folder, "benchmark")).drop("n_words", "text_hash")
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_exact_dedup,
@@ -86,5 +102,8 @@ def queries() -> dict[str, Query]:
         op8_bpe,
         op9_toxicity,
         op10_url_filter,
+        op11_decontamination,
+        op12_whitening,
+        op13_resampling,
     )
     return {query.__name__: query for query in found}
