@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -112,15 +113,15 @@ def test_longest_goes_to_the_lowest_cost():
     assert packing.assign(np.array([], int)) == []
 
 
-@pytest.mark.parametrize("chunk_words", [11, 1_500_000])
-def test_distinct_word_table(messy, messy_rows, chunk_words):
+@pytest.mark.parametrize("chunk_words,slice_words", [(11, 1 << 16), (1_500_000, 1), (1_500_000, 1 << 16)])
+def test_distinct_word_table(messy, messy_rows, chunk_words, slice_words):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     expected = []
     for (doc_id, _), ids in zip(messy_rows, ids_by_library("byte_bpe_50k.json", [t for _, t in messy_rows])):
         text = library.decode(ids.tolist(), skip_special_tokens=False)
         raw = ids.astype("<u4").tobytes()
         expected.append((doc_id, len(ids), *(hashlib.sha256(x).hexdigest() for x in (raw, text.encode())), raw, text))
-    found = [tuple(r) for r in bpe.encoded(messy, chunk_words=chunk_words, with_output=True).collect()]
+    found = [tuple(r) for r in bpe.encoded(messy, chunk_words=chunk_words, with_output=True, slice_words=slice_words).collect()]
 
     def key(row):
         return row[0] is not None, row[0] or 0
@@ -128,6 +129,36 @@ def test_distinct_word_table(messy, messy_rows, chunk_words):
     assert [(*r[:4], bytes(r[4]), r[5]) for r in sorted(found, key=key)] == sorted(expected, key=key)
 
 
+@pytest.mark.parametrize("size", [1, 5, 64])
+def test_words_are_those_of_the_library(messy_rows, corpus, size):
+    """Stretches of any size give the library's words; so do all code points that the database of Unicode 13 knows."""
+    split = bpe.library("byte_bpe_50k.json").pre_tokenizer.pre_tokenize_str
+
+    def by_library(text):
+        out = []
+        for i, section in enumerate(text.split("<|endoftext|>")):
+            out += ["<|endoftext|>"] if i else []
+            out += [section[a:b] for _, (a, b) in split(section)]
+        return out
+
+    for text in [t for _, t in messy_rows + corpus[:60] if t and len(t) < 20000] + [" ", "a  b", "  a b", "x \u3000 y z", "a \n b"]:
+        assert [w for part in bpe.words(text, False, size=size) for w in part] == by_library(text)
+    every = [chr(c) for c in range(0x30000) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    for at in range(0, len(every), 997):
+        text = "".join(f"a{c}b 1{c}2 {c}  {c}" for c in every[at : at + 997])
+        assert [w for part in bpe.words(text, False) for w in part] == by_library(text)
+
+
+def test_a_word_table_forgets_and_stays_right(monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 3)
+    monkeypatch.setattr(bpe, "ENCODE_STEP", 2)
+    table, library = bpe._WordTable("byte_bpe_50k.json"), bpe.library("byte_bpe_50k.json")
+    for asked in (["a", " hello", " antidisestablish"], [" hello", " x", " zzzzz"], ["a", " hello"], []):
+        counts, ids = table.ids(asked)
+        expected = [library.encode(w, add_special_tokens=False).ids for w in asked]
+        assert counts.tolist() == [len(e) for e in expected] and ids.tolist() == sum(expected, [])
+
+
 def test_distinct_word_table_of_nothing(nothing):
     assert bpe.encoded(nothing).collect() == []
 
