@@ -285,11 +285,9 @@ def _grounding_document() -> str:
 
 
 NEAREST = """
-WITH parts AS (
-  SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings
-), means AS (SELECT label, i, avg(v) AS v FROM parts GROUP BY ALL),
-asked AS (SELECT label AS query_id, list(v ORDER BY i) AS vec FROM means GROUP BY label),
-scored AS (
+WITH asked AS (
+  SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id % 50 = 0
+), scored AS (
   SELECT q.query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.vec) AS score
   FROM asked q CROSS JOIN embeddings e
 ), hits AS (
@@ -463,5 +461,6 @@ def oracle_sql() -> dict[str, str]:
     }
     return found | {
         "utilization_by_floor_rollup": found["utilization_by_floor"],
+        "stored_search": found["indexed_search"],
         "kpis_24h_rollup": found["kpis_24h"],
     }

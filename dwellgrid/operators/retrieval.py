@@ -100,12 +100,6 @@ def lexical_nearest(index: DataFrame, queries: DataFrame, k: int = RETRIEVAL_K,
     return ranked.where(F.col("place") <= k).select("query_id", "place", key, "score")
 
 
-def mean_vectors(vectors: DataFrame, group: str, vec: str, dims: int) -> DataFrame:
-    """``group, vec``: component means per group, by one partial aggregate of ``dims`` sums."""
-    means = [F.avg(F.get(vec, F.lit(i))).alias(f"v{i}") for i in range(dims)]
-    return vectors.groupBy(group).agg(*means).select(group, F.array(*[F.col(f"v{i}") for i in range(dims)]).alias("vec"))
-
-
 def _packed(rows: DataFrame, id_name: str, most: int) -> DataFrame:
     """``ids, vecs``: up to ``most`` rows (or about eight megabytes) of vectors per row; missing vectors are left out.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -47,8 +48,14 @@ def local_session(cores: int | str = "*", app: str = "dwellgrid-local") -> Spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, named by the cluster in ``spark.checkpoint.dir``; without it an error."""
+    """The folder all executors can reach, named by the cluster in ``spark.checkpoint.dir``.
+
+    Only a local session without the setting, as in a test, gets a folder of its own; elsewhere that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="dwellgrid-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
