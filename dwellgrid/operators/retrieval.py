@@ -63,35 +63,74 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _own_shuffle(term: Column) -> Column:
+    """The same text, in a form to which Spark does not carry an aggregate's partitioning: a join by it shuffles that
+    side anew, a row per word, and adaptive execution can then split a word that very many rows share."""
+    return F.concat(term, F.lit(""))
+
+
+def _tails(rows: DataFrame, key: str, weight: str) -> Column:
+    """Length of what is left of a row's vector from a word on, rarest words first, equally rare ones by name."""
+    onward = W.partitionBy(key).orderBy(F.desc("idf"), "term").rowsBetween(W.currentRow, W.unboundedFollowing)
+    return F.sqrt(F.sum(F.col(weight) * F.col(weight)).over(onward))
+
+
 def lexical_index(texts: DataFrame, key: str = "vec_id", text: str = "text") -> DataFrame:
-    """``key, term, weight, idf``: unit-length word vectors as rows, a stand-in where no embedding column exists.
+    """``key, term, weight, idf, tail``: unit-length word vectors as rows, a stand-in where no embedding column exists.
 
     A word weighs its count times the logarithm of how rare it is among the texts.  Words are kept as they are, none
-    folded into another, and words that all texts share weigh nothing and have no row.  ``key`` must be unique.
+    folded into another, and words that all texts share weigh nothing and have no row.  ``tail`` is the length of the
+    vector from this word on, rarest words first; the search leaves out what lies behind.  ``key`` must be unique.
     """
     uses = texts.select(key, F.explode(words(F.col(text))).alias("term")).groupBy(key, "term")
     uses = uses.agg(F.count("*").alias("uses"))
     total = texts.agg(F.count("*")).scalar()
     spread = uses.groupBy("term").agg(F.log(total / F.count("*")).alias("idf")).where("idf > 0")
-    weighed = uses.join(spread, "term").withColumn("weight", F.col("uses") * F.col("idf"))
-    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return weighed.join(norms, key).select(key, "term", (F.col("weight") / F.col("norm")).alias("weight"), "idf")
+    spread = spread.select(_own_shuffle(F.col("term")).alias("term"), "idf")
+    weighed = uses.join(spread, "term").withColumn("raw", F.col("uses") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))
+    unit = weighed.select(key, "term", (F.col("raw") / norm).alias("weight"), "idf")
+    return unit.withColumn("tail", _tails(unit, key, "weight"))
+
+
+def lexical_queries(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, term, w, tail``: the questions as unit vectors over the index's words, with tails as in the index."""
+    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term")
+    rarity = index.groupBy("term").agg(F.min("idf").alias("idf")).select(_own_shuffle(F.col("term")).alias("term"), "idf")
+    asked = asked.agg(F.count("*").alias("uses")).join(rarity, "term").withColumn("raw", F.col("uses") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("query_id")))
+    unit = asked.select("query_id", "term", "idf", (F.col("raw") / norm).alias("w"))
+    return unit.withColumn("tail", _tails(unit, "query_id", "w")).drop("idf")
+
+
+def lexical_candidates(index: DataFrame, unit: DataFrame, gate: float | None, key: str = "vec_id") -> DataFrame:
+    """``query_id, key``: every pair that can reach the gate, and few others.
+
+    In one order of all words, rarest first, a pair's score is at most the product of the two tails at its first common
+    word.  So only words whose tail reaches the gate are looked at, on either side, and of those only where the product
+    does: a word that nearly all texts share is behind the gate in all but the shortest.  Without a gate every pair with
+    a common word is a candidate.
+    """
+    least = max(0.0, (gate or 0.0) - 1e-6)  # errs towards more candidates than rounding could take away
+    ours = unit.where(F.col("tail") >= least).select("query_id", "term", F.col("tail").alias("q_tail"))
+    theirs = index.where(F.col("tail") >= least).select(key, "term", "tail")
+    met = ours.join(theirs, "term").where(F.col("q_tail") * F.col("tail") >= least)
+    return met.select("query_id", key).distinct()
 
 
 def lexical_nearest(index: DataFrame, queries: DataFrame, k: int = RETRIEVAL_K, gate: float | None = SCORE_GATE,
                     key: str = "vec_id") -> DataFrame:
-    """``query_id, place, key, score``: the ``k`` best texts of an index by cosine, score at least ``gate``.
+    """``query_id, place, key, score``: the ``k`` best texts of an index by cosine, score at least ``gate``; exact.
 
-    ``queries`` has ``query_id`` and ``text``; questions meet the index by word only, so texts without a common word are
-    never compared.  Scores are compared to nine decimals; equal ones are ordered by key.
+    ``queries`` has ``query_id`` and ``text``.  Candidates come from :func:`lexical_candidates`; only they are scored, on
+    all their words.  Scores are compared to nine decimals; equal ones are ordered by key.
     """
     whole(k, "k", 1)
-    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term")
-    rarity = index.groupBy("term").agg(F.min("idf").alias("idf"))
-    asked = asked.agg(F.count("*").alias("uses")).join(rarity, "term").withColumn("w", F.col("uses") * F.col("idf"))
-    norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = asked.join(norms, "query_id").select("query_id", "term", (F.col("w") / F.col("norm")).alias("w"))
-    scored = unit.join(index, "term").groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("weight")).alias("s"))
+    unit = lexical_queries(index, queries)
+    pairs = lexical_candidates(index, unit, gate, key)
+    terms = pairs.join(unit.select("query_id", "term", "w"), "query_id")
+    scored = terms.join(index.select(key, "term", "weight"), [key, "term"]).groupBy("query_id", key)
+    scored = scored.agg(F.sum(F.col("w") * F.col("weight")).alias("s"))
     scored = scored.select("query_id", key, F.round("s", 9).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), key)
     ranked = (scored if gate is None else scored.where(F.col("score") >= gate)).withColumn(

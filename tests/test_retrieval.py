@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from helpers import rows
@@ -161,6 +164,50 @@ def test_lexical_search(spark):
     assert [r[2] for r in rows(retrieval.lexical_nearest(index, asked, gate=None)) if r[0] == "q"][:2] == [2, 1]
 
 
+def plainly_nearest(texts, asked, k, gate):
+    """All pairs, scored word by word."""
+
+    def split(text):
+        return re.findall(r"[^\W_]+", (text or "").lower())
+
+    n = len(texts)
+    spread = Counter(w for _, t in texts for w in set(split(t)))
+    idf = {w: np.log(n / c) for w, c in spread.items() if c < n}
+
+    def vector(text):
+        raw = {w: c * idf[w] for w, c in Counter(split(text)).items() if w in idf}
+        norm = np.sqrt(sum(x * x for x in raw.values()))
+        return {w: x / norm for w, x in raw.items()}
+
+    vectors, found = [(i, vector(t)) for i, t in texts], []
+    for name, text in asked:
+        q = vector(text)
+        scored = [(round(sum(x * d.get(w, 0.0) for w, x in q.items()), 9), i) for i, d in vectors if q.keys() & d.keys()]
+        best = sorted((-s, i) for s, i in scored if gate is None or s >= gate)[:k]
+        found += [(name, place, i, round(-s, 7)) for place, (s, i) in enumerate(best, 1)]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("gate", [0.25, 0.6, 0.0, None])
+def test_prefixes_lose_nothing(spark, gate):
+    """A word in every text but one, ties and repeated texts: the rows of all pairs, from far fewer scored pairs."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(300)]
+    shares = 1 / np.arange(1, 301)
+    draw = lambda n: " ".join(rng.choice(vocabulary, n, p=shares / shares.sum()))
+    texts = [(i, "common " + draw(rng.integers(1, 30))) for i in range(250)] + [(900, "rare"), (901, "common"), (902, None)]
+    texts += [(1000 + i, texts[i][1]) for i in range(20)]
+    asked = [(f"q{i}", "common " + draw(rng.integers(1, 12))) for i in range(40)] + [("c", "common"), ("u", "unknown"), ("n", None)]
+    index = retrieval.lexical_index(spark.createDataFrame(texts, "vec_id bigint, text string")).cache()
+    questions = spark.createDataFrame(asked, "query_id string, text string")
+    found = rows(retrieval.lexical_nearest(index, questions, 6, gate))
+    assert sorted((*r[:3], round(r[3], 7)) for r in found) == plainly_nearest(texts, asked, 6, gate)
+    unit = retrieval.lexical_queries(index, questions)
+    every = retrieval.lexical_candidates(index, unit, None).count()
+    some = retrieval.lexical_candidates(index, unit, gate).count()
+    assert some < every * {0.25: 0.5, 0.6: 0.1}.get(gate, 1.01)
+
+
 def test_words_all_texts_share_weigh_nothing(spark):
     texts = spark.createDataFrame([(i, f"floor: {i}") for i in range(4)], "vec_id bigint, text string")
     assert {r["term"] for r in retrieval.lexical_index(texts).collect()} == {"0", "1", "2", "3"}
