@@ -372,6 +372,12 @@ def oracle_sql() -> dict[str, str]:
         "latest_room_status": f"""{BASE} SELECT occupancy AS occupancy_raw, event_time, room_name FROM joined
             WHERE room_key = '{ROOM_CODE.replace('.', '')}' OR room_id = '{ROOM_CODE.replace('.', '')}'
             ORDER BY ts DESC, event_order DESC, room_name DESC LIMIT 1""",
+        "state_at_noon": f"""{BASE}, noons AS (
+              SELECT DISTINCT space_id, CAST(day + h * INTERVAL 1 HOUR AS TIMESTAMP) AS at
+              FROM (SELECT DISTINCT space_id, date_trunc('day', ts) AS day FROM ev), (SELECT unnest([-12, 12, 60]) AS h)
+            ), one AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY space_id, ts ORDER BY event_order DESC) = 1)
+            SELECT n.space_id, n.at, e.occupancy, e.event_time, e.ts AS since
+            FROM noons n ASOF LEFT JOIN one e ON n.space_id = e.space_id AND n.at >= e.ts""",
         "underused_rooms": f"""{_grid(30)} SELECT code, room_name, round(occ_rate * 100, 1) AS occ_rate_percent
             FROM dense WHERE occ_rate < 0.10""",
         "least_used_rooms": f"""{_grid(30, ON_FLOOR_3)}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid import schema
 from dwellgrid.catalog.samples import building, question_log
-from dwellgrid.operators import dense, dialogue, latest, lookup, profile, questions, rates, retrieval, vector_index, zones
+from dwellgrid.operators import asof, dense, dialogue, latest, lookup, profile, questions, rates, retrieval, vector_index, zones
 from dwellgrid.plans import documents, overview
 from dwellgrid.schema import ADHOC_ROWS
 from dwellgrid.session import shared_folder
@@ -144,6 +144,14 @@ def _stored_search(spark: SparkSession, folder: str) -> DataFrame:
     return hits.withColumn("score", F.round("score", 6))
 
 
+def _state_at_noon(spark: SparkSession, folder: str) -> DataFrame:
+    """State of every space at noon of each day with events of it, of the day before and of the day after the next."""
+    model = usage(spark, folder)
+    days = model.events.where("ts IS NOT NULL").select("space_id", F.date_trunc("day", "ts").alias("day")).distinct()
+    noons = F.explode(F.expr("transform(array(-12, 12, 60), h -> CAST(day + make_interval(0, 0, 0, 0, h) AS timestamp_ntz))"))
+    return asof.state_at(model, days.select("space_id", noons.alias("at")).distinct())
+
+
 def _table_description(spark: SparkSession, folder: str) -> DataFrame:
     building(spark, folder).register_views()
     return profile.table_description(spark, "events_enriched")
@@ -201,6 +209,7 @@ def queries() -> dict[str, Query]:
         # latest state
         "status_floor_now": of_usage(latest.status_floor_now, 3),
         "free_rooms_now": of_usage(latest.free_rooms_now, 8, MEETING_SEGMENTS),
+        "state_at_noon": _state_at_noon,
         "latest_room_status": of_usage(latest.latest_room_status, ROOM_CODE),
         # dense rates
         "underused_rooms": of_usage(dense.underused_rooms, days=30, threshold=0.10),
