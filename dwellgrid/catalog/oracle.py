@@ -366,6 +366,18 @@ def oracle_sql() -> dict[str, str]:
             avg(CASE WHEN extract(hour FROM ts) BETWEEN 9 AND 12 THEN flag END) AS am_peak,
             avg(CASE WHEN extract(hour FROM ts) BETWEEN 13 AND 16 THEN flag END) AS pm_peak, 24 AS window_hours
             FROM joined WHERE ts > (SELECT t FROM last) - INTERVAL 24 HOUR""",
+        "rooms_used_in_two_weeks": f"""{BASE}, top AS (SELECT max(hour) AS h FROM joined), of_week AS (
+              SELECT floor_n AS floor, uuid, bool_or(hour > h - INTERVAL 7 DAY) AS a,
+                     bool_or(hour > h - INTERVAL 14 DAY AND hour <= h - INTERVAL 7 DAY) AS b
+              FROM joined, top WHERE flag = 1 GROUP BY ALL)
+            SELECT f.floor, count(*) FILTER (a) AS last_week, count(*) FILTER (b) AS week_before,
+                   count(*) FILTER (a AND b) AS in_all
+            FROM (SELECT DISTINCT floor_n AS floor FROM joined) f LEFT JOIN of_week USING (floor) GROUP BY f.floor""",
+        "lateness_by_month": """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n,
+              min(d) AS least, max(d) AS most, quantile_disc(d, 0.5) AS p50, quantile_disc(d, 0.9) AS p90,
+              quantile_disc(d, 0.99) AS p99
+            FROM (SELECT o_orderdate, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS d
+                  FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1""",
         "status_floor_now": f"{_latest('floor_key = 3')} SELECT room_name, occupancy, event_time FROM newest",
         "free_rooms_now": _latest("floor_key = 8 AND \"spaceType\" ILIKE '%building%'")
         + " SELECT room_name, event_time FROM newest WHERE occupancy = 'unoccupied'",

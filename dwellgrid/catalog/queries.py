@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dwellgrid import schema
 from dwellgrid.catalog.samples import building, question_log
-from dwellgrid.operators import asof, dense, dialogue, latest, lookup, profile, questions, rates, retrieval, vector_index, zones
+from dwellgrid.operators import asof, dense, dialogue, latest, lookup, profile, questions, rates, retrieval, sketches, vector_index, zones
 from dwellgrid.plans import documents, overview
 from dwellgrid.schema import ADHOC_ROWS
 from dwellgrid.session import shared_folder
@@ -152,6 +152,25 @@ def _state_at_noon(spark: SparkSession, folder: str) -> DataFrame:
     return asof.state_at(model, days.select("space_id", noons.alias("at")).distinct())
 
 
+def _rooms_used(spark: SparkSession, folder: str) -> DataFrame:
+    """Rooms in use per floor in the last seven days, in the seven before them, and in both, from hourly sketches."""
+    found = sketches.room_sketches(usage(spark, folder))
+    last = found.agg(F.max("hour")).scalar()
+    week, two = last - F.expr("INTERVAL '7' DAY"), last - F.expr("INTERVAL '14' DAY")
+    hour = F.col("hour")
+    return sketches.distinct_rooms(
+        found, ("floor_n",), {"last_week": hour > week, "week_before": (hour > two) & (hour <= week)}
+    ).withColumnRenamed("floor_n", "floor")
+
+
+def _lateness(spark: SparkSession, folder: str) -> DataFrame:
+    """Days from order to shipment by month of the order: sketches per day, merged per month."""
+    items, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
+    rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    daily = sketches.lateness_sketches(rows, F.col("o_orderdate"), F.date_diff("l_shipdate", "o_orderdate"))
+    return sketches.lateness_profile(daily).withColumn("bucket", F.to_date("bucket")).withColumnRenamed("bucket", "month")
+
+
 def _table_description(spark: SparkSession, folder: str) -> DataFrame:
     building(spark, folder).register_views()
     return profile.table_description(spark, "events_enriched")
@@ -207,6 +226,8 @@ def queries() -> dict[str, Query]:
         "utilization_by_floor_rollup": lambda s, d: rates.utilization_by_floor(_with_closed_hours(s, d), 7),
         "kpis_24h_rollup": lambda s, d: rates.kpis(_with_closed_hours(s, d), 24),
         # latest state
+        "rooms_used_in_two_weeks": _rooms_used,
+        "lateness_by_month": _lateness,
         "status_floor_now": of_usage(latest.status_floor_now, 3),
         "free_rooms_now": of_usage(latest.free_rooms_now, 8, MEETING_SEGMENTS),
         "state_at_noon": _state_at_noon,

@@ -25,6 +25,8 @@ SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "orders": "o_orderkey bigint, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_shipdate timestamp_ntz",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
