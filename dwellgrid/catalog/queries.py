@@ -270,6 +270,7 @@ def queries() -> dict[str, Query]:
         # retrieval
         "row_documents": lambda s, d: documents.row_documents(usage(s, d)),
         "document_chunks": lambda s, d: retrieval.chunks(table(s, d, "documents")),
+        "document_chunks_by_separator": lambda s, d: retrieval.separator_chunks(table(s, d, "documents")),
         "knn_cosine_gated": _knn,
         "mmr_rerank": _mmr,
         "context_per_query": _contexts,

@@ -58,6 +58,77 @@ def chunks(documents: DataFrame, key: str = "doc_id", text: str = "text", size:
     )
 
 
+# Where a text is cut first, paragraphs before lines before words.
+SEPARATORS = ("\n\n", "\n", " ")
+
+
+def separator_chunks(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_SIZE,
+                     overlap: int = CHUNK_OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
+    """``key, chunk_no, chunk``: chunks of at most ``size`` characters that end where paragraphs, lines or words do.
+
+    A text is cut after every paragraph; a paragraph that is too long is cut after its lines, a line after its words, a
+    word after ``size`` characters.  Pieces are joined from the left while they fit.  The next chunk begins with the last
+    whole pieces of the one before, as many as ``overlap`` characters hold and leave room for a new piece.  Without the
+    repeated pieces the chunks give the text, separators included.
+
+    Defined cases: null and empty texts have no chunks; keys pass through, row for row; a text is held whole, its chunks
+    leave the task a few hundred at a time.
+    """
+    whole(size, "size", 1), whole(overlap, "overlap")
+    if overlap >= size:
+        raise ValueError("overlap must be smaller than the size")
+    key_type = documents.schema[key].dataType
+
+    def pieces(part: str, level: int):
+        if len(part) <= size:
+            yield part
+        elif level == len(separators):
+            for at in range(0, len(part), size):
+                yield part[at : at + size]
+        else:
+            mark, at = separators[level], 0
+            while at < len(part):
+                found = part.find(mark, at)
+                end = len(part) if found < 0 else found + len(mark)
+                yield from pieces(part[at:end], level + 1)
+                at = end
+
+    def chunks_of(whole_text: str):
+        held, length = [], 0
+        for piece in pieces(whole_text, 0):
+            if length + len(piece) > size:
+                yield "".join(held)
+                while held and (length > overlap or length + len(piece) > size):
+                    length -= len(held.pop(0))
+            held.append(piece)
+            length += len(piece)
+        yield "".join(held)
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            places, numbers, found = [], [], []
+
+            def out():
+                keys = batch.column(0).take(pa.array(places, pa.int64()))
+                return pa.RecordBatch.from_arrays([keys, pa.array(numbers, pa.int32()), pa.array(found, pa.string())], [key, "chunk_no", "chunk"])
+
+            for row, value in enumerate(batch.column(1)):
+                if value.as_py():
+                    for number, chunk in enumerate(chunks_of(value.as_py())):
+                        places.append(row)
+                        numbers.append(number)
+                        found.append(chunk)
+                        if len(found) == 512:
+                            yield out()
+                            places, numbers, found = [], [], []
+            yield out()
+
+    fields = [T.StructField(key, key_type), T.StructField("chunk_no", T.IntegerType()), T.StructField("chunk", T.StringType())]
+    return documents.select(key, text).mapInArrow(cut, T.StructType(fields))
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits, repeats included."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")

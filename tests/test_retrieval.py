@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import rows
+from helpers import DATA, rows
 
 from pyspark.errors import AnalysisException
 
@@ -104,6 +104,55 @@ def test_chunks(spark):
         retrieval.chunks(log, size=100, overlap=60)
 
 
+def chunks_by_hand(text, size, overlap):
+    """Cut by repeated splitting of the whole list, then joined with the places of pieces instead of their texts."""
+    pieces = [text]
+    for mark in ("\n\n", "\n", " "):
+        pieces = [q for p in pieces for q in ([p] if len(p) <= size else re.findall(f"(?s).*?{mark}|.+", p))]
+    pieces = [p[i : i + size] for p in pieces for i in range(0, len(p), size)]
+    ends = [0, *np.cumsum([len(p) for p in pieces]).tolist()]
+    out, first, last = [], 0, 0
+    while last < len(pieces):
+        while last < len(pieces) and ends[last + 1] - ends[first] <= size:
+            last += 1
+        out.append(text[ends[first] : ends[last]])
+        if last < len(pieces):
+            before = first
+            first = next(f for f in range(before, last + 1)
+                         if ends[last] - ends[f] <= overlap and ends[last + 1] - ends[f] <= size)
+    return out
+
+
+@pytest.mark.parametrize("size,overlap", [(800, 80), (20, 7), (5, 0), (1, 0), (30, 29)])
+def test_chunks_by_separator(spark, size, overlap):
+    rng = np.random.default_rng(3)
+    marks = ["a", "bb", "é😀", " ", " ", "\n", "\n\n", "word", "longerword" * 3]
+    texts = ["", None, "short", "x" * 1700, " \n\n ", "\n" * 50] + ["".join(rng.choice(marks, 120)) for _ in range(30)]
+    texts += ["one two three. " * 90 + "\n\n" + "line\n" * 300]
+    log = spark.createDataFrame([(f"k{i}", t, 1) for i, t in enumerate(texts)] + [(None, "no key", 2), ("k2", "short", 3)],
+                                "doc_id string, text string, chunk int")
+    found = {}
+    for key, number, chunk in rows(retrieval.separator_chunks(log.where("doc_id <> 'k2' OR chunk = 1"), size=size, overlap=overlap)):
+        found.setdefault(key, {})[number] = chunk
+    for i, text in enumerate(texts):
+        got = [c for _, c in sorted(found.get(f"k{i}", {}).items())]
+        assert got == (chunks_by_hand(text, size, overlap) if text else [])
+        assert all(len(c) <= size for c in got)
+    assert sorted(rows(retrieval.separator_chunks(log.where("chunk > 1"))), key=repr) == [("k2", 0, "short"), (None, 0, "no key")]
+    assert rows(retrieval.separator_chunks(log.where("false"))) == []
+    with pytest.raises(ValueError):
+        retrieval.separator_chunks(log, size=10, overlap=10)
+
+
+def test_chunks_by_separator_of_the_sample(spark):
+    texts = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    found = {}
+    for key, number, chunk in rows(retrieval.separator_chunks(texts)):
+        found.setdefault(key, {})[number] = chunk
+    for key, text in rows(texts):
+        assert [c for _, c in sorted(found.get(key, {}).items())] == (chunks_by_hand(text, 800, 80) if text else [])
+
+
 def test_row_text(spark):
     df = spark.createDataFrame([("x", None, 1.5), ("y", 2, float("nan"))], "b string, a int, c double")
     assert [r[0] for r in rows(df.select(retrieval.row_text(df)))] == ["b: x\nc: 1.5", "a: 2\nb: y"]
