@@ -379,6 +379,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT o_orderdate, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS d
                   FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1""",
         "status_floor_now": f"{_latest('floor_key = 3')} SELECT room_name, occupancy, event_time FROM newest",
+        "latest_states": f"{_latest('true')} SELECT uuid AS space_id, room_name, occupancy, event_time FROM newest",
         "free_rooms_now": _latest("floor_key = 8 AND \"spaceType\" ILIKE '%building%'")
         + " SELECT room_name, event_time FROM newest WHERE occupancy = 'unoccupied'",
         "latest_room_status": f"""{BASE} SELECT occupancy AS occupancy_raw, event_time, room_name FROM joined
@@ -480,5 +481,7 @@ def oracle_sql() -> dict[str, str]:
     return found | {
         "utilization_by_floor_rollup": found["utilization_by_floor"],
         "stored_search": found["indexed_search"],
+        "status_floor_now_stored": found["status_floor_now"],
+        "free_rooms_now_stored": found["free_rooms_now"],
         "kpis_24h_rollup": found["kpis_24h"],
     }

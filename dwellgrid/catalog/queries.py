@@ -49,6 +49,15 @@ def _with_closed_hours(spark: SparkSession, folder: str) -> Usage:
     return model.with_rollup(store.hourly_rollup(model.events).where(F.col("hour") < closed))
 
 
+def _with_stored_states(spark: SparkSession, folder: str) -> Usage:
+    """The model with newest events as they stood a day before the log's end, stored and read back."""
+    model = usage(spark, folder)
+    before = model.events.agg(F.expr("max(ts) - INTERVAL '1' DAY")).scalar()
+    path = f"{shared_folder(spark)}/dwellgrid-states/{uuid.uuid4().hex}"
+    latest.newest_events(model.events.where(F.col("ts") <= before)).write.parquet(path)
+    return model.with_states(spark.read.parquet(path))
+
+
 def _csv_events(spark: SparkSession, folder: str) -> DataFrame:
     """Event rows as lines of the sensor log's file format, read under its schema."""
     line = F.concat_ws(
@@ -229,6 +238,9 @@ def queries() -> dict[str, Query]:
         "rooms_used_in_two_weeks": _rooms_used,
         "lateness_by_month": _lateness,
         "status_floor_now": of_usage(latest.status_floor_now, 3),
+        "status_floor_now_stored": lambda s, d: latest.status_floor_now(_with_stored_states(s, d), 3),
+        "free_rooms_now_stored": lambda s, d: latest.free_rooms_now(_with_stored_states(s, d), 8, MEETING_SEGMENTS),
+        "latest_states": lambda s, d: latest.latest_states(usage(s, d)),
         "free_rooms_now": of_usage(latest.free_rooms_now, 8, MEETING_SEGMENTS),
         "state_at_noon": _state_at_noon,
         "latest_room_status": of_usage(latest.latest_room_status, ROOM_CODE),

@@ -21,6 +21,10 @@ SYNONYMS = {
 }
 
 
+# Fixed value: how many space types a text lists.
+MOST_TYPES = 50
+
+
 def table_counts(sources: dict[str, DataFrame]) -> DataFrame:
     """``source, n``: one row per named source."""
     counted = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("source"), "n") for name, df in sources.items()]
@@ -41,19 +45,26 @@ def space_types(usage: Usage) -> DataFrame:
     )
 
 
-def category_context(usage: Usage, most: int | None = None) -> DataFrame:
+def category_context(usage: Usage, most: int | None = MOST_TYPES) -> DataFrame:
     """One row of text listing the floors and the space types, as a hint for whoever asks questions.
 
-    With ``most`` only the first so many types are listed, followed by the number of all where some are left out.
+    At most the first ``most`` types are listed, followed by the number of all where some are left out; None lists all.
     """
     floors = _joined(list_floors(usage).where(F.col("floor").isNotNull()).select(F.col("floor").alias("v")))
-    types = space_types(usage)
-    listed = _joined((types if most is None else types.limit(whole(most, "most"))).select(F.col("t").alias("v")))
-    context = F.concat(F.lit("Floors: "), "text", F.lit("\nSpace types: "), listed.scalar())
-    if most is not None:
-        total = types.agg(F.count("*")).scalar()
-        context = F.concat(context, F.when(total > most, F.concat(F.lit(" ("), total, F.lit(" in all)"))).otherwise(""))
-    return floors.select(context.alias("context"))
+    types = _listed(space_types(usage).select(F.col("t").alias("v")), most)
+    return floors.select(F.concat(F.lit("Floors: "), "text", F.lit("\nSpace types: "), types.scalar()).alias("context"))
+
+
+def _listed(values: DataFrame, most: int | None) -> DataFrame:
+    """The first ``most`` of distinct sorted values as one text, with the number of all where that is more.
+
+    The rows that meet in one task are bounded: the rest is only counted.
+    """
+    if most is None:
+        return _joined(values)
+    total = values.agg(F.count("*")).scalar()
+    rest = F.when(total > most, F.concat(F.lit(" ("), total, F.lit(" in all)"))).otherwise("")
+    return _joined(values.orderBy("v").limit(whole(most, "most"))).select(F.concat("text", rest).alias("text"))
 
 
 def _joined(values: DataFrame) -> DataFrame:
@@ -61,14 +72,14 @@ def _joined(values: DataFrame) -> DataFrame:
     return values.agg(F.concat_ws(", ", F.sort_array(F.collect_list("v")).cast("array<string>")).alias("text"))
 
 
-def data_profile(usage: Usage, office: DataFrame, meeting: DataFrame) -> DataFrame:
+def data_profile(usage: Usage, office: DataFrame, meeting: DataFrame, most: int | None = MOST_TYPES) -> DataFrame:
     """One row: events per source, cleaned rooms, time span, floors and space types (as comma-separated text).
 
-    Both logs are counted and spanned in one pass.
+    Both logs are counted and spanned in one pass.  Of many types the first ``most`` are listed, see ``category_context``.
     """
     logs = office.select("ts", F.lit(1).alias("office")).unionByName(meeting.select("ts", F.lit(0).alias("office")))
     floors = _joined(list_floors(usage).where(F.col("floor").isNotNull()).select(F.col("floor").alias("v")))
-    types = _joined(space_types(usage).select(F.col("t").alias("v")))
+    types = _listed(space_types(usage).select(F.col("t").alias("v")), most)
     return logs.agg(
         F.count_if(F.col("office") == 1).alias("rows_office"),
         F.count_if(F.col("office") == 0).alias("rows_meeting"),

@@ -39,6 +39,9 @@ class Usage:
     ``rollup``: optional stored hourly roll-up of ``events`` (:func:`dwellgrid.sources.store.hourly_rollup`); rates
     then read whole hours from it and touch the log only for the partial hours at the edges of a window and from the
     roll-up's last hour on, so that a roll-up written by a stream, which has closed hours only, gives the same rates.
+    ``states``: optional stored newest events per space (:func:`dwellgrid.operators.latest.newest_events`); the latest
+    states then come from it and from the log's tail, the events from its newest moment on.  Events that reach the log
+    later with an older time count after the next rebuild only.
     """
 
     events: DataFrame
@@ -47,6 +50,7 @@ class Usage:
     broadcast_spaces: bool = False
     at: dt.datetime | None = None
     rollup: DataFrame | None = None
+    states: DataFrame | None = None
 
     @classmethod
     def of(cls, events: DataFrame, raw_spaces: DataFrame, *, at: dt.datetime | None = None,
@@ -63,6 +67,9 @@ class Usage:
     def with_rollup(self, rollup: DataFrame) -> "Usage":
         return replace(self, rollup=rollup)
 
+    def with_states(self, states: DataFrame) -> "Usage":
+        return replace(self, states=states)
+
     def with_spaces(self, spaces: DataFrame) -> "Usage":
         return replace(self, spaces=spaces)
 

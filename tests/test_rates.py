@@ -204,7 +204,7 @@ def test_rank_zones(site, options):
 
 def test_category_context_says_what_it_leaves_out(site):
     many = site.usage([], [(f"u{i}", f"1.{i:03d} R", f"kind {i:02d}", "1") for i in range(60)])
-    (whole,), (cut,) = rows(profile.category_context(many))[0], rows(profile.category_context(many, 3))[0]
+    (whole,), (cut,) = rows(profile.category_context(many, None))[0], rows(profile.category_context(many, 3))[0]
     assert whole.count("kind") == 60 and "kind 59" in whole
     assert cut.endswith("kind 00, kind 01, kind 02 (60 in all)")
     assert rows(profile.category_context(many, 60))[0][0] == whole
