@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from dwellgrid.llm import multiset_hash as mh
@@ -288,4 +289,66 @@ def test_contradicting_and_null_labels(spark, messy):
 def test_dictionaries_separate_short_windows():
     toxic, ordinary = b" idiot clown pathe", b" nicht there"
     shares = toxicity.telling_shares(["what an idiot was there", "nothing was there", ""], toxic + ordinary, ordinary)
-    assert shares[0] > 0 and shares[1] == shares[2] == 0
+    assert (shares[0] > 0).all() and not shares[1:].any()
+
+
+def shares_by_hand(text, toxic, ordinary):
+    """Windows, compression and both shares, written out."""
+    found = re.findall("[a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    flags = []
+    for at in range(0, len(found), 6):
+        window = bytes(range(128, 176)) + f" {' '.join(found[at : at + 6])} ".encode()
+        sizes = []
+        for content in (ordinary, toxic):
+            dictionary = zstandard.ZstdCompressionDict(content + bytes(range(128, 176)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            settings = zstandard.ZstdCompressionParameters(
+                strategy=zstandard.STRATEGY_LAZY2, min_match=6, window_log=14, chain_log=12, hash_log=12, search_log=4,
+                target_length=16, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append(len(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings).compress(window)))
+        flags.append(sizes[0] - sizes[1] >= 3)
+    dense = max((sum(flags[i : i + 16]) for i in range(max(1, len(flags) - 15))), default=0)
+    return [sum(flags) / (len(flags) + 4), dense / (min(16, len(flags)) + 4)]
+
+
+def test_shares_against_a_plain_version(corpus):
+    toxic, ordinary = b" idiot clown pathe worth", b" nicht there"
+    texts = [t or "" for _, t in corpus[:60]] + ["", "idiot", "Clown, IDIOT! " * 30, "fine words here " * 200 + "idiot clown pathetic " * 9]
+    assert np.allclose(toxicity.telling_shares(texts, toxic + ordinary, ordinary), [shares_by_hand(t, toxic + ordinary, ordinary) for t in texts])
+
+
+def test_calibration_has_the_fewest_errors():
+    rng = np.random.default_rng(0)
+    toxic = (rng.random(400) < 0.4).astype(int)
+    shares = np.round(np.clip(rng.normal(0.1 + 0.15 * toxic, 0.08), 0, 1), 2)
+    counts = {0: 9000, 1: 500}
+    weight = {y: counts[y] / (toxic == y).sum() for y in (0, 1)}
+
+    def errors(threshold):
+        return sum(weight[y] for s, y in zip(shares, toxic) if (s >= threshold) != (y == 1))
+
+    threshold, _ = toxicity.calibrated(shares, toxic, counts)
+    assert errors(threshold) <= min(errors(t) for t in [*(np.unique(shares[shares > 0]) - 1e-9), 2.0]) + 1e-6
+
+
+def test_insults_in_a_long_text_and_short_words(spark):
+    """A stretch of insults in a long text is found, and so are insults of three letters."""
+    rng = np.random.default_rng(6)
+    plain = [f"{a}{b}" for a in ("wan", "tel", "mor", "sil", "por", "gan") for b in ("der", "low", "tin", "ker", "dam")]
+
+    def prose(n, share=0.0):
+        return " ".join("zut" if rng.random() < share else str(w) for w in rng.choice(plain, n))
+
+    rows = [(i, prose(60, 0.4) if i % 2 else prose(60)) for i in range(600)]
+    rows += [(10_000 + i, prose(3000) + " " + prose(90, 0.4 if i % 2 else 0.0) + " " + prose(3000)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    found = toxicity.judged(docs, labels).where("held_out").collect()
+    for kind in (True, False):
+        some = [r for r in found if (r["doc_id"] >= 10_000) is kind]
+        assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in some]) >= 0.95
+
+
+def test_a_repeated_id_reaches_the_driver_once(spark):
+    docs = spark.range(3000).selectExpr("7L AS doc_id", "concat('text ', id) AS text")
+    sample, _ = toxicity.training_sample(docs, spark.createDataFrame([(7, 1, 1)], "doc_id long, quality int, toxic int"))
+    assert [tuple(r) for r in sample.collect()] == [(7, 1, "text 999")]
