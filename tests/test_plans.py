@@ -16,7 +16,7 @@ from dwellgrid.sources import sample_tables
 # queries that hand rows to Python, all in Arrow batches
 PYTHON = {
     "question_intents", "question_intents_legacy", "question_params", "knn_cosine_gated", "mmr_rerank",
-    "context_per_query",
+    "context_per_query", "knn_indexed", "document_chunks_by_separator",
 }
 
 
