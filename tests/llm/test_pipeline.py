@@ -21,7 +21,7 @@ TYPES = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source"
 
 def test_registered():
     names = set(entry.queries())
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.queries()}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.queries()}
     assert set(queries.queries()) <= names
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "packing"]
 
