@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\x0b\x0c\r"
-BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Capital and title-case letters outside A-Z: only these make lower() differ from lower-casing A-Z alone.
 OTHER_CAPITALS = "[\\p{javaUpperCase}\\p{javaTitleCase}&&[^A-Z]]"

@@ -58,10 +58,31 @@ def test_exact_groups(messy, messy_rows):
 
 
 def test_bytes_are_compared_within_a_hash_group(messy, messy_rows):
-    found = exact_dedup.exact_groups(messy, content_hash=lambda sha256: F.lit(b"the same for all"))
+    found = exact_dedup.exact_groups(messy, content_hash=lambda text: (F.lit(1).cast("long"), F.lit(2).cast("long")))
     assert sorted(map(tuple, found.collect()), key=key) == exact_by_hand(messy_rows)
 
 
+def test_one_weak_half_of_the_hash(messy, messy_rows):
+    found = exact_dedup.exact_groups(messy, content_hash=lambda text: (F.length(text).cast("long"), F.xxhash64(text)))
+    assert sorted(map(tuple, found.collect()), key=key) == exact_by_hand(messy_rows)
+
+
+def test_only_texts_of_repeated_hashes_move(spark):
+    rows = [(i, f"own text {i}") for i in range(-500, 500)] + [(1000 + i, f"copied {i % 40}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, norm string")
+    hashed = docs.select("*", *(h.alias(n) for h, n in zip(exact_dedup.two_hashes(F.col("norm")), ("h1", "h2"))))
+    repeated = hashed.groupBy("h1", "h2").count().where("count > 1")
+    passed = [r["doc_id"] for r in exact_dedup._maybe_repeated(hashed, repeated).collect()]
+    assert {i for i in passed if i >= 1000} == set(range(1000, 1400))
+    assert len(passed) <= 402  # a text of its own passes only where its bit of 2^27 is taken
+
+
+def test_the_hash_of_every_row_and_blanks_of_all_kinds(spark):
+    texts = ["a b", "a  b", "a\tb", "a\x0b\r\n b", " a b", "a b ", "a\u00a0b", "a\x1cb", "", " ", "\t"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup.exact_groups(docs).collect()), key=key) == exact_by_hand(list(enumerate(texts)))
+
+
 def test_exact_groups_of_nothing(nothing):
     assert exact_dedup.exact_groups(nothing).collect() == []
 
