@@ -6,7 +6,7 @@ and nearest neighbours all pairs.
 
 from __future__ import annotations
 
-from dwellgrid.catalog.question_oracle import question_intents, question_params, synonym_terms
+from dwellgrid.catalog.question_oracle import question_intents, question_params, synonym_terms, term_mentions
 from dwellgrid.catalog.queries import ROOM_CODE, ROOM_TEXT
 
 BASE = """
@@ -457,6 +457,7 @@ def oracle_sql() -> dict[str, str]:
             'building_name': building_name, 'label': label, 'code': code, 'room_id': room_id, 'room_key': room_key,
             'display_name': display_name, 'floor_n': floor_n}}) AS VARCHAR) AS record FROM sp""",
         "synonym_terms": synonym_terms(),
+        "term_mentions": term_mentions(BASE),
         "question_intents": question_intents("specific"),
         "question_intents_legacy": question_intents("legacy"),
         "question_params": question_params(),

@@ -189,6 +189,15 @@ def _questions(spark: SparkSession, folder: str, order: str) -> DataFrame:
     return questions.label_questions(question_log(spark, folder), order=order)
 
 
+def _term_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms that questions mention: synonyms, and the names, storeys and types of the spaces with all their words."""
+    spaces = usage(spark, folder).spaces
+    names = F.explode(F.array("room_name", "storey_name", "spaceType")).alias("synonym")
+    own = spaces.select(names).distinct().select(F.col("synonym").alias("term"), "synonym")
+    terms = profile.synonym_table(spark).unionByName(own)
+    return profile.mentioned_terms(question_log(spark, folder), terms, ["conv_id", "turn"])
+
+
 def _params(spark: SparkSession, folder: str) -> DataFrame:
     """Parameters read from every question, whatever its intent."""
     log = question_log(spark, folder)
@@ -274,6 +283,7 @@ def queries() -> dict[str, Query]:
         "synonym_terms": lambda s, d: profile.map_synonyms(question_log(s, d)).select(
             "conv_id", "turn", F.array_join("terms", ", ").alias("terms")
         ),
+        "term_mentions": _term_mentions,
         # question log and dialogue
         "question_intents": lambda s, d: _questions(s, d, "specific"),
         "question_intents_legacy": lambda s, d: _questions(s, d, "legacy"),

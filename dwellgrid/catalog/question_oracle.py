@@ -1,4 +1,8 @@
-"""SQL for the question-log queries, with word lists, patterns and phrasings of its own: none is taken from the operators."""
+"""SQL for the question-log queries.
+
+The fixed word lists, patterns and phrasings are written out a second time here, none is imported from the operators; the
+labels that they must lead to are written by hand in ``tests/test_questions.py``.
+"""
 
 from __future__ import annotations
 
@@ -173,6 +177,19 @@ def synonym_terms() -> str:
     return f"{LOG} SELECT conv_id, turn, concat_ws(', ', {terms}) AS terms FROM norm"
 
 
+def term_mentions(spaces: str) -> str:
+    """Terms as whole words of the question; ``spaces`` is a WITH clause that defines ``sp``."""
+    pairs = ", ".join(f"({_text(term)}, {_text(word)})" for term, words in SYNONYMS.items() for word in words)
+    plain = "' ' || trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')) || ' '"
+    return f"""{spaces}, {LOG.strip().removeprefix("WITH ")}, names AS (
+      SELECT unnest([room_name, storey_name, "spaceType"]) AS term FROM sp
+    ), terms AS (
+      SELECT DISTINCT term, {plain.format('synonym')} AS run
+      FROM (VALUES {pairs} UNION ALL SELECT DISTINCT term, term FROM names WHERE term IS NOT NULL) AS t(term, synonym)
+    ), said AS (SELECT conv_id, turn, {plain.format('text')} AS words FROM log)
+    SELECT DISTINCT conv_id, turn, term FROM said JOIN terms ON contains(words, run) WHERE trim(run) <> ''"""
+
+
 def _pick(name: str, kind: str, rules: list[tuple[str, str | None, str, dict[str, str]]]) -> str:
     cases = " ".join(f"WHEN {i} THEN {r[3][name]}" for i, r in enumerate(rules) if name in r[3])
     return f"CAST({f'CASE decided {cases} END' if cases else 'NULL'} AS {kind}) AS {name}"

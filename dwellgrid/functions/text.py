@@ -63,6 +63,43 @@ def has_word(column: str, words) -> str:
     return matches(column, f"(^|[^a-z0-9_])({choice})([^a-z0-9_]|$)", words)
 
 
+def said_words(column: str, words) -> str:
+    """Those of the words (ASCII, no phrases) that stand alone in the text, as an array: one split, one look-up each."""
+    return f"array_intersect(split({column}, '[^a-z0-9_]+'), array({', '.join(map(quoted, sorted(words)))}))"
+
+
+class Vocabulary:
+    """Words that rules look for in one text: the text is split once, and a rule asks what was found in it.
+
+    ``has_word`` gives the same answers one pattern at a time.  The text's column must be joined by the columns that
+    ``stage`` names, which are to be made after all rules have been written.
+    """
+
+    def __init__(self, column: str, prefix: str = "q_"):
+        self.column, self.said, self.wide = column, f"{prefix}said", f"{prefix}wide"
+        self.words: set[str] = set()
+
+    def has(self, words) -> str:
+        plain = [plain_word(w) for w in words]
+        foreign = [w for w in plain if not w.isascii()]
+        phrases = [w for w in plain if w.isascii() and " " in w]
+        single = [w for w in plain if w.isascii() and " " not in w]
+        self.words.update(single, *(w.split() for w in phrases))
+        tests = [f"arrays_overlap({self.said}, array({', '.join(map(quoted, single))}))"] if single else []
+        for phrase in phrases:  # the pattern is tried only where all words of the phrase stand alone
+            parts = " AND ".join(f"array_contains({self.said}, {quoted(w)})" for w in dict.fromkeys(phrase.split()))
+            tests.append(f"({parts} AND {has_word(self.column, (phrase,))})")
+        if foreign:
+            tests.append(f"({self.wide} AND {has_word(self.column, foreign)})")
+        return f"({' OR '.join(tests)})"
+
+    def stage(self) -> dict[str, str]:
+        return {
+            self.said: said_words(self.column, self.words),
+            self.wide: f"octet_length({self.column}) > char_length({self.column})",
+        }
+
+
 def matches(column: str, pattern: str, needs) -> str:
     """Regular expression test; ``needs`` are substrings without any of which the pattern cannot match."""
     return f"({contains_any(column, needs)} AND {column} RLIKE {quoted(pattern)})"

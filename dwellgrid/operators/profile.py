@@ -103,15 +103,59 @@ def synonym_table(spark: SparkSession) -> DataFrame:
 
 
 def map_synonyms(texts: DataFrame, column: str = "text") -> DataFrame:
-    """Adds ``terms``: the distinct terms whose synonyms the text contains as words, sorted."""
+    """Adds ``terms``: the distinct terms whose synonyms the text contains as words, sorted.
+
+    For this short table the text is split into words once, in place; :func:`mentioned_terms` takes a table of any size.
+    """
     lowered = F.lower(F.col(column))
-    hits = [
-        F.when(
-            reduce(lambda a, b: a | b, [lowered.rlike(rf"(^|[^a-z0-9]){w}([^a-z0-9]|$)") for w in words]), F.lit(term)
-        )
-        for term, words in SYNONYMS.items()
+    words = sorted({part for synonyms in SYNONYMS.values() for word in synonyms for part in word.split()})
+    said = F.array_intersect(F.split(lowered, "[^a-z0-9]+"), F.array(*map(F.lit, words)))
+
+    def stands(synonym: str) -> Column:
+        parts = [F.array_contains("_said", part) for part in synonym.split()]
+        if len(parts) > 1:  # the pattern is tried only where all words of the phrase stand alone
+            parts.append(lowered.rlike(rf"(^|[^a-z0-9]){synonym}([^a-z0-9]|$)"))
+        return reduce(lambda a, b: a & b, parts)
+
+    hits = [F.when(reduce(lambda a, b: a | b, map(stands, ws)), F.lit(term)) for term, ws in SYNONYMS.items()]
+    found = texts.withColumn("_said", said).withColumn("terms", F.array_sort(F.array_compact(F.array(*hits))))
+    return found.drop("_said")
+
+
+def plain_phrase(text: Column) -> Column:
+    """Words of ASCII letters and digits, lower-cased, one blank between them, whatever stands there in the text."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
+def mentioned_terms(
+    texts: DataFrame, terms: DataFrame, key: list[str], column: str = "text", longest: int | None = None
+) -> DataFrame:
+    """``*key, term``: the distinct terms of a table (``term, synonym``) that each text mentions as whole words.
+
+    Texts are cut once into their distinct runs of one to ``longest`` words, which meet the table by equality: the work
+    per text does not depend on the number of terms, and no pattern is tried.  ``longest`` defaults to the words of the
+    table's longest synonym.  No broadcast is asked for: Spark decides by the table's size, and beyond its bound both
+    sides are shuffled by the words, where adaptive execution may split a word that stands in very many texts.
+
+    Defined cases: letters are compared as :func:`plain_phrase` has them; synonyms and texts without words mention
+    nothing, as do nulls.  Texts with one key count as one text.  A null key is a key like any other.
+    """
+    phrases = terms.select(F.col("term").alias("_term"), plain_phrase(F.col("synonym")).alias("_run"))
+    phrases = phrases.where("_term IS NOT NULL AND _run <> ''").distinct()
+    if longest is None:
+        longest = phrases.agg(F.max(F.size(F.split("_run", " ")))).first()[0] or 1
+    # an expression of its own, so that the distinct table's partitioning does not bind the join
+    phrases = phrases.select("_term", F.concat("_run", F.lit("")).alias("_run"))
+    words = F.split(plain_phrase(F.col(column)), " ")
+    runs = [
+        F.expr(f"transform(sequence(0, size(_words) - {n}), i -> array_join(slice(_words, i + 1, {n}), ' '))")
+        if n > 1 else F.col("_words")
+        for n in range(1, longest + 1)
     ]
-    return texts.withColumn("terms", F.array_sort(F.array_compact(F.array(*hits))))
+    runs = [F.when(F.size("_words") >= n, r).otherwise(F.array().cast("array<string>")) for n, r in enumerate(runs, 1)]
+    cut = texts.select(*key, words.alias("_words"))
+    found = cut.select(*key, F.explode(F.array_distinct(F.concat(*runs))).alias("_run"))
+    return found.join(phrases, "_run").select(*key, F.col("_term").alias("term")).distinct()
 
 
 def json_safe(df: DataFrame) -> list[Column]:

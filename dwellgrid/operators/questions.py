@@ -9,14 +9,16 @@ Every question is text; the result names the operator that answers it.  Two rule
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellgrid.functions.codes import quoted
 from dwellgrid.functions.text import (
-    BLANKS, captured, captured_int, contains_any, has_word, matches, normalise, plain_word, without,
+    BLANKS, Vocabulary, captured, captured_int, contains_any, has_word, matches, normalise, plain_word, without,
 )
 
 # Word lists in English, Dutch and Arabic.
@@ -86,7 +88,8 @@ SPAN_NEEDS = ("last", "past")
 BELOW_NEEDS = ("<", "below", "under")
 THRESHOLD_NEEDS = ("threshold",)
 COMPARE_NEEDS = ("compare",)
-CODE_NEEDS = (".",)
+DIGITS = tuple("0123456789")
+CODE_NEEDS = tuple(f"{digit}." for digit in DIGITS)
 NOW_NEEDS = ("now", "currently", "this moment")
 RANK_NEEDS = ("best", "top", "first")
 RANK = r"(?:best|top|first)\s+(\d+)"
@@ -138,13 +141,14 @@ def threshold_share(text: str) -> str:
     return f"{captured_int(text, BELOW, 1, BELOW_NEEDS)} / 100D"
 
 
-def is_open_ended(text: str) -> str:
-    """Questions that need more than one operator; words are words here ("show" is not "how")."""
-    several = f"({has_word(text, ('and',))} AND NOT {matches(text, COMPARED_FLOORS, COMPARE_NEEDS)})"
-    return (
-        f"({has_word(text, OPEN_WORDS)} OR {has_word(text, VAGUE_WORDS)} OR {several} "
-        f"OR length({text}) > {LONG_QUESTION})"
-    )
+def is_open_ended(text: str, says: Callable[[tuple[str, ...]], str] | None = None) -> str:
+    """Questions that need more than one operator; words are words here ("show" is not "how").
+
+    ``says`` gives the test for words; by default each is a pattern of its own.
+    """
+    says = says or partial(has_word, text)
+    several = f"({says(('and',))} AND NOT {matches(text, COMPARED_FLOORS, COMPARE_NEEDS)})"
+    return f"(length({text}) > {LONG_QUESTION} OR {says(OPEN_WORDS)} OR {says(VAGUE_WORDS)} OR {several})"
 
 
 def _compared(text: str, place: int) -> str:
@@ -217,9 +221,11 @@ def _legacy_scheme() -> tuple[Stages, list[Rule]]:
 
 def _specific_scheme() -> tuple[Stages, list[Rule]]:
     q = "q_text"
+    vocabulary = Vocabulary(q)
+    says = vocabulary.has
     floor_of_rooms = captured_int(q, FLOOR_OF_ROOMS, 1, FLOOR_OF_ROOMS_NEEDS)
     ordinal = captured_int(q, ORDINAL_FLOOR, 1, FLOOR_OF_ROOMS_NEEDS)
-    now = has_word(q, (*NOW_WORDS, "this moment"))
+    now = says((*NOW_WORDS, "this moment"))
     stages = [
         # numbers that belong to a threshold, a span, a room code or a floor are not free for other readings
         {"q_cut": without(q, (THRESHOLD, BELOW), (*THRESHOLD_NEEDS, *BELOW_NEEDS))},
@@ -232,13 +238,13 @@ def _specific_scheme() -> tuple[Stages, list[Rule]]:
             ),
             "q_hours": f"coalesce({captured_int(q, SPAN_HOURS, 1, SPAN_NEEDS)}, if({now}, 1, NULL))",
             "q_span": trailing_days(q),
-            "q_about_floor": has_word(q, FLOOR_WORDS),
+            "q_about_floor": says(FLOOR_WORDS),
         },
         {"q_unranked": without("q_bare", (RANK,), RANK_NEEDS)},
         {
-            "q_floor": f"coalesce(q_said_floor, {captured_int('q_unranked', LONE_NUMBER)})",
+            "q_floor": f"coalesce(q_said_floor, {captured_int('q_unranked', LONE_NUMBER, 1, DIGITS)})",
             "q_ranked": captured_int("q_bare", RANK, 1, RANK_NEEDS),
-            "q_number": captured_int("q_bare", FIRST_INT),
+            "q_number": captured_int("q_bare", FIRST_INT, 1, DIGITS),
         },
     ]
     said_threshold = f"try_cast({captured(q, THRESHOLD, 1, THRESHOLD_NEEDS)} AS DOUBLE)"
@@ -246,59 +252,61 @@ def _specific_scheme() -> tuple[Stages, list[Rule]]:
         f"coalesce({threshold_share(q)}, if({said_threshold} > 1D, {said_threshold} / 100D, {said_threshold}), "
         f"{DEFAULT_THRESHOLD}D)"
     )
-    least_used = f"({has_word(q, ('least',))} AND {has_word(q, ('used',))})"
+    least_used = f"({says(('least',))} AND {says(('used',))})"
 
     def span(default: int) -> dict[str, str]:
         return {"days": f"if(q_hours IS NULL, coalesce(q_span, {default}), NULL)", "hours": "q_hours"}
 
-    return stages, [
+    rules = [
         Rule("tool", "compare_floors", matches(q, COMPARE, COMPARE_NEEDS),
              {"floor": _compared(q, 1), "other_floor": _compared(q, 2), **span(DEFAULT_DAYS["compare"])},
              "two floors compared"),
-        Rule("tool", "plan_coffee_machines", f"{has_word(q, COFFEE_WORDS)} AND {has_word(q, PLACE_WORDS)}",
+        Rule("tool", "plan_coffee_machines", f"{says(COFFEE_WORDS)} AND {says(PLACE_WORDS)}",
              {"floor": "q_said_floor", **span(DEFAULT_DAYS["plan"]),
               "k": f"coalesce(q_ranked, q_number, {DEFAULT_SPOTS})",
-              "avoid_quiet": f"NOT {has_word(q, KEEP_QUIET_WORDS)}"}, "places for a facility"),
+              "avoid_quiet": f"NOT {says(KEEP_QUIET_WORDS)}"}, "places for a facility"),
         Rule("tool", "free_meeting_rooms_now",
-             f"{has_word(q, FREE_WORDS)} AND {has_word(q, MEETING_ROOM_WORDS)} AND q_floor IS NOT NULL",
+             f"{says(FREE_WORDS)} AND {says(MEETING_ROOM_WORDS)} AND q_floor IS NOT NULL",
              {"floor": "q_floor"}, "free meeting rooms"),
-        Rule("tool", "underused_rooms", f"{has_word(q, UNDERUSED_WORDS)} OR {least_used}",
+        Rule("tool", "underused_rooms", f"{says(UNDERUSED_WORDS)} OR {least_used}",
              {"floor": "q_said_floor", **span(DEFAULT_DAYS["underused"]), "threshold": threshold}, "underused rooms"),
-        Rule("tool", "busiest_rooms", f"{has_word(q, BUSY_WORDS)} OR {matches(q, TOP_ROOMS, ('top ',))}",
+        Rule("tool", "busiest_rooms", f"{says(BUSY_WORDS)} OR {matches(q, TOP_ROOMS, ('top ',))}",
              {"floor": "q_said_floor", **span(DEFAULT_DAYS["busiest"]), "k": f"coalesce(q_ranked, {DEFAULT_ROOMS})"},
              "busiest rooms"),
-        Rule("tool", "peak_hours_floor", f"{has_word(q, ('peak hour', 'peak hours'))} AND q_floor IS NOT NULL",
+        Rule("tool", "peak_hours_floor", f"{says(('peak hour', 'peak hours'))} AND q_floor IS NOT NULL",
              {"floor": "q_floor"}, "peak hours"),
         Rule("tool", "utilization_by_floor",
-             f"{has_word(q, (*USAGE_WORDS, 'occupancy'))} AND {has_word(q, PER_FLOOR_WORDS)}",
+             f"{says((*USAGE_WORDS, 'occupancy'))} AND {says(PER_FLOOR_WORDS)}",
              span(DEFAULT_DAYS["usage"]), "usage of every floor"),
         Rule("tool", "utilization_floor",
-             f"{has_word(q, USAGE_WORDS)} AND q_about_floor AND q_floor IS NOT NULL",
+             f"{says(USAGE_WORDS)} AND q_about_floor AND q_floor IS NOT NULL",
              {"floor": "q_floor", **span(DEFAULT_DAYS["usage"])}, "usage of a floor"),
-        Rule("tool", "sensors_for_room", f"{has_word(q, ('sensor', 'sensors'))} AND q_room IS NOT NULL",
+        Rule("tool", "sensors_for_room", f"{says(('sensor', 'sensors'))} AND q_room IS NOT NULL",
              {"room": "q_room"}, "sensors of a room"),
         Rule("tool", "find_rooms_like",
-             f"{has_word(q, ('find', 'search', 'where is', 'zoek'))} AND q_room IS NOT NULL", {"room": "q_room"},
+             f"{says(('find', 'search', 'where is', 'zoek'))} AND q_room IS NOT NULL", {"room": "q_room"},
              "room search"),
         Rule("tool", "latest_room_status",
-             f"q_room IS NOT NULL AND {has_word(q, ('occupied', 'unoccupied', 'free', 'status', *NOW_WORDS))}",
+             f"q_room IS NOT NULL AND {says(('occupied', 'unoccupied', 'free', 'status', *NOW_WORDS))}",
              {"room": "q_room"}, "state of a room"),
-        Rule("tool", "status_floor_now", f"{has_word(q, ('status',))} AND q_floor IS NOT NULL", {"floor": "q_floor"},
+        Rule("tool", "status_floor_now", f"{says(('status',))} AND q_floor IS NOT NULL", {"floor": "q_floor"},
              "state of a floor"),
-        Rule("tool", "rooms_on_floor", f"{has_word(q, ROOM_WORDS)} AND q_said_floor IS NOT NULL",
+        Rule("tool", "rooms_on_floor", f"{says(ROOM_WORDS)} AND q_said_floor IS NOT NULL",
              {"floor": "q_said_floor"}, "rooms of a floor"),
         Rule("tool", "list_floors",
-             f"{_floor_ask(q)} OR ({has_word(q, LIST_VERBS)} AND q_about_floor AND q_said_floor IS NULL)", {},
+             f"{_floor_ask(q)} OR ({says(LIST_VERBS)} AND q_about_floor AND q_said_floor IS NULL)", {},
              "floors are listed"),
-        Rule("agent", None, is_open_ended(q), {}, "open-ended"),
+        Rule("agent", None, is_open_ended(q, says), {}, "open-ended"),
         Rule("model", None, "true", {}, "no rule"),
     ]
+    return [vocabulary.stage(), *stages], rules
 
 
 def label_questions(log: DataFrame, text: str = "text", order: str = "specific") -> DataFrame:
     """The log plus ``mode, intent, rule`` and one column per parameter; the first rule that applies decides.
 
-    A pure projection: no shuffle, one pass over the log, and Python sees only texts that are not ASCII.
+    A pure projection: no shuffle, one pass over the log, and Python sees only texts that are not ASCII.  The specific
+    rules split a text into words once and look them up, whatever the number of rules.
     """
     if order not in RULE_ORDERS:
         raise ValueError(f"order must be one of {RULE_ORDERS}")

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 
 from dwellgrid.operators.dialogue import last_turns
-from dwellgrid.operators.profile import map_synonyms, synonym_table
+from dwellgrid.operators.profile import SYNONYMS, map_synonyms, mentioned_terms, synonym_table
 from dwellgrid.operators.questions import label_questions, trailing_days
-from dwellgrid.functions.text import normalise
+from dwellgrid.functions.text import Vocabulary, has_word, normalise
 
 # question, specific (intent, parameters), legacy (mode or intent, parameters)
 GOLDEN = [
@@ -94,6 +97,70 @@ def test_synonyms(spark):
     assert ("free", "vacant") in rows(synonym_table(spark))
 
 
+@pytest.mark.parametrize(
+    "words", [("free",), ("which rooms are", "rules"), ("كم", "طابق"), ("dont avoid quiet", "don’t avoid quiet"), ("a a",)]
+)
+def test_words_looked_up_as_by_patterns(spark, words):
+    texts = [
+        "free", "freedom", "un_free", "a free-room", "free!", "which rooms are", "rooms are which", "which rooms arent",
+        "which  rooms are", "the rules.", "كم طابق", "aكم", "وكمال", "don’t avoid quiet", "dont avoid quiet areas",
+        "avoid quiet dont", "a a", "a b a", "", " ", None,
+    ]
+    log = spark.createDataFrame([(t,) for t in texts], "q_text string")
+    vocabulary = Vocabulary("q_text")
+    test = vocabulary.has(words)
+    prepared = log.withColumns({n: F.expr(v) for n, v in vocabulary.stage().items()})
+    found = prepared.selectExpr("q_text", f"{test} AS looked_up", f"{has_word('q_text', words)} AS by_pattern")
+    assert [r["looked_up"] for r in found.collect()] == [r["by_pattern"] for r in found.collect()]
+
+
+def test_synonyms_as_by_patterns(spark):
+    texts = ["level", "sea-level 3", "levels", "conference  room", "conference room", "a room (conference)", "Éempty", "", None]
+    log = spark.createDataFrame([(t,) for t in texts], "text string")
+
+    def by_hand(text):
+        found = {
+            term for term, words in SYNONYMS.items() for w in words
+            if text and re.search(f"(^|[^a-z0-9]){w}([^a-z0-9]|$)", text.lower())
+        }
+        return sorted(found)
+
+    assert [r["terms"] for r in map_synonyms(log).collect()] == [by_hand(t) for t in texts]
+
+
+def test_mentioned_terms(spark):
+    terms = [("Room 3", "room 3"), ("floor", "Storey"), ("long", "one two-three  four"), (None, "x"), ("y", "--"), ("z", None)]
+    terms += [("floor", "storey"), ("level", "storey")]
+    texts = [
+        (1, "a", "Room 3, storey 2; ROOM-3"), (1, "b", "room 33 storeys"), (2, "a", "zero one TWO three\nfour five"),
+        (2, "b", "one two four three"), (3, "a", None), (3, "b", ""), (None, "c", "storey"), (4, "a", "x y z"),
+    ]
+    texts += [(5, "a", "word " * 20_000 + "one two three four")]
+    docs = spark.createDataFrame(texts, "k int, term string, text string")
+    table = spark.createDataFrame(terms, "term string, synonym string")
+    named = docs.withColumnRenamed("term", "part").withColumn("_extra", F.lit(1))
+    found = {tuple(r) for r in mentioned_terms(named, table, ["k", "part"]).collect()}
+    assert found == {
+        (1, "a", "Room 3"), (1, "a", "floor"), (1, "a", "level"), (2, "a", "long"), (None, "c", "floor"),
+        (None, "c", "level"), (5, "a", "long"),
+    }
+    assert mentioned_terms(named, table.limit(0), ["k", "part"]).collect() == []
+    assert mentioned_terms(named.limit(0), table, ["k", "part"]).collect() == []
+
+
+def test_a_word_in_every_text(spark):
+    """A word that stands in all texts, with broadcasts off: both sides are shuffled and every text keeps its row."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.range(2000).withColumn("text", F.concat(F.lit("the level of number "), F.col("id")))
+        terms = spark.createDataFrame([("floor", "level"), ("seven", "number 7")], "term string, synonym string")
+        found = mentioned_terms(docs, terms, ["id"]).groupBy("term").count()
+        assert dict(map(tuple, found.collect())) == {"floor": 2000, "seven": 1}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_last_turns(spark):
     """Ten turns with a system turn among the last eight leave seven."""
     roles = ["user", "assistant"] * 5
