@@ -378,6 +378,11 @@ def oracle_sql() -> dict[str, str]:
               quantile_disc(d, 0.99) AS p99
             FROM (SELECT o_orderdate, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS d
                   FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1""",
+        "clocked_states": f"""{BASE}, newest AS (
+              SELECT space_id, ts, event_order, occupancy, max(ts) OVER () AS clock FROM ev
+              QUALIFY row_number() OVER (PARTITION BY space_id ORDER BY ts DESC, event_order DESC) = 1)
+            SELECT space_id, CASE WHEN epoch_ms(ts) + 24 * 3600000 <= epoch_ms(clock - INTERVAL 30 MINUTE) THEN 'stale'
+              ELSE occupancy END AS state, ts, event_order FROM newest""",
         "status_floor_now": f"{_latest('floor_key = 3')} SELECT room_name, occupancy, event_time FROM newest",
         "latest_states": f"{_latest('true')} SELECT uuid AS space_id, room_name, occupancy, event_time FROM newest",
         "free_rooms_now": _latest("floor_key = 8 AND \"spaceType\" ILIKE '%building%'")

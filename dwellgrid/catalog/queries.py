@@ -17,6 +17,7 @@ from dwellgrid.schema import ADHOC_ROWS
 from dwellgrid.session import shared_folder
 from dwellgrid.sources import csv_files, events, sample_tables, store
 from dwellgrid.sources.sample_tables import MEETING_SEGMENTS, QUIET_SEGMENTS, REFRESH_SEGMENTS, table, usage
+from dwellgrid.streaming import clock_states
 from dwellgrid.usage import Usage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,6 +162,23 @@ def _state_at_noon(spark: SparkSession, folder: str) -> DataFrame:
     return asof.state_at(model, days.select("space_id", noons.alias("at")).distinct())
 
 
+def _clocked_states(spark: SparkSession, folder: str) -> DataFrame:
+    """The log as a stream: the last state of every space, stale after 24 hours without an event."""
+    base = f"{shared_folder(spark)}/dwellgrid-clock/{uuid.uuid4().hex}"
+    before = spark.conf.get(clock_states.STORE_SETTING)
+    clock_states.use_rocksdb(spark)
+    try:
+        # as a pattern, since a stream takes a single file in no other form
+        path = f"{folder.rstrip('/')}/event[s].parquet"
+        log = spark.readStream.schema(sample_tables.SCHEMAS["events"]).parquet(path)
+        changes = clock_states.clocked_states(sample_tables.canonical(log), 24)
+        clock_states.append_states(changes, f"{base}/changes", f"{base}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(clock_states.STORE_SETTING, before)
+    stored = spark.read.schema(f"{clock_states.CHANGES}, batch int").parquet(f"{base}/changes")
+    return clock_states.current_states(stored)
+
+
 def _rooms_used(spark: SparkSession, folder: str) -> DataFrame:
     """Rooms in use per floor in the last seven days, in the seven before them, and in both, from hourly sketches."""
     found = sketches.room_sketches(usage(spark, folder))
@@ -250,6 +268,7 @@ def queries() -> dict[str, Query]:
         "status_floor_now_stored": lambda s, d: latest.status_floor_now(_with_stored_states(s, d), 3),
         "free_rooms_now_stored": lambda s, d: latest.free_rooms_now(_with_stored_states(s, d), 8, MEETING_SEGMENTS),
         "latest_states": lambda s, d: latest.latest_states(usage(s, d)),
+        "clocked_states": _clocked_states,
         "free_rooms_now": of_usage(latest.free_rooms_now, 8, MEETING_SEGMENTS),
         "state_at_noon": _state_at_noon,
         "latest_room_status": of_usage(latest.latest_room_status, ROOM_CODE),

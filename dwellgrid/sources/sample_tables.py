@@ -37,8 +37,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """The whole log in canonical form.  Microseconds are kept; times carry no zone."""
+    return canonical(table(spark, folder, "events"))
+
+
+def canonical(log: DataFrame) -> DataFrame:
+    """Rows of the sample log, or of a stream of it, as events of spaces."""
     active = ", ".join(f"'{kind}'" for kind in OCCUPIED_TYPES)
-    return table(spark, folder, "events").selectExpr(
+    return log.selectExpr(
         "CAST(user_id AS STRING) AS space_id",
         "ts",
         f"CASE WHEN event_type IN ({active}) THEN 'occupied' ELSE 'unoccupied' END AS occupancy",
