@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from dwellgrid.functions.clock import whole
 from dwellgrid.operators.lookup import list_floors
-from dwellgrid.usage import Usage
+from dwellgrid.usage import BROADCAST_BYTES, Usage
 
 # Words users say for the terms of the data.
 SYNONYMS = {
@@ -21,6 +21,9 @@ SYNONYMS = {
 }
 
 
+# What a broadcast row of the term table takes beyond its letters, estimated generously.
+ROW_BYTES = 64
+
 # Fixed value: how many space types a text lists.
 MOST_TYPES = 50
 
@@ -128,34 +131,37 @@ def plain_phrase(text: Column) -> Column:
 
 
 def mentioned_terms(
-    texts: DataFrame, terms: DataFrame, key: list[str], column: str = "text", longest: int | None = None
+    texts: DataFrame, terms: DataFrame, key: list[str], column: str = "text", most_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """``*key, term``: the distinct terms of a table (``term, synonym``) that each text mentions as whole words.
 
-    Texts are cut once into their distinct runs of one to ``longest`` words, which meet the table by equality: the work
-    per text does not depend on the number of terms, and no pattern is tried.  ``longest`` defaults to the words of the
-    table's longest synonym.  No broadcast is asked for: Spark decides by the table's size, and beyond its bound both
-    sides are shuffled by the words, where adaptive execution may split a word that stands in very many texts.
+    Texts are cut once into their runs of one word up to the words of the longest synonym, which meet the table by
+    equality: the work per text does not depend on the number of terms, and no pattern is tried.  The table's rows are
+    counted and measured first.  Up to ``most_bytes`` it is broadcast, and only mentions are shuffled; a larger one meets
+    the distinct runs of every text in a join by their words, where adaptive execution may split a word that stands in
+    very many texts.
 
     Defined cases: letters are compared as :func:`plain_phrase` has them; synonyms and texts without words mention
     nothing, as do nulls.  Texts with one key count as one text.  A null key is a key like any other.
     """
     phrases = terms.select(F.col("term").alias("_term"), plain_phrase(F.col("synonym")).alias("_run"))
     phrases = phrases.where("_term IS NOT NULL AND _run <> ''").distinct()
-    if longest is None:
-        longest = phrases.agg(F.max(F.size(F.split("_run", " ")))).first()[0] or 1
-    # an expression of its own, so that the distinct table's partitioning does not bind the join
-    phrases = phrases.select("_term", F.concat("_run", F.lit("")).alias("_run"))
+    sizes = F.sum(F.octet_length("_run") + F.octet_length(F.col("_term").cast("string")) + ROW_BYTES)
+    longest, size = phrases.agg(F.max(F.size(F.split("_run", " "))), sizes).first()
     words = F.split(plain_phrase(F.col(column)), " ")
     runs = [
         F.expr(f"transform(sequence(0, size(_words) - {n}), i -> array_join(slice(_words, i + 1, {n}), ' '))")
         if n > 1 else F.col("_words")
-        for n in range(1, longest + 1)
+        for n in range(1, (longest or 1) + 1)
     ]
     runs = [F.when(F.size("_words") >= n, r).otherwise(F.array().cast("array<string>")) for n, r in enumerate(runs, 1)]
     cut = texts.select(*key, words.alias("_words"))
     found = cut.select(*key, F.explode(F.array_distinct(F.concat(*runs))).alias("_run"))
-    return found.join(phrases, "_run").select(*key, F.col("_term").alias("term")).distinct()
+    if (size or 0) <= most_bytes:
+        met = found.join(F.broadcast(phrases), "_run")
+    else:  # an expression of its own, so that the distinct table's partitioning does not bind the join
+        met = found.join(phrases.select("_term", F.concat("_run", F.lit("")).alias("_run")), "_run")
+    return met.select(*key, F.col("_term").alias("term")).distinct()
 
 
 def json_safe(df: DataFrame) -> list[Column]:

@@ -148,17 +148,14 @@ def test_mentioned_terms(spark):
     assert mentioned_terms(named.limit(0), table, ["k", "part"]).collect() == []
 
 
-def test_a_word_in_every_text(spark):
-    """A word that stands in all texts, with broadcasts off: both sides are shuffled and every text keeps its row."""
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        docs = spark.range(2000).withColumn("text", F.concat(F.lit("the level of number "), F.col("id")))
-        terms = spark.createDataFrame([("floor", "level"), ("seven", "number 7")], "term string, synonym string")
-        found = mentioned_terms(docs, terms, ["id"]).groupBy("term").count()
-        assert dict(map(tuple, found.collect())) == {"floor": 2000, "seven": 1}
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+@pytest.mark.parametrize("most_bytes", [1 << 20, 100])
+def test_a_word_in_every_text(spark, most_bytes):
+    """Both ways give every text its row; a table within the bound is broadcast, a larger one gets no hint."""
+    docs = spark.range(2000).withColumn("text", F.concat(F.lit("the level of number "), F.col("id")))
+    terms = spark.createDataFrame([("floor", "level"), ("seven", "number 7")], "term string, synonym string")
+    found = mentioned_terms(docs, terms, ["id"], most_bytes=most_bytes)
+    assert ("rightHint=(strategy=broadcast)" in found._jdf.queryExecution().optimizedPlan().toString()) == (most_bytes > 100)
+    assert dict(map(tuple, found.groupBy("term").count().collect())) == {"floor": 2000, "seven": 1}
 
 
 def test_last_turns(spark):
