@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: fingerprints grouped by blocks of equal bits, filtered by a pivot table, verified."""
+"""SimHash near-duplicates: fingerprints grouped by blocks of equal bits, pairs found through a pivot table, verified."""
 
 from __future__ import annotations
 
@@ -96,8 +96,8 @@ def _children(parents: list[int], max_bits: int) -> Column:
 def _candidate_groups(distinct: DataFrame, max_bits: int, group: int) -> DataFrame:
     """``mask, value, fp``: groups that hold both ends of every link, none larger than the last division allows.
 
-    Candidates come from blocks of equal bits alone; the pivot table finds none.  Groups are fingerprints with equal
-    bits under a mask; ``_divided`` says why no link is lost.  Only groups above ``group`` members are divided again.
+    Groups are fingerprints with equal bits under a mask; ``_divided`` says why no link is lost.  Only groups above
+    ``group`` members are divided again.  Which pairs of a group are looked at decides the pivot table.
     """
     held, found, parents = distinct.withColumn("mask", F.lit(0).cast("long")), [], [0]
     for division in range(1, DIVISIONS + 1):
@@ -116,26 +116,50 @@ def _candidate_groups(distinct: DataFrame, max_bits: int, group: int) -> DataFra
     return functools.reduce(DataFrame.unionByName, found)
 
 
-def near_pairs(groups: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs in one group (equal in ``groups``, sorted) that differ in at most ``max_bits`` bits.
+def pairs_by_pivots(groups: np.ndarray, table: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs in one group that the pivot table does not discard, in portions.
 
-    The groups are the candidates; ``table``, each fingerprint's distances to all references, only filters in them.  No
-    distance of a near pair can differ by more than ``max_bits``, so pairs are discarded by their largest coordinate
-    difference and the survivors verified.
+    ``table`` holds, a row per reference, the distances of all fingerprints; ``groups`` (whole numbers) and the first of
+    its rows ascend.  No distance of a near pair differs by more than ``max_bits``.  So a fingerprint meets only those
+    that follow within ``max_bits`` of its distance to the first reference; the other references then discard, one after
+    the other, pairs with a larger difference in any coordinate.
     """
-    table = np.bitwise_count(fps[:, None] ^ REFERENCES[None, :]).astype(np.int8)
-    left, right = [], []
-    rows = np.arange(len(fps))
+    place = groups.astype(np.int64) * (BITS + max_bits + 1) + table[0]  # groups stand further apart than the window
+    rows = np.arange(len(place))
     lag = 0
-    while len(rows):
+    while True:
         lag += 1
-        rows = rows[rows + lag < len(fps)]
-        rows = rows[groups[rows] == groups[rows + lag]]
-        near = rows[np.abs(table[rows] - table[rows + lag]).max(axis=1, initial=0) <= max_bits]
-        near = near[np.bitwise_count(fps[near] ^ fps[near + lag]) <= max_bits]
-        left.append(near)
-        right.append(near + lag)
-    return np.concatenate(left or [rows]), np.concatenate(right or [rows])
+        rows = rows[: np.searchsorted(rows, len(place) - lag)]
+        rows = rows[place[rows + lag] - place[rows] <= max_bits]  # distances ascend: who is out here stays out
+        if not len(rows):
+            return
+        near = rows
+        for distances in table[1:]:
+            near = near[np.abs(distances[near + lag] - distances[near]) <= max_bits]
+            if not len(near):
+                break
+        yield near, near + lag
+
+
+def pivot_order(groups: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by group and by distance to the first reference, and the pivot table in it."""
+    order = np.lexsort((np.bitwise_count(fps ^ REFERENCES[0]), groups))
+    return order, np.bitwise_count(fps[order][None, :] ^ REFERENCES[:, None]).astype(np.int8)
+
+
+def near_pairs(groups: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs in one group (equal in ``groups``) that differ in at most ``max_bits`` bits.
+
+    Pairs that the pivot table leaves are verified.
+    """
+    order, table = pivot_order(groups, fps)
+    left, right = [order[:0]], [order[:0]]
+    for a, b in pairs_by_pivots(groups[order], table, max_bits):
+        a, b = order[a], order[b]
+        near = np.bitwise_count(fps[a] ^ fps[b]) <= max_bits
+        left.append(a[near])
+        right.append(b[near])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _stars(a: np.ndarray, b: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -352,3 +352,24 @@ def test_a_repeated_id_reaches_the_driver_once(spark):
     docs = spark.range(3000).selectExpr("7L AS doc_id", "concat('text ', id) AS text")
     sample, _ = toxicity.training_sample(docs, spark.createDataFrame([(7, 1, 1)], "doc_id long, quality int, toxic int"))
     assert [tuple(r) for r in sample.collect()] == [(7, 1, "text 999")]
+
+
+@pytest.mark.parametrize("sizes, max_bits", [([1, 2, 40, 256, 3], 2), ([300], 1), ([5] * 50, 3), ([], 2), ([1], 2), ([64], 0)])
+def test_pivots_discard_pairs_and_lose_none(sizes, max_bits):
+    """All near pairs of a group and no others; of groups of unlike fingerprints few pairs are left to be verified."""
+    rng = np.random.default_rng(5)
+    groups = np.repeat(np.arange(len(sizes)), sizes)
+    fps = rng.integers(0, 1 << 63, len(groups), dtype=np.uint64)
+    for i in range(0, len(fps) - 1, 7):  # chains of fingerprints a few bits apart
+        fps[i + 1] = fps[i] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, i % 5, replace=False)))
+    expected = {
+        (i, j) for i in range(len(fps)) for j in range(i + 1, len(fps))
+        if groups[i] == groups[j] and bin(int(fps[i] ^ fps[j])).count("1") <= max_bits
+    }
+    a, b = simhash.near_pairs(groups, fps, max_bits)
+    found = [tuple(sorted(map(int, p))) for p in zip(a, b)]
+    assert len(found) == len(set(found)) and set(found) == expected
+    order, table = simhash.pivot_order(groups, fps)
+    left = sum(len(x) for x, _ in simhash.pairs_by_pivots(groups[order], table, max_bits))
+    everything = sum(n * (n - 1) // 2 for n in sizes)
+    assert len(expected) <= left <= len(expected) + everything // 100
