@@ -23,7 +23,8 @@ LEAST_WORDS = 20
 PERCENT = 10
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"  # in text whose A-Z are lower-cased; all else belongs to words
 PIECE = 1 << 16  # characters that are split at a time
-KNOWN_WORDS = 1 << 19  # words whose bucket a worker remembers
+KNOWN_WORDS = 1 << 16  # words whose bucket a worker remembers
+ROWS = 512  # rows that a worker turns into arrays at a time
 ROW_BITS = 33
 _SEPARATOR = re.compile(SEPARATORS)
 
@@ -85,6 +86,38 @@ class _Buckets(dict):
         return bucket
 
 
+def _few_rows(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most ``rows`` at a time: Arrow's batches hold ten thousand texts, whatever their size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _counted(
+    batches: Iterator[pa.RecordBatch], place: int, orders: tuple[int, int], buckets: int
+) -> Iterator[pa.RecordBatch]:
+    """What :func:`feature_counts` says of rows ``doc_id, text_hash, text``; ``place`` is the first row's."""
+    split, bucket_of = splitter(), _Buckets(buckets)
+    for batch in _few_rows(batches):
+        n_words, n_features, listed, counted = [], [], [], []
+        for text in batch.column(2):
+            words, total, sums = 0, 0, np.zeros(buckets, np.int64)
+            for fresh, found in features(text.as_py(), split, orders):
+                words, total = words + fresh, total + len(found)
+                sums += np.bincount([bucket_of[f] for f in found], minlength=buckets) if found else 0
+            used = np.flatnonzero(sums)
+            n_words.append(words)
+            n_features.append(total)
+            listed.append(used.astype("<u4").tobytes())
+            counted.append(sums[used].astype("<i8").tobytes())
+        places = np.arange(place, place + batch.num_rows, dtype=np.int64)
+        place += batch.num_rows
+        arrays = [pa.array(places), batch.column(0), batch.column(1), pa.array(n_words, pa.int64())]
+        arrays += [pa.array(n_features, pa.int64()), pa.array(listed, pa.binary()), pa.array(counted, pa.binary())]
+        names = ["place", "doc_id", "text_hash", "n_words", "n_features", "buckets", "counts"]
+        yield pa.RecordBatch.from_arrays(arrays, names)
+
+
 def feature_counts(
     docs: DataFrame, id_col: str, text_col: str, orders: tuple[int, int] = ORDERS, buckets: int = BUCKETS
 ) -> DataFrame:
@@ -95,26 +128,7 @@ def feature_counts(
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, bucket_of = splitter(), _Buckets(buckets)
-        place = TaskContext.get().partitionId() << ROW_BITS
-        for batch in batches:
-            n_words, n_features, listed, counted = [], [], [], []
-            for text in batch.column(2):
-                words, total, sums = 0, 0, np.zeros(buckets, np.int64)
-                for fresh, found in features(text.as_py(), split, orders):
-                    words, total = words + fresh, total + len(found)
-                    sums += np.bincount([bucket_of[f] for f in found], minlength=buckets) if found else 0
-                used = np.flatnonzero(sums)
-                n_words.append(words)
-                n_features.append(total)
-                listed.append(used.astype("<u4").tobytes())
-                counted.append(sums[used].astype("<i8").tobytes())
-            places = np.arange(place, place + batch.num_rows, dtype=np.int64)
-            place += batch.num_rows
-            arrays = [pa.array(places), batch.column(0), batch.column(1), pa.array(n_words, pa.int64())]
-            arrays += [pa.array(n_features, pa.int64()), pa.array(listed, pa.binary()), pa.array(counted, pa.binary())]
-            names = ["place", "doc_id", "text_hash", "n_words", "n_features", "buckets", "counts"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+        return _counted(batches, TaskContext.get().partitionId() << ROW_BITS, orders, buckets)
 
     ship_package(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -138,7 +152,7 @@ def histogram(counted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in _few_rows(batches):
             where, counts, _ = _lists(batch, 0, 1)
             np.add.at(sums, where, counts)
         used = np.flatnonzero(sums)
@@ -164,7 +178,7 @@ def weighed(counted: DataFrame, gain: np.ndarray) -> DataFrame:
     kept = ["place", "doc_id", "text_hash", "n_words", "n_features"]
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few_rows(batches):
             where, counts, ends = _lists(batch, 5, 6)
             sums = np.concatenate([[0], np.cumsum(counts * gain[where])])
             weight = np.diff(sums[np.concatenate([[0], ends]).astype(np.int64)])

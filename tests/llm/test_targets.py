@@ -7,8 +7,10 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -330,6 +332,28 @@ def test_resampling_of_nothing(spark, nothing, messy, bench):
     assert found.where("rank IS NULL").count() == 0 and found.count() == messy.count()
 
 
+def test_workers_hold_few_rows(spark, monkeypatch):
+    """However many texts Arrow hands over at once, arrays and remembered words stay small; the counts are the same."""
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    with monkeypatch.context() as patch:
+        patch.setattr(type(docs), "mapInArrow", lambda self, function, schema: function)
+        patch.setattr(resampling, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+        count = resampling.feature_counts(docs, "doc_id", "text")
+        ids = np.arange(2500)
+        texts = [" ".join(f"w{i}x{j}" for j in range(i % 40)) for i in ids]
+        given = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(texts)], ["doc_id", "text_hash", "text"])
+        found = list(count(iter([given, given.slice(0, 7)])))
+    assert max(b.num_rows for b in found) <= 1024 and resampling.KNOWN_WORDS <= 100_000
+    whole = pa.Table.from_batches(found).to_pydict()
+    assert whole["place"] == [(3 << 33) + i for i in range(2507)]
+    assert whole["doc_id"] == whole["text_hash"] == [*range(2500), *range(7)]
+    for i, text in zip(whole["doc_id"], [*texts, *texts[:7]]):
+        counts = Counter(zlib.crc32(w.encode()) % 10000 for w in text.split())
+        where = np.frombuffer(whole["buckets"][i], "<u4").tolist()
+        assert dict(zip(where, np.frombuffer(whole["counts"][i], "<i8").tolist())) == counts
+        assert whole["n_words"][i] == whole["n_features"][i] == counts.total()
+
+
 def test_gains():
     source, target = np.array([0, 5, 100]), np.array([3, 0, 1])
     expected = [math.floor(1000 * math.log((t + 1) * 108 / ((s + 1) * 7))) for s, t in zip(source, target)]
