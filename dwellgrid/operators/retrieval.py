@@ -257,8 +257,9 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = RETRIEVAL_K, gate: f
 
     One way for any number of queries, and nothing runs before the result is asked for: corpus and queries are packed
     into matrices, the corpus is dealt once over as many salts as the session has shuffle partitions, each of which gets
-    all blocks of queries.  A pair of matrices yields at most ``k`` rows per query, and the rank prunes them per task
-    again before they are shuffled.
+    all blocks of queries.  They meet by a shuffle of both sides: by its files the query side looks small enough to be
+    broadcast, but it holds every query once per salt.  A pair of matrices yields at most ``k`` rows per query, and the
+    rank prunes them per task again before they are shuffled.
     """
     whole(k, "k", 1)
     corpus, queries = corpus.select(F.col("vec_id").cast("bigint"), "vec"), queries.select("query_id", "vec")
@@ -318,7 +319,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = RETRIEVAL_K, gate: f
             T.StructField("unit_vec", T.ArrayType(T.DoubleType())),
         ]
     )
-    met = corpus_side.join(query_side, "salt").select("ids", "vecs", "asked", "asked_vecs")
+    met = corpus_side.join(query_side.hint("merge"), "salt").select("ids", "vecs", "asked", "asked_vecs")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = met.mapInArrow(score, schema).withColumn("place", F.row_number().over(order))
     return ranked.where(F.col("place") <= k).select("query_id", "place", "vec_id", "score", "unit_vec")

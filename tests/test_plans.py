@@ -38,6 +38,13 @@ def sample(spark):
     return sample_tables.usage(spark, DATA)
 
 
+@pytest.mark.parametrize("name", ["knn_cosine_gated", "mmr_rerank", "context_per_query"])
+def test_salted_queries_are_not_broadcast(spark, name):
+    """Every salt has all queries: by its files that side looks small, but it must not pass through the driver."""
+    text = plan(queries()[name](spark, DATA))
+    assert "SortMergeJoin [salt#" in text and "BroadcastHashJoin [salt#" not in text
+
+
 def test_window_reaches_the_scan(sample):
     text = plan(rates.utilization_by_floor(sample, 7))
     assert "GreaterThanOrEqual(ts,ScalarSubquery" in text
