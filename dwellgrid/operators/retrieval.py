@@ -152,13 +152,18 @@ def lexical_index(texts: DataFrame, key: str = "vec_id", text: str = "text") ->
     A word weighs its count times the logarithm of how rare it is among the texts.  Words are kept as they are, none
     folded into another, and words that all texts share weigh nothing and have no row.  ``tail`` is the length of the
     vector from this word on, rarest words first; the search leaves out what lies behind.  ``key`` must be unique.
+
+    Texts are dealt by key before their words are counted: a file of a few megabytes holds many more words, and the task
+    that reads it would otherwise keep the counts of all of them.  For the same reason the words are never broadcast.
     """
-    uses = texts.select(key, F.explode(words(F.col(text))).alias("term")).groupBy(key, "term")
+    width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.select(key, text).repartition(width, key)
+    uses = dealt.select(key, F.explode(words(F.col(text))).alias("term")).groupBy(key, "term")
     uses = uses.agg(F.count("*").alias("uses"))
     total = texts.agg(F.count("*")).scalar()
     spread = uses.groupBy("term").agg(F.log(total / F.count("*")).alias("idf")).where("idf > 0")
     spread = spread.select(_own_shuffle(F.col("term")).alias("term"), "idf")
-    weighed = uses.join(spread, "term").withColumn("raw", F.col("uses") * F.col("idf"))
+    weighed = uses.hint("merge").join(spread, "term").withColumn("raw", F.col("uses") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))
     unit = weighed.select(key, "term", (F.col("raw") / norm).alias("weight"), "idf")
     return unit.withColumn("tail", _tails(unit, key, "weight"))
@@ -184,8 +189,8 @@ def lexical_candidates(index: DataFrame, unit: DataFrame, gate: float | None, ke
     """
     least = max(0.0, (gate or 0.0) - 1e-6)  # errs towards more candidates than rounding could take away
     ours = unit.where(F.col("tail") >= least).select("query_id", "term", F.col("tail").alias("q_tail"))
-    theirs = index.where(F.col("tail") >= least).select(key, "term", "tail")
-    met = ours.join(theirs, "term").where(F.col("q_tail") * F.col("tail") >= least)
+    theirs = index.where(F.col("tail") >= least).select(key, "term", "tail").hint("merge")  # not broadcast, whatever its files weigh
+    met = theirs.join(ours, "term").where(F.col("q_tail") * F.col("tail") >= least)
     return met.select("query_id", key).distinct()
 
 
@@ -200,7 +205,8 @@ def lexical_nearest(index: DataFrame, queries: DataFrame, k: int = RETRIEVAL_K,
     unit = lexical_queries(index, queries)
     pairs = lexical_candidates(index, unit, gate, key)
     terms = pairs.join(unit.select("query_id", "term", "w"), "query_id")
-    scored = terms.join(index.select(key, "term", "weight"), [key, "term"]).groupBy("query_id", key)
+    weights = index.select(key, "term", "weight").hint("merge")
+    scored = terms.join(weights, [key, "term"]).groupBy("query_id", key)
     scored = scored.agg(F.sum(F.col("w") * F.col("weight")).alias("s"))
     scored = scored.select("query_id", key, F.round("s", 9).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), key)

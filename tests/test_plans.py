@@ -9,7 +9,7 @@ from helpers import DATA
 
 from dwellgrid.catalog.queries import queries
 from dwellgrid.functions.clock import Window
-from dwellgrid.operators import dense, latest, rates, zones
+from dwellgrid.operators import dense, latest, rates, retrieval, zones
 from dwellgrid.operators.dialogue import last_turns
 from dwellgrid.sources import sample_tables
 
@@ -45,6 +45,23 @@ def test_salted_queries_are_not_broadcast(spark, name):
     assert "SortMergeJoin [salt#" in text and "BroadcastHashJoin [salt#" not in text
 
 
+def test_words_are_counted_after_texts_are_dealt(spark):
+    """No task counts all words of the file it reads, and no join sends the words through the driver."""
+    texts = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id AS vec_id", "text")
+    index = retrieval.lexical_index(texts)
+    lines = plan(index).splitlines()
+    reads = [i for i, line in enumerate(lines) if "FileScan" in line]
+    words = [i for i, line in enumerate(lines) if "Generate explode" in line]
+    assert words
+    for first in words:
+        last = min(i for i in reads if i > first)
+        assert any("REPARTITION_BY_NUM" in line for line in lines[first:last])
+    asked = texts.selectExpr("CAST(vec_id AS STRING) AS query_id", "text")
+    unit = retrieval.lexical_queries(index, asked)
+    for text in (plan(index), plan(retrieval.lexical_candidates(index, unit, 0.25)).split("Generate explode")[0]):
+        assert "SortMergeJoin [term#" in text and "BroadcastHashJoin [term#" not in text
+
+
 def test_window_reaches_the_scan(sample):
     text = plan(rates.utilization_by_floor(sample, 7))
     assert "GreaterThanOrEqual(ts,ScalarSubquery" in text
